@@ -36,9 +36,14 @@ def nest_objects(
     if hot is None:
         hot = find_hot_keys(rows, keys, HOT_OBJECTS)
 
+    def in_order() -> Column:
+        # sorts (order, position) pairs, as bodies with maps cannot be compared
+        places = F.transform("_items", lambda item, i: F.struct(item["_o"].alias("o"), i.alias("i")))
+        return F.transform(F.array_sort(places), lambda place: F.get("_items", place["i"]))
+
     def indexed(first: Column) -> Column:
         return F.transform(
-            F.array_sort("_items"),
+            in_order(),
             lambda item, i: F.struct((first + i).cast("int").alias("object_index"), item["body"].alias("body")),
         )
 

@@ -25,7 +25,7 @@ from ..schemas import PACKET, PACKET_METADATA
 FORMAT = "framed_packets"
 SUFFIX = ".packets"
 ROLL_BYTES = 256 * 1024 * 1024
-_LENGTHS = struct.Struct(">II")
+LENGTHS = ">II"
 
 
 def _open(path: str):
@@ -41,8 +41,8 @@ def _take(stream, size: int) -> bytes | None:
 
 def read_records(stream) -> Iterator[tuple[str, bytes]]:
     """Complete records; a cut-off last one yields nothing."""
-    while (lengths := _take(stream, _LENGTHS.size)) is not None:
-        header_size, payload_size = _LENGTHS.unpack(lengths)
+    while (lengths := _take(stream, struct.calcsize(LENGTHS))) is not None:
+        header_size, payload_size = struct.unpack(LENGTHS, lengths)
         header = _take(stream, header_size)
         payload = None if header is None else _take(stream, payload_size)
         if payload is None:
@@ -52,7 +52,7 @@ def read_records(stream) -> Iterator[tuple[str, bytes]]:
 
 def frame_record(metadata: str, payload: bytes | None) -> bytes:
     header, body = metadata.encode("utf-8"), bytes(payload or b"")
-    return _LENGTHS.pack(len(header), len(body)) + header + body
+    return struct.pack(LENGTHS, len(header), len(body)) + header + body
 
 
 @dataclass

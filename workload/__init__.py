@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("frames",)
+MODULES = ("frames", "tensors", "state", "catalogs", "streams")
 
 
 def load() -> None:

@@ -77,7 +77,8 @@ step AS (
         / (k.w * k.h + r.width * r.height - (least(k.l + k.w, r."left" + r.width) - greatest(k.l, r."left")) * (least(k.t + k.h, r.top + r.height) - greatest(k.t, r.top))) > 0.45)) > 0
     THEN s.kept ELSE list_append(s.kept, {'o': r.det_order, 'l': r."left", 't': r.top, 'w': r.width, 'h': r.height, 'c': r.confidence}) END
   FROM step s JOIN r ON r.stream_id = s.stream_id AND r.frame = s.frame AND r.class_id = s.class_id AND r.rk = s.rk + 1),
-final AS (SELECT stream_id, frame, class_id, unnest(arg_max(kept, rk)) AS u FROM step GROUP BY ALL)"""
+lastk AS (SELECT stream_id, frame, class_id, arg_max(kept, rk) AS kept FROM step GROUP BY ALL),
+final AS (SELECT stream_id, frame, class_id, unnest(kept) AS u FROM lastk)"""
 
 
 @query("nms", DET, NMS, recursive=True,

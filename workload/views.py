@@ -262,7 +262,7 @@ REG = """reg AS (SELECT 'm' || lpad(CAST((p_partkey * 7919) % 100003 AS VARCHAR)
 
 
 def ckpt(spark: SparkSession, sf: str) -> DataFrame:
-    """Checkpoint inventories: each supplier is a checkpoint, its order lines are tensors."""
+    """Checkpoint inventories: suppliers have ten checkpoints each, order lines are tensors."""
     c = F.col
     n = c("l_orderkey") % 28
     heads = F.array(*[F.lit(h) for h in HEAD_CLASS_COUNTS])
@@ -279,12 +279,12 @@ def ckpt(spark: SparkSession, sf: str) -> DataFrame:
     for i, name in fixed.items():
         key = key.when(n == 20 + i, F.lit(name))
     return table(spark, sf, "lineitem").select(
-        c("l_suppkey").alias("ckpt"), key.otherwise(F.lit("other.weight")).alias("key"),
+        (c("l_suppkey") * 10 + c("l_partkey") % 10).alias("ckpt"), key.otherwise(F.lit("other.weight")).alias("key"),
         (c("l_quantity").cast("int") * 16 + 1).alias("dim0"), (c("l_linenumber") * 128).cast("int").alias("dim1"),
     )
 
 
-CKPT = """ckpt AS (SELECT l_suppkey AS ckpt, CASE
+CKPT = """ckpt AS (SELECT l_suppkey * 10 + l_partkey % 10 AS ckpt, CASE
     WHEN l_orderkey % 28 < 12 THEN 'heads.' || (['severe_hemorrhage','respiratory_distress','trauma_head','trauma_torso',
       'trauma_upper_ext','trauma_lower_ext','alertness_ocular','person_type'])[l_orderkey % 8 + 1]
       || CASE WHEN l_linenumber < 4 THEN '.weight' ELSE '.bias' END
