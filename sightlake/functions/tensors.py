@@ -95,15 +95,6 @@ def prediction(logits, classes) -> Column:
     return F.when(F.size(used) > 0, let(softmax(used), pick))
 
 
-def head_label(head: str, class_id) -> Column:
-    """Label text of a class of a fixed head."""
-    class_id = _col(class_id)
-    text = F.concat(F.lit(f"{head}=class"), class_id.cast("string"))
-    for number, label in HEAD_LABELS.get(head, {}).items():
-        text = F.when(class_id == number, F.lit(label)).otherwise(text)
-    return text
-
-
 def label_text(head, class_id) -> Column:
     """Label text where the head is a column; unmapped classes read head=classN."""
     head, class_id = _col(head), _col(class_id)
@@ -116,13 +107,13 @@ def label_text(head, class_id) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*known), key), fallback)
 
 
-def labels_of(predictions) -> Callable[[str], Column]:
-    """Function from head name to label column for a prediction map; absent heads read ''."""
+def labels_of(predictions) -> Callable[[Column], Column]:
+    """Function from head to label for a prediction map; absent heads read ''."""
     predictions = _col(predictions)
 
-    def label(head: str) -> Column:
-        found = F.try_element_at(predictions, F.lit(head))
-        return F.when(found.isNull(), F.lit("")).otherwise(head_label(head, found["class_id"]))
+    def label(head: Column) -> Column:
+        found = F.try_element_at(predictions, head)
+        return F.when(found.isNull(), F.lit("")).otherwise(label_text(head, found["class_id"]))
 
     return label
 

@@ -73,14 +73,15 @@ def assess_row(object_id, bbox, lines) -> Column:
 def label_lines(object_id, label_of, detector_label: str = "person") -> Column:
     """Header line plus one line per display row that has a label.
 
-    ``label_of`` maps a head name to its label column (empty text when absent).
+    ``label_of`` maps a head to its label (empty text when absent).
     """
     header = F.concat(F.lit(f"{detector_label} "), _col(object_id).cast("string"), F.lit(" injuries:"))
-    rows = []
-    for heads in DISPLAY_ROWS:
-        shown = F.filter(F.array(*[label_of(h) for h in heads]), lambda label: label != "")
-        rows.append(F.array_join(shown, "  "))
-    return F.concat(F.array(header), F.filter(F.array(*rows), lambda line: line != ""))
+
+    def line(heads: Column) -> Column:
+        return F.array_join(F.filter(F.transform(heads, label_of), lambda label: label != ""), "  ")
+
+    rows = F.transform(F.array(*[F.array(*[F.lit(h) for h in row]) for row in DISPLAY_ROWS]), line)
+    return F.concat(F.array(header), F.filter(rows, lambda text: text != ""))
 
 
 def label_log(lines) -> Column:

@@ -12,22 +12,23 @@ from ..skew import BUCKET_ROWS, bucketed_last_before
 BUFFER_KEYS = ("stream_id", "stage", "buf_key")
 
 
-def _pick(df: DataFrame, keys: Sequence[str], arrival: str, choose) -> DataFrame:
+def _pick(df: DataFrame, keys: Sequence[str], arrival: str, extreme, choose) -> DataFrame:
+    # one aggregate per column, not one per row struct: unused columns are pruned, and
+    # numbers stay in hash aggregation. Arrival numbers are unique within a key.
     rest = [c for c in df.columns if c not in (*keys, arrival)]
-    picked = df.groupBy(*keys).agg(
-        choose(F.struct(arrival, *rest), F.col(arrival)).alias("_row")
+    return df.groupBy(*keys).agg(
+        extreme(arrival).alias(arrival), *[choose(c, arrival).alias(c) for c in rest]
     )
-    return picked.select(*keys, "_row.*")
 
 
 def first_wins(df: DataFrame, keys: Sequence[str] = FRAME_KEYS, arrival: str = "arrival_seq") -> DataFrame:
     """The first put per key; later puts change nothing. Combined before the shuffle."""
-    return _pick(df, keys, arrival, F.min_by)
+    return _pick(df, keys, arrival, F.min, F.min_by)
 
 
 def last_wins(df: DataFrame, keys: Sequence[str] = FRAME_KEYS, arrival: str = "arrival_seq") -> DataFrame:
     """The latest put per key. Combined before the shuffle."""
-    return _pick(df, keys, arrival, F.max_by)
+    return _pick(df, keys, arrival, F.max, F.max_by)
 
 
 def retain_newest(

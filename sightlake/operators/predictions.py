@@ -35,12 +35,15 @@ def predict_objects(
         F.max_by("logits", F.when(F.col("_head") == head, F.col("layer_index"))).alias(f"_h{i}")
         for i, head in enumerate(HEADS)
     ])
-    entries = F.array(*[
-        F.struct(F.lit(head).alias("key"), prediction(f"_h{i}", HEAD_CLASS_COUNTS[head]).alias("value"))
-        for i, head in enumerate(HEADS)
+    heads = F.array(*[
+        F.struct(F.lit(head).alias("key"), F.lit(classes).alias("n"), F.col(f"_h{i}").alias("logits"))
+        for i, (head, classes) in enumerate(HEAD_CLASS_COUNTS.items())
     ])
-    present = F.filter(entries, lambda e: e["value"].isNotNull())
-    return chosen.select(*keys, F.map_from_entries(present).alias("predictions"))
+    entries = F.transform(
+        F.filter(heads, lambda h: h["logits"].isNotNull()),
+        lambda h: F.struct(h["key"].alias("key"), prediction(h["logits"], h["n"]).alias("value")),
+    )
+    return chosen.select(*keys, F.map_from_entries(entries).alias("predictions"))
 
 
 def explode_heads(predicted: DataFrame, keys: Sequence[str] = OBJECT_KEYS) -> DataFrame:

@@ -37,6 +37,5 @@ def target_boxes(
 
 
 def images_with_payload(frames: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Image records that have a payload. Only keys, times and sizes take part in the shuffle."""
-    stage = F.lit("IMAGE")
-    return join_payloads(image_records(frames), payloads.withColumn("stage", stage))
+    """Image records that have a payload, matched on the buffer key of their stream."""
+    return join_payloads(image_records(frames), payloads, ("stream_id", "buf_key"))

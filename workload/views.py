@@ -5,7 +5,7 @@ Every view exists twice, as a Spark DataFrame and as DuckDB SQL with the same ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sightlake.constants import HEAD_CLASS_COUNTS, STAGES
 from sightlake.skew import HotKeys, find_hot_keys, group_row_number
@@ -19,25 +19,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _events(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return table(spark, sf, "events").withColumn("us", F.expr("unix_micros(CAST(ts AS TIMESTAMP))"))
 
 
 def frm(spark: SparkSession, sf: str) -> DataFrame:
-    e, id5 = F.col("event_id"), F.col("event_id") % 5
-    ns = F.col("us") * 1000
-    late = F.col("event_id") % 20 == 4
-    wide = F.col("event_id") % 4 < 2
-    return _events(spark, sf).select(
-        (e % 4).cast("int").alias("stream_id"), e.alias("frame"), ns.alias("unix_ns"),
-        F.when(id5 == 0, ns + F.lit(NTP)).when(id5 == 1, F.lit(0)).alias("ntp_raw"),
-        F.when(id5.isin(0, 1), ns).alias("ref_raw"),
-        F.when(id5 == 2, (e - 2) * 33333333).alias("buf_pts"),
-        F.when(id5 == 4, F.lit(-1)).otherwise(e * 33333333).alias("pts"),
-        F.when(late, e * 1000).otherwise(F.lit(-1)).alias("dts"),
-        F.when(id5 != 4, e * 33333333).when(late, e * 1000).alias("buf_key"),
-        F.when(e % 7 == 0, e.cast("string")).when(e % 7 == 1, F.lit("bad")).alias("explicit_id"),
-        F.when(wide, 1920).otherwise(1280).alias("src_w"), F.when(wide, 1080).otherwise(720).alias("src_h"),
-        F.lit(640).alias("img_w"), F.lit(368).alias("img_h"), e.alias("arrival_seq"),
+    return _events(spark, sf).selectExpr(
+        "CAST(event_id % 4 AS INT) AS stream_id", "event_id AS frame", "us * 1000 AS unix_ns",
+        f"CASE event_id % 5 WHEN 0 THEN us * 1000 + {NTP} WHEN 1 THEN 0 END AS ntp_raw",
+        "CASE WHEN event_id % 5 IN (0, 1) THEN us * 1000 END AS ref_raw",
+        "CASE WHEN event_id % 5 = 2 THEN (event_id - 2) * 33333333 END AS buf_pts",
+        "CASE WHEN event_id % 5 = 4 THEN -1 ELSE event_id * 33333333 END AS pts",
+        "CASE WHEN event_id % 20 = 4 THEN event_id * 1000 ELSE -1 END AS dts",
+        "CASE WHEN event_id % 5 <> 4 THEN event_id * 33333333 WHEN event_id % 20 = 4 THEN event_id * 1000 END AS buf_key",
+        "CASE event_id % 7 WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN 'bad' END AS explicit_id",
+        "CASE WHEN event_id % 4 < 2 THEN 1920 ELSE 1280 END AS src_w",
+        "CASE WHEN event_id % 4 < 2 THEN 1080 ELSE 720 END AS src_h",
+        "640 AS img_w", "368 AS img_h", "event_id AS arrival_seq",
     )
 
 
@@ -67,14 +64,12 @@ def hot_frames(spark: SparkSession, sf: str) -> HotKeys:
 
 def det(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
-    boxes = table(spark, sf, "lineitem").select(
-        (c("l_orderkey") % 4).cast("int").alias("stream_id"), c("l_orderkey").alias("frame"),
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
-        (c("l_suppkey") % 3).cast("int").alias("class_id"),
-        ((c("l_partkey") % 4) * 60).cast("double").alias("left"),
-        ((c("l_suppkey") % 3) * 50).cast("double").alias("top"),
-        (c("l_quantity") * 4).alias("width"), (c("l_quantity") * 2 + c("l_linenumber") * 6).alias("height"),
-        ((9 * F.round(c("l_discount") * 100) + F.round(c("l_tax") * 100)).cast("double") / F.lit(100.0)).alias("confidence"),
+    boxes = table(spark, sf, "lineitem").selectExpr(
+        "CAST(l_orderkey % 4 AS INT) AS stream_id", "l_orderkey AS frame",
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "CAST(l_suppkey % 3 AS INT) AS class_id",
+        "CAST((l_partkey % 4) * 60 AS DOUBLE) AS left", "CAST((l_suppkey % 3) * 50 AS DOUBLE) AS top",
+        "l_quantity * 4 AS width", "l_quantity * 2 + l_linenumber * 6 AS height",
+        "CAST(9 * round(l_discount * 100) + round(l_tax * 100) AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence",
     )
     order = [c("l_linenumber"), c("l_partkey"), c("l_suppkey"), c("l_extendedprice")]
     placed = group_row_number(boxes, ["frame"], order, "_rn", hot_frames(spark, sf))
@@ -93,27 +88,24 @@ DET = """det AS (SELECT CAST(l_orderkey % 4 AS INT) AS stream_id, l_orderkey AS
 FROM lineitem)"""
 
 
-def _head_slices(values: Column) -> Column:
+def _head_slices() -> str:
     layers, start = [], 1
     for index, (head, n) in enumerate(HEAD_CLASS_COUNTS.items()):
-        layers.append(F.struct(
-            F.lit(index).alias("layer_index"), F.lit(head).alias("name"),
-            F.slice(values, start, n).cast("array<double>").alias("logits"),
-        ))
+        logits = f"CAST(slice(embedding, {start}, {n}) AS ARRAY<DOUBLE>)"
+        layers.append(f"named_struct('layer_index', {index}, 'name', '{head}', 'logits', {logits})")
         start += n
-    return F.array(*layers)
+    return f"array({', '.join(layers)})"
 
 
 def logit(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("vec_id")
-    third = F.call_function("div", v, F.lit(3))
-    return table(spark, sf, "embeddings").select(
-        v, (third % 4).cast("int").alias("stream_id"), third.alias("frame"),
-        (v % 3).cast("int").alias("object_id"), F.inline(_head_slices(F.col("embedding"))),
-    ).withColumn(
-        "layer_name",
-        F.when(v % 4 == 3, F.concat(F.lit("out_"), F.col("layer_index").cast("string"))).otherwise(F.col("name")),
-    ).drop("name")
+    layers = table(spark, sf, "embeddings").selectExpr(
+        "vec_id", "CAST((vec_id div 3) % 4 AS INT) AS stream_id", "vec_id div 3 AS frame",
+        "CAST(vec_id % 3 AS INT) AS object_id", f"inline({_head_slices()})",
+    )
+    return layers.selectExpr(
+        "vec_id", "stream_id", "frame", "object_id", "layer_index", "logits",
+        "CASE WHEN vec_id % 4 = 3 THEN 'out_' || layer_index ELSE name END AS layer_name",
+    )
 
 
 LOGIT = """h(i, off, n, name) AS (VALUES (0,0,2,'severe_hemorrhage'),(1,2,2,'respiratory_distress'),(2,4,2,'trauma_head'),
@@ -134,20 +126,16 @@ pred AS (SELECT stream_id, frame, object_id, head, CAST(list_position(p, list_ma
 
 
 def mrk(spark: SparkSession, sf: str) -> DataFrame:
-    e, us = F.col("event_id"), F.col("us")
     offsets = {
-        "mux": F.lit(0), "infer": 4000 + (e % 7) * 100, "assessment": 12000 + (e % 11) * 50,
-        "convert": F.lit(13000), "osd": F.lit(13300), "sink": 13500 + (e % 3) * 10,
+        "mux": "0", "infer": "4000 + (event_id % 7) * 100", "assessment": "12000 + (event_id % 11) * 50",
+        "convert": "13000", "osd": "13300", "sink": "13500 + (event_id % 3) * 10",
     }
-    marks = F.array(*[
-        F.struct(F.lit(s).alias("stage"), (us + offsets[s]).cast("bigint").alias("t_us")) for s in STAGES
-    ])
-    return _events(spark, sf).select(
-        (e % 4).cast("int").alias("stream_id"), e.alias("frame"), "event_type", e.alias("arrival_seq"),
-        F.inline(marks),
+    marks = ", ".join(f"named_struct('stage', '{s}', 't_us', CAST(us + {offsets[s]} AS BIGINT))" for s in STAGES)
+    return _events(spark, sf).selectExpr(
+        "CAST(event_id % 4 AS INT) AS stream_id", "event_id AS frame", "event_type", "event_id AS arrival_seq",
+        f"inline(array({marks}))",
     ).filter(
-        ~((F.col("stage") == "assessment") & (F.col("event_type") == "view"))
-        & ~((F.col("stage") == "sink") & (F.col("event_type") == "error"))
+        "NOT (stage = 'assessment' AND event_type = 'view') AND NOT (stage = 'sink' AND event_type = 'error')"
     ).drop("event_type")
 
 
@@ -163,11 +151,10 @@ wide AS (SELECT stream_id, frame, max(t_us) FILTER (stage = 'mux') AS mux, max(t
 
 
 def pay(spark: SparkSession, sf: str) -> DataFrame:
-    e = F.col("event_id")
-    return table(spark, sf, "events").filter(e % 10 != 3).select(
-        (e % 4).cast("int").alias("stream_id"),
-        F.when(e % 5 != 4, e * 33333333).when(e % 20 == 4, e * 1000).alias("buf_key"),
-        (F.length("props") * 100 + e % 13).cast("bigint").alias("n_bytes"), e.alias("arrival_seq"),
+    return table(spark, sf, "events").filter("event_id % 10 <> 3").selectExpr(
+        "CAST(event_id % 4 AS INT) AS stream_id",
+        "CASE WHEN event_id % 5 <> 4 THEN event_id * 33333333 WHEN event_id % 20 = 4 THEN event_id * 1000 END AS buf_key",
+        "CAST(length(props) * 100 + event_id % 13 AS BIGINT) AS n_bytes", "event_id AS arrival_seq",
     )
 
 
@@ -178,12 +165,10 @@ FROM events WHERE event_id % 10 <> 3)"""
 
 
 def arr(spark: SparkSession, sf: str) -> DataFrame:
-    e = F.col("event_id")
-    half = F.call_function("div", e, F.lit(2))
-    return _events(spark, sf).select(
-        (half % 4).cast("int").alias("stream_id"), half.alias("frame"), e.alias("arrival_seq"),
-        (F.col("us") - F.when(e % 50 == 0, F.lit(7_200_000_000)).otherwise(F.lit(0))).alias("event_us"),
-        F.col("event_type").alias("source"), F.col("value").alias("val"),
+    return _events(spark, sf).selectExpr(
+        "CAST((event_id div 2) % 4 AS INT) AS stream_id", "event_id div 2 AS frame", "event_id AS arrival_seq",
+        "us - CASE WHEN event_id % 50 = 0 THEN 7200000000 ELSE 0 END AS event_us", "event_type AS source",
+        "value AS val",
     )
 
 
