@@ -32,20 +32,20 @@ def element_count(num_elements, dims) -> Column:
 
 
 def _decode_batch(data: pd.Series, dtype: pd.Series, count: pd.Series) -> pd.Series:
-    out = pd.Series([np.empty(0)] * len(data), index=data.index, dtype=object)
-    usable = data.notna() & (count > 0)
+    out = [np.empty(0)] * len(data)
+    usable = (data.notna() & (count > 0)).to_numpy()
     for name, layout in ELEMENT_TYPES.items():
-        rows = data.index[usable & (dtype == name)]
+        rows = np.flatnonzero(usable & (dtype == name).to_numpy())
         if not len(rows):
             continue
         size = np.dtype(layout).itemsize
-        buffers = [data[i][: int(count[i]) * size] for i in rows]
+        buffers = [data.iloc[i][: int(count.iloc[i]) * size] for i in rows]
         lengths = [len(b) // size for b in buffers]
         joined = b"".join(b[: n * size] for b, n in zip(buffers, lengths))
         values = np.frombuffer(joined, dtype=layout).astype("float64")
         for i, part in zip(rows, np.split(values, np.cumsum(lengths)[:-1])):
             out[i] = part
-    return out
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -48,9 +48,10 @@ def _apply(upto: np.ndarray, leave: np.ndarray, entry):
     return np.where(at < len(upto), leave[np.minimum(at, len(upto) - 1)], entry)
 
 
-def _compose(parts: list[tuple[np.ndarray, np.ndarray]], start: int, interval: int):
-    upto, leave = parts[-1]
-    for before, exits in reversed(parts[:-1]):
+def _compose(parts: list[tuple[int, np.ndarray, np.ndarray]], interval: int):
+    """Steps of consecutive chunks, each with its start, as the steps of all of them."""
+    _, upto, leave = parts[-1]
+    for start, before, exits in reversed(parts[:-1]):
         upto, leave = (
             np.concatenate([before, upto]), np.concatenate([_apply(upto, leave, exits), leave])
         )
@@ -83,8 +84,8 @@ def _emitted_times(
             yield number, (rows_["upto"].to_numpy(), rows_["leave"].to_numpy())
 
     def compose_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = int(pdf["run"].iloc[0]) * run_width
-        upto, leave = _compose([steps for _, steps in by_part(pdf, "chunk")], start, interval)
+        parts = [(int(number) * width, *steps) for number, steps in by_part(pdf, "chunk")]
+        upto, leave = _compose(parts, interval)
         return pd.DataFrame({**head(pdf, len(upto), "run"), "upto": upto, "leave": leave})
 
     def walk(pdf: pd.DataFrame, part: str, entry: int) -> pd.DataFrame:
