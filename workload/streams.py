@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, functions as F
 
 from sightlake.operators.records import image_records
@@ -19,25 +21,29 @@ BATCHES = 3
 CLOSING = -1  # stream of the row that moves the watermark past everything else
 
 
-def land(df: DataFrame, arrival: str, times: dict[str, str] | None = None) -> DataFrame:
-    """Write ``df`` as successive files in arrival order and read it as a stream.
+def landings(df: DataFrame, arrival: str, times: dict[str, int] | None = None) -> Iterator[DataFrame]:
+    """``df`` in successive shares of its arrival numbers, then the closing row.
 
-    ``times`` names columns of the closing row and how far (an SQL number) they lie ahead.
+    ``times`` names columns of the closing row and how far they lie ahead.
     """
-    spark = df.sparkSession
-    path = new_path(spark, "landing")
     bounds = df.agg(F.max(arrival).alias("last"), *[F.max(c).alias(c) for c in times or {}]).first()
     size = bounds["last"] // BATCHES + 1
     for n in range(BATCHES):
-        part = df.filter((F.col(arrival) >= n * size) & (F.col(arrival) < (n + 1) * size))
-        part.write.mode("append").parquet(path)
+        yield df.filter((F.col(arrival) >= n * size) & (F.col(arrival) < (n + 1) * size))
     if times:
-        closing = {c: F.lit(bounds[c] + int(ahead)) for c, ahead in times.items()}
+        closing = {c: F.lit(bounds[c] + ahead) for c, ahead in times.items()}
         closing["stream_id"] = F.lit(CLOSING)
-        row = spark.range(1).select(*[
+        yield df.sparkSession.range(1).select(*[
             closing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields
         ])
-        row.write.mode("append").parquet(path)
+
+
+def land(df: DataFrame, arrival: str, times: dict[str, int] | None = None) -> DataFrame:
+    """Write ``df`` as successive files in arrival order and read it as a stream."""
+    spark = df.sparkSession
+    path = new_path(spark, "landing")
+    for part in landings(df, arrival, times):
+        part.write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
 
 
@@ -61,12 +67,24 @@ def stream_first_wins(spark, sf):
     return finish(S.first_wins(stream, "12 hours"), "first-wins").select(*KEYS, "arrival_seq", "source", "val")
 
 
-@query("stream_late_drop")
+@query("stream_late_drop", ARR, """b AS (SELECT *, arrival_seq // (SELECT max(event_id) // 3 + 1 FROM events) AS batch, event_us - event_us % 3600000000 AS window_us FROM arr),
+top AS (SELECT batch, max(event_us) // 1000 * 1000 AS top_us FROM b GROUP BY batch),
+mark AS (SELECT b.batch, max(top_us) AS watermark FROM (SELECT DISTINCT batch FROM b) b JOIN top ON top.batch < b.batch GROUP BY b.batch)""",
+       sql="""SELECT stream_id, window_us, count(*) AS frames, count(*) / 3600.0::DOUBLE AS fps FROM b LEFT JOIN mark USING (batch)
+  WHERE watermark IS NULL OR window_us + 3600000000 > watermark GROUP BY stream_id, window_us""")
 def stream_late_drop(spark, sf):
-    """Hourly counts with no lateness budget: rows two hours late are dropped."""
+    """Hourly counts with no lateness budget: what arrives after its hour is closed is dropped.
+
+    Each landing is processed before the next one arrives, so the watermark has moved on.
+    """
     puts = V.arr(spark, sf).withColumn("ts_ns", F.col("event_us") * 1000).drop("event_us")
-    stream = S.with_event_time(land(puts, "arrival_seq", {"ts_ns": 2 * DAY_NS}), "ts_ns", "0 seconds")
-    return finish(S.output_fps(stream, 3600), "late-drop")
+    landing, path = new_path(spark, "landing"), new_path(spark, "late-drop")
+    for part in landings(puts, "arrival_seq", {"ts_ns": 2 * DAY_NS}):
+        part.write.mode("append").parquet(landing)
+        stream = S.with_event_time(spark.readStream.schema(puts.schema).parquet(landing), "ts_ns", "0 seconds")
+        counts = S.output_fps(stream, 3600)
+        sinks.start_table(counts, path, f"{path}-state").awaitTermination()
+    return spark.read.schema(counts.schema).parquet(path).filter(F.col("stream_id") != CLOSING)
 
 
 @query("stream_payload_join", FRM, PAY, sql="""SELECT f.stream_id, f.frame, f.buf_key, p.n_bytes FROM frm f JOIN pay p ON f.stream_id = p.stream_id AND f.buf_key = p.buf_key""")
