@@ -16,7 +16,7 @@ from ..functions.clock import format_timestamp, resolve_timestamp
 from ..functions.geometry import bbox, scale_bbox
 from ..functions.identity import data_source_id
 from ..functions.tensors import complete_predictions, labels_of
-from ..skew import HotKeys, find_hot_keys, no_hot_keys, sliced_row_number
+from ..skew import HotKeys, broadcast_if_small, find_hot_keys, no_hot_keys, sliced_row_number
 
 PART_OBJECTS = 4096
 # groups become arrays here, so the limit is far below that of plain windows
@@ -86,10 +86,8 @@ def attach_objects(
     how = "left" if keep_empty else "inner"
     if hot.present:
         regular = hot.exclude(frames).join(hot.exclude(nested), keys, how)
-        few = hot.only(frames)
-        joined = regular.unionByName(
-            hot.only(nested).join(F.broadcast(few) if hot.small else few, keys), allowMissingColumns=True
-        )
+        few = broadcast_if_small(hot.only(frames))
+        joined = regular.unionByName(hot.only(nested).join(few, keys), allowMissingColumns=True)
     else:
         joined = frames.join(nested, keys, how)
     empty = F.array().cast(nested.schema["objects"].dataType)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..constants import FRAME_KEYS
 
 CHUNK_INTERVALS = 256
-RUN_CHUNKS = 1024
+RUN_CHUNKS = 256
 _OPEN = np.iinfo(np.int64).min
 
 

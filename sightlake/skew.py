@@ -23,6 +23,11 @@ MAX_BROADCAST_KEYS = 10_000
 BUCKET_ROWS = 65_536
 
 
+def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """Mark for broadcast after counting; above ``limit`` rows the join stays a shuffle join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 @dataclass(frozen=True)
 class HotKeys:
     """Keys of groups above a row limit. ``table`` is None when there are none."""

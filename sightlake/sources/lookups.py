@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..constants import DETECTOR_CLASSES
 from ..functions.clock import integer_text
 from ..schemas import REGISTRY_ENTRY
+from ..skew import broadcast_if_small
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -23,8 +24,8 @@ def detector_labels(spark: SparkSession) -> DataFrame:
 
 
 def with_class_name(detections: DataFrame, labels: DataFrame) -> DataFrame:
-    """Detections with their class name. ``labels`` is a class list (bounded by the detector)."""
-    dim = F.broadcast(labels.withColumnRenamed("name", "class_name"))
+    """Detections with their class name. A class list of ordinary size is broadcast."""
+    dim = broadcast_if_small(labels.withColumnRenamed("name", "class_name"))
     return detections.join(dim, "class_id", "left")
 
 

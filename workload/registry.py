@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import workload
 from sightlake.session import prepare
 
+# functions of these modules travel to Python workers with the task
+cloudpickle.register_pickle_by_value(workload)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

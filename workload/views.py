@@ -11,6 +11,7 @@ from sightlake.constants import HEAD_CLASS_COUNTS, STAGES
 from sightlake.skew import HotKeys, find_hot_keys, group_row_number
 
 NTP = 2_208_988_800_000_000_000
+HOT_LIMIT = 20_000
 _hot: dict[tuple, HotKeys] = {}
 
 
@@ -55,10 +56,10 @@ FRM = """frm AS (SELECT CAST(event_id % 4 AS INT) AS stream_id, event_id AS fram
 
 def hot_frames(spark: SparkSession, sf: str) -> HotKeys:
     """Oversized frames of the detections, found once per table and session."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, HOT_LIMIT)
     if key not in _hot:
         orders = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame"))
-        _hot[key] = find_hot_keys(orders, ["frame"], limit=20_000)
+        _hot[key] = find_hot_keys(orders, ["frame"], limit=HOT_LIMIT)
     return _hot[key]
 
 
