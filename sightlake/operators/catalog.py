@@ -140,7 +140,8 @@ def checkpoint_spec(checkpoint: DataFrame) -> DataFrame:
 
     def block(pattern: str) -> Column:
         # a set is bounded by the model's depth and, unlike two distinct counts, multiplies no rows
-        return F.size(F.collect_set(F.regexp_extract("key", pattern, 1).try_cast("int"))).cast("bigint")
+        number = F.regexp_extract("key", pattern, 1)
+        return F.size(F.collect_set(F.when(number != "", number.cast("int")))).cast("bigint")
 
     def dim(key: str, value: Column) -> Column:
         return F.max(F.when(F.col("key") == key, value))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..constants import FRAME_KEYS, STAGES
 from ..functions.clock import rate_from_ms, rate_from_seconds
+from ..skew import bucketed_row_number
+from .sampling import interval_sample
 
 
 def pivot_stages(
@@ -85,3 +87,24 @@ def output_fps(
     return frames.groupBy(*by, opened.alias("window_us")).agg(
         F.count("*").alias("frames"), (F.count("*") / F.lit(float(seconds))).alias("fps")
     )
+
+
+def reported_fps(
+    frames: DataFrame, interval_us: int = 1_000_000, time: str = "ts_us", by: Sequence[str] = ("stream_id",),
+    arrival: str = "arrival_seq",
+) -> DataFrame:
+    """Rate reports as a live counter makes them: one at the first frame at least an interval
+    after the last report, over the frames and the time since then. Counting starts with
+    the stream's first frame, which makes no report.
+    """
+    counted = bucketed_row_number(frames.select(*by, arrival, time), by, arrival, "_n")
+    # only reports, at most one per interval, meet in the per-stream window
+    order = W.partitionBy(*by).orderBy(time)
+    reports = interval_sample(counted, interval_us, by, time, arrival).withColumns({
+        "_since": F.lag(time).over(order),
+        "_seen": F.when(F.row_number().over(order) == 2, F.lit(0)).otherwise(F.lag("_n").over(order)),
+    }).filter(F.col("_since").isNotNull())
+    return reports.select(
+        *by, F.col(time), (F.col("_n") - F.col("_seen")).alias("frames"),
+        ((F.col("_n") - F.col("_seen")) / ((F.col(time) - F.col("_since")) / F.lit(1e6))).alias("fps"),
+    )

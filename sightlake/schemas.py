@@ -55,6 +55,8 @@ PACKET = T.StructType([
     T.StructField("seq", T.LongType()),
     T.StructField("metadata", T.StringType()),
     T.StructField("payload", T.BinaryType()),
+    T.StructField("offset", T.LongType()),
+    T.StructField("n_bytes", T.LongType()),
 ])
 
 REGISTRY_ENTRY = T.StructType([

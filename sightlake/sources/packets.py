@@ -12,8 +12,9 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage,
 )
@@ -39,15 +40,21 @@ def _take(stream, size: int) -> bytes | None:
     return data if len(data) == size else None
 
 
-def read_records(stream) -> Iterator[tuple[str, bytes]]:
-    """Complete records; a cut-off last one yields nothing."""
+def read_records(stream, with_payload: bool = True) -> Iterator[tuple[str, bytes | None, int, int]]:
+    """(header, payload, payload offset, payload size) of complete records.
+
+    A cut-off last record yields nothing. Without payload its bytes are skipped, not read.
+    """
+    end = stream.size()
     while (lengths := _take(stream, struct.calcsize(LENGTHS))) is not None:
         header_size, payload_size = struct.unpack(LENGTHS, lengths)
         header = _take(stream, header_size)
-        payload = None if header is None else _take(stream, payload_size)
-        if payload is None:
+        offset = stream.tell()
+        if header is None or offset + payload_size > end:
             return
-        yield header.decode("utf-8"), payload
+        payload = _take(stream, payload_size) if with_payload else None
+        stream.seek(offset + payload_size)
+        yield header.decode("utf-8"), payload, offset, payload_size
 
 
 def frame_record(metadata: str, payload: bytes | None) -> bytes:
@@ -61,8 +68,9 @@ class CaptureFile(InputPartition):
 
 
 class PacketReader(DataSourceReader):
-    def __init__(self, path: str):
+    def __init__(self, path: str, with_payload: bool):
         self.path = path
+        self.with_payload = with_payload
 
     def partitions(self):
         files, root = _open(self.path)
@@ -79,9 +87,9 @@ class PacketReader(DataSourceReader):
 
     def read(self, partition):
         files, path = _open(partition.path)
-        with files.open_input_stream(path) as stream:
-            for seq, (metadata, payload) in enumerate(read_records(stream)):
-                yield partition.path, seq, metadata, payload
+        with files.open_input_file(path) as stream:
+            for seq, (metadata, *rest) in enumerate(read_records(stream, self.with_payload)):
+                yield partition.path, seq, metadata, *rest
 
 
 @dataclass
@@ -138,7 +146,7 @@ class FramedPackets(DataSource):
         return PACKET
 
     def reader(self, schema):
-        return PacketReader(self.options["path"])
+        return PacketReader(self.options["path"], self.options.get("payload", "true") == "true")
 
     def writer(self, schema, overwrite):
         return PacketWriter(self.options["path"], int(self.options.get("roll_bytes", ROLL_BYTES)))
@@ -148,10 +156,28 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FramedPackets)
 
 
-def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """(path, seq, metadata JSON, payload) of all capture files under ``path``."""
+def read_packets(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """(path, seq, metadata JSON, payload, offset, n_bytes) of all capture files under ``path``.
+
+    With ``payload=False`` only headers are read and payload is NULL: filter and join
+    those small rows, then load what is left with ``load_payload``.
+    """
     register(spark)
-    return spark.read.format(FORMAT).load(path)
+    return spark.read.format(FORMAT).option("payload", str(payload).lower()).load(path)
+
+
+@F.pandas_udf(T.BinaryType())
+def load_payload(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Payload bytes from (path, offset, n_bytes); no shuffle carries them."""
+    for paths, offsets, sizes in batches:
+        out = pd.Series([None] * len(paths), dtype=object)
+        places = pd.DataFrame({"path": paths, "offset": offsets, "size": sizes}).reset_index(drop=True)
+        for path, part in places.sort_values(["path", "offset"]).groupby("path", sort=False):
+            files, name = _open(path)
+            with files.open_input_file(name) as stream:
+                for at, offset, size in zip(part.index, part["offset"], part["size"]):
+                    out[at] = stream.read_at(int(size), int(offset)) if size else b""
+        yield out
 
 
 def write_packets(packets: DataFrame, path: str, roll_bytes: int = ROLL_BYTES) -> None:

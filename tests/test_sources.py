@@ -21,6 +21,10 @@ def test_scan(spark, tmp_path, rows):
     (tmp_path / "ignored.txt").write_bytes(first)
     got = K.read_packets(spark, str(tmp_path)).select("seq", F.get_json_object("metadata", "$.frame"), "payload")
     assert rows(got) == [(0, "1", bytearray(b"abc")), (0, "4", bytearray(b"z")), (1, "2", bytearray(b""))]
+    heads = K.read_packets(spark, str(tmp_path), payload=False)
+    assert heads.filter("payload IS NOT NULL").count() == 0
+    later = heads.select("seq", F.get_json_object("metadata", "$.frame"), K.load_payload("path", "offset", "n_bytes"))
+    assert rows(later) == rows(got)
 
 
 def test_round_trip(spark, tmp_path, rows):

@@ -140,6 +140,16 @@ def _written(spark, sf):
     return K.read_packets(spark, path)
 
 
+@query("packet_fetch", sql="""SELECT CASE WHEN event_id % 8 = 0 THEN '' ELSE props END AS payload, count(*) AS n FROM events GROUP BY ALL""")
+def packet_fetch(spark, sf):
+    """Headers first, payloads by reference afterwards."""
+    path = new_path(spark, "packets")
+    K.write_packets(_packets(spark, sf), path, roll_bytes=1_000_000)
+    heads = K.read_packets(spark, path, payload=False)
+    body = K.load_payload("path", "offset", "n_bytes").cast("string").alias("payload")
+    return heads.select(body).groupBy("payload").agg(F.count("*").alias("n"))
+
+
 COUNTS = """cnt AS (SELECT stream_id, frame, count(*) AS n FROM num GROUP BY ALL)"""
 
 

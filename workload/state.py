@@ -142,3 +142,14 @@ def stage_averages(spark, sf):
 def output_fps(spark, sf):
     frames = V.frm(spark, sf).withColumn("ts_us", F.expr("unix_ns div 1000"))
     return T.output_fps(frames, "ts_us", seconds=3600)
+
+
+@query("output_fps_reports", FRM, """t AS (SELECT stream_id, frame, unix_ns // 1000 AS ts_us, row_number() OVER (PARTITION BY stream_id ORDER BY arrival_seq) AS n FROM frm)""",
+       greedy("t", 3_600_000_000),
+       """r AS (SELECT t.stream_id, t.ts_us, n, lag(t.ts_us) OVER w AS since, lag(n) OVER w AS seen, row_number() OVER w AS k
+  FROM t JOIN g ON t.stream_id = g.stream_id AND t.ts_us = g.ts_us WINDOW w AS (PARTITION BY t.stream_id ORDER BY t.ts_us))""", recursive=True,
+       sql="""SELECT stream_id, ts_us, n - CASE WHEN k = 2 THEN 0 ELSE seen END AS frames,
+  (n - CASE WHEN k = 2 THEN 0 ELSE seen END) / ((ts_us - since) / 1e6::DOUBLE) AS fps FROM r WHERE since IS NOT NULL""")
+def output_fps_reports(spark, sf):
+    frames = V.frm(spark, sf).select("stream_id", "arrival_seq", F.expr("unix_ns div 1000").alias("ts_us"))
+    return T.reported_fps(frames, 3_600_000_000)
