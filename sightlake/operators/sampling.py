@@ -59,13 +59,14 @@ def _compose(parts: list[tuple[int, np.ndarray, np.ndarray]], interval: int):
     return upto, leave
 
 
-def _emitted_times(
-    rows: DataFrame, interval: int, partition: list[str], time: str, chunk_intervals: int
+def _emitted(
+    rows: DataFrame, interval: int, partition: list[str], time: str, arrival: str, chunk_intervals: int
 ) -> DataFrame:
     width = interval * chunk_intervals
     run_width = width * RUN_CHUNKS
     keys = ", ".join(rows.select(*partition).schema[p].simpleString().replace(":", " ", 1) for p in partition)
-    times = rows.select(*partition, F.col(time).alias("t")).distinct()
+    # of rows with equal time only the first to arrive can pass; one aggregate serves both uses
+    times = rows.groupBy(*partition, F.col(time).alias("t")).agg(F.min(arrival).alias("first"))
     times = times.withColumn("chunk", F.floor(F.col("t") / width)).withColumn(
         "run", F.floor(F.col("t") / run_width)
     )
@@ -97,13 +98,13 @@ def _emitted_times(
         return pd.DataFrame({**head(pdf, len(numbers)), part: numbers, "entry": entries})
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["t"].to_numpy())
-        earliest, out = int(pdf["entry"].iloc[0]), []
-        at = int(np.searchsorted(t, earliest))
+        pdf = pdf.sort_values("t")
+        t, out = pdf["t"].to_numpy(), []
+        at = int(np.searchsorted(t, int(pdf["entry"].iloc[0])))
         while at < len(t):
-            out.append(int(t[at]))
+            out.append(at)
             at = int(np.searchsorted(t, t[at] + interval))
-        return pd.DataFrame({**head(pdf, len(out)), "t": np.array(out, dtype="int64")})
+        return pdf.iloc[out][[*partition, "t", "first"]]
 
     steps = "upto bigint, leave bigint"
     chunks = times.groupBy(*partition, "run", "chunk").applyInPandas(
@@ -117,7 +118,7 @@ def _emitted_times(
         lambda pdf: walk(pdf, "chunk", int(pdf["entry"].iloc[0])), f"{keys}, chunk bigint, entry bigint"
     )
     return times.join(chunk_entries, [*partition, "chunk"]).groupBy(*partition, "chunk").applyInPandas(
-        replay, f"{keys}, t bigint"
+        replay, f"{keys}, t bigint, first bigint"
     )
 
 
@@ -139,12 +140,9 @@ def interval_sample(
     if interval == 0:
         return rows
     partition = list(partition)
-    emitted = _emitted_times(rows, interval, partition, time, chunk_intervals)
-    firsts = (
-        rows.groupBy(*partition, time).agg(F.min(arrival).alias(arrival))
-        .join(emitted.withColumnRenamed("t", time), [*partition, time], "left_semi")
-    )
-    return rows.join(firsts, [*partition, time, arrival], "left_semi")
+    emitted = _emitted(rows, interval, partition, time, arrival, chunk_intervals)
+    passed = emitted.withColumnsRenamed({"t": time, "first": arrival})
+    return rows.join(passed, [*partition, time, arrival], "left_semi")
 
 
 def interval_sample_frames(
