@@ -8,11 +8,13 @@ from pyspark.sql import functions as F, types as T
 
 from sightlake.constants import DISPLAY_ROWS, HEAD_CLASS_COUNTS, HEAD_LABELS
 from sightlake.functions import geometry, tensors as X, text
-from sightlake.operators import detections as D, keyed as K, predictions as P, records as R
+from sightlake.functions.tensors import ELEMENT_TYPES
+from sightlake.operators import detections as D, keyed as K, predictions as P
+from sightlake.operators.predictions import HeadWeights
 from sightlake.plans import assess as A
 
 from . import views as V
-from .frames import NUM, STAMP, TSR, TXT, detect_records
+from .frames import NUM, STAMP, TSR
 from .registry import query
 from .views import DET, FRM, LOGIT, PRED
 
@@ -58,9 +60,8 @@ def tensor_elements(spark, sf):
 
 @F.pandas_udf(T.BinaryType())
 def pack(values: pd.Series, dtype: pd.Series) -> pd.Series:
-    layouts = X.ELEMENT_TYPES
     return pd.Series([
-        np.asarray(v, dtype="float64").astype(layouts.get(t, "<f8")).tobytes() for v, t in zip(values, dtype)
+        np.asarray(v, dtype="float64").astype(ELEMENT_TYPES.get(t, "<f8")).tobytes() for v, t in zip(values, dtype)
     ])
 
 
@@ -290,7 +291,7 @@ def l2_normalize(spark, sf):
     )
 
 
-def head_weights() -> P.HeadWeights:
+def head_weights() -> HeadWeights:
     """Weights by rule: row r, column j holds ((7 r + 3 j) mod 11 - 5) / 10, bias r / 10."""
     row, weights, biases = 0, {}, {}
     for head, classes in HEAD_CLASS_COUNTS.items():
@@ -298,7 +299,7 @@ def head_weights() -> P.HeadWeights:
         weights[head] = ((7 * r + 3 * np.arange(EMBED_WIDTH)[None, :]) % 11 - 5) / 10
         biases[head] = r[:, 0] / 10
         row += classes
-    return P.HeadWeights(weights, biases)
+    return HeadWeights(weights, biases)
 
 
 LINEAR = """w AS (SELECT r, list_transform(range(64), lambda j: ((7 * r + 3 * j) % 11 - 5) / 10.0::DOUBLE) AS row FROM range(19) t(r)),
