@@ -119,4 +119,4 @@ def fresh_frames(
     frames: DataFrame, assessed: DataFrame, keys: Sequence[str] = FRAME_KEYS
 ) -> DataFrame:
     """Frames with at least one object that yielded predictions."""
-    return frames.join(assessed.select(*keys).distinct(), list(keys), "left_semi")
+    return frames.join(assessed.select(*keys).distinct(), list(keys), "left_semi").select(*frames.columns)

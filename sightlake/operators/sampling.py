@@ -142,7 +142,7 @@ def interval_sample(
     partition = list(partition)
     emitted = _emitted(rows, interval, partition, time, arrival, chunk_intervals)
     passed = emitted.withColumnsRenamed({"t": time, "first": arrival})
-    return rows.join(passed, [*partition, time, arrival], "left_semi")
+    return rows.join(passed, [*partition, time, arrival], "left_semi").select(*rows.columns)
 
 
 def interval_sample_frames(
@@ -159,7 +159,7 @@ def interval_sample_frames(
         return rows
     frames = rows.groupBy(*keys).agg(F.min(time).alias(time), F.min(arrival).alias(arrival))
     sampled = interval_sample(frames, interval, keys[:-1], time, arrival)
-    return rows.join(sampled.select(*keys), list(keys), "left_semi")
+    return rows.join(sampled.select(*keys), list(keys), "left_semi").select(*rows.columns)
 
 
 def latest_per_tick(

@@ -44,10 +44,10 @@ class HotKeys:
         return F.broadcast(self.table) if self.small else self.table
 
     def exclude(self, df: DataFrame) -> DataFrame:
-        return df.join(self._side(), list(self.keys), "left_anti")
+        return df.join(self._side(), list(self.keys), "left_anti").select(*df.columns)
 
     def only(self, df: DataFrame) -> DataFrame:
-        return df.join(self._side(), list(self.keys), "left_semi")
+        return df.join(self._side(), list(self.keys), "left_semi").select(*df.columns)
 
 
 def no_hot_keys(keys: Sequence[str]) -> HotKeys:
@@ -104,7 +104,7 @@ def _stitched_row_number(df: DataFrame, keys: list[str], part: str, order, out:
     return (
         local.join(starts, [*keys, part])
         .withColumn(out, (F.col("_start") + F.col("_local")).cast("bigint"))
-        .drop("_start", "_local", part)
+        .select(*[c for c in df.columns if c != part], out)
     )
 
 
