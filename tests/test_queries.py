@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.compare import connect, rows_of
+from workload.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,14 +15,15 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
-    cursor = con.execute(entry.oracle_sql()[name])
+    cursor = con.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, got) == rows_of(columns, cursor.fetchall())
