@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, token_counts
+from . import byte_bpe, exact_dedup, token_counts, token_files
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -36,3 +36,8 @@ WINDOW g AS (PARTITION BY norm)
 """)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_token_files")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.stored_documents(table(spark, sf_dir, "documents"))
