@@ -240,7 +240,7 @@ def write_token_files(
 
         def close() -> None:
             name = f"ids-{shard:06d}-{len(done):04d}-{uuid.uuid4().hex}.dac"
-            with store.open_output_stream(f"{root}/{name}") as out:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 levels.write(out)
             done.append((f"{folder}/{name}", len(levels.doc_ids), levels.n))
 
