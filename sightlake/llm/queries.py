@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, token_counts, token_files, warc
+from . import byte_bpe, exact_dedup, simhash, token_counts, token_files, warc
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -46,10 +46,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_warc", sql="""
 WITH bytes AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 hashed AS (SELECT page_id, payload, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM bytes),
-groups_of_5 AS (
-  SELECT page_id, i, list_reduce(list_transform(range(0, 5), b -> ((instr('0123456789abcdef', substr(hex, CAST((i * 5 + b) // 4 + 1 AS INT), 1)) - 1) >> CAST(3 - (i * 5 + b) % 4 AS INT)) & 1), (x, y) -> 2 * x + y) AS v
+digits AS (
+  SELECT page_id, i, (CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS INT)) & 31 AS v
   FROM hashed, range(0, 32) AS r(i)),
-digests AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v + 1 AS INT), 1), '' ORDER BY i) AS payload_digest FROM groups_of_5 GROUP BY page_id),
+digests AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v + 1 AS INT), 1), '' ORDER BY i) AS payload_digest FROM digits GROUP BY page_id),
 kept AS (SELECT hex, max(page_id) AS keeper FROM hashed GROUP BY hex)
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
@@ -58,3 +58,8 @@ FROM hashed JOIN digests USING (page_id) JOIN kept USING (hex)
 """)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op5_simhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
