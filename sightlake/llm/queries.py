@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, simhash, token_counts, token_files, warc
+from . import byte_bpe, exact_dedup, language_id, simhash, token_counts, token_files, warc
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -63,3 +63,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_simhash")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(table(spark, sf_dir, "documents"))
