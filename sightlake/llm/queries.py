@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, language_id, simhash, token_counts, token_files, warc
+from . import byte_bpe, exact_dedup, language_id, lm_score, simhash, token_counts, token_files, warc
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -68,3 +68,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_lm_score")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.corpus_scores(table(spark, sf_dir, "documents"))
