@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordCache, plain_name, text_of, vocabulary_path, windows, worker_state
+from .common import WordCache, text_of, vocabulary_path, windows, worker_state
 
 
 class RankQueue:
@@ -193,23 +193,34 @@ def with_text(
     return df.withColumn(out, decode(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """Per document: number and digest of its ids, digest of the decoded bytes. Encodes, decodes
-    and digests a text in one pass, so ids never leave the worker."""
-    result = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+def with_digests(df: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text: str = "text", out: str = "coded") -> DataFrame:
+    """``df`` with a struct: n_tokens, digest of the ids, digest of the decoded bytes. Encodes,
+    decodes and digests a text in one pass, so ids never leave the worker."""
 
-    @F.arrow_udf(result)
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(vocabulary, None)
         for texts in batches:
             n, ids, decoded = [], [], []
-            for text in texts.to_pylist():
-                packed = coder.encode(text)
+            for text_ in texts.to_pylist():
+                packed = coder.encode(text_)
                 n.append(len(packed) // 4)
                 ids.append(hashlib.sha256(packed).hexdigest())
                 decoded.append(hashlib.sha256(coder.decode(packed)).hexdigest())
             yield pa.StructArray.from_arrays(
-                [pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["n_tokens", "ids_sha256", "decoded_sha256"]
+                [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                ["n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", digest(text_of("text")).alias("r")).select("doc_id", "r.*")
+    return df.withColumn(out, digest(text_of(text)))
+
+
+def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return with_digests(docs.select("doc_id", "text"), vocabulary).select("doc_id", "coded.*")
+
+
+def tokenised(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """Per document: doc_id, lang, source, n_tokens and ids (array of integers)."""
+    coded = with_ids(docs.select("doc_id", "lang", "source", "text"), vocabulary).drop("text")
+    return coded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))

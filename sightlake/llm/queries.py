@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, language_id, lm_score, simhash, token_counts, token_files, warc
+from . import byte_bpe, chat, decontaminate, exact_dedup, language_id, lm_score, simhash, token_counts, token_files, warc
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -73,3 +73,31 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_lm_score")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.corpus_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op2_decontaminate")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_chat_rotation", sql=r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
+people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
+lines AS (
+  SELECT t.*, perspective, speaker = perspective AS own,
+    '<|turn|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
+      ELSE 'user name=' || regexp_replace(speaker, '\W', '_', 'g') END || chr(10) AS head, said || '<|end|>' AS body
+  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+placed AS (
+  SELECT *, sum(length(head || body) + 1) OVER (
+    PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, said ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS start
+  FROM lines)
+SELECT conv_id, perspective, count(*) AS n_turns,
+  string_agg(head || body || chr(10), '' ORDER BY turn NULLS LAST, speaker, said) AS rendered,
+  coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT), ',' ORDER BY turn NULLS LAST, speaker, said) FILTER (WHERE own), '') AS mask,
+  CAST(sum(CASE WHEN own THEN length(body) ELSE 0 END) AS BIGINT) AS trained_chars
+FROM placed GROUP BY conv_id, perspective
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotation_report(table(spark, sf_dir, "conversations"))
