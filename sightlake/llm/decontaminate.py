@@ -76,22 +76,27 @@ def align(pattern: np.ndarray, region: np.ndarray, low: int, high: int, budget:
     at = column + low  # region position before the first row
     cost = np.where((at >= 0) & (at <= len(region)), 0, big)
     origin = at.copy()
-    for i, symbol in enumerate(pattern):
-        at = column + low + i  # region symbol matched on each diagonal
-        inside = (at >= 0) & (at < len(region))
-        same = np.zeros(width, bool)
-        same[inside] = region[at[inside]] == symbol
-        step = np.where(inside, cost + ~same, big)
-        come = origin.copy()
-        up = np.r_[cost[1:], big] + 1  # pattern symbol left out: from the next diagonal
-        better = up < step
-        step, come = np.where(better, up, step), np.where(better, np.r_[origin[1:], 0], come)
+    # region symbols along the band's diagonals, one more row each step; -1 outside
+    padded = np.full(len(region) + 2 * big, -1, np.int64)
+    padded[big : big + len(region)] = region
+    shifted, moved = np.full(width, big), np.zeros(width, np.int64)
+    for i, symbol in enumerate(pattern.tolist()):
+        at = low + i
+        row = padded[big + at : big + at + width]
+        step = cost + (row != symbol)
+        step[row < 0] = big
+        shifted[:-1], moved[:-1] = cost[1:], origin[1:]
+        better = shifted + 1 < step  # pattern symbol left out: from the next diagonal
+        step = np.where(better, shifted + 1, step)
+        come = np.where(better, moved, origin)
         # region symbols inserted: along the row, each costs one
         flat = step - column
         lowest = np.minimum.accumulate(flat)
         source = np.maximum.accumulate(np.where(flat == lowest, column, 0))
         cost, origin = np.minimum(lowest + column, big), come[source]
-        cost = np.where((at + 1 >= 0) & (at + 1 <= len(region)), cost, big)
+        if at + 1 < 0 or at + width > len(region):
+            cost[: max(0, -at - 1)] = big
+            cost[max(0, len(region) - at) :] = big
         if cost.min() > budget:
             return None
     best = int(cost.argmin())
@@ -160,9 +165,17 @@ def find(index: GramIndex, texts: list[str]) -> list[list[tuple]]:
     band = diagonal // stride
     most = int(band.max()) + 2
     group = (owner * len(index.texts) + window) * most
-    bands, hits = np.unique(np.r_[group + band, (group + band - 1)[band > 0]], return_counts=True)
+    doubled = np.concatenate([group + band, np.where(band > 0, group + band - 1, group + band)])
+    bands, at, hits = np.unique(doubled, return_inverse=True, return_counts=True)
+    bound = np.maximum(index.bound[bands // most % len(index.texts)], 1)
+    # a repeated q-gram hits often: count places of the window and of the document, each once
+    hot = np.flatnonzero((hits >= bound)[at.ravel()])
+    at, source = at.ravel()[hot], hot % len(group)
+    enough = hits >= bound
+    for spots in (index.place[entry[source]], place[source]):
+        once = np.unique(np.stack([at, spots]), axis=1)[0] if len(at) else at
+        enough &= np.bincount(once, minlength=len(bands)) >= bound
     window = bands // most % len(index.texts)
-    enough = hits >= np.maximum(index.bound[window], 1)
     for key, w in zip(bands[enough].tolist(), window[enough].tolist()):
         doc, item, pattern = key // most // len(index.texts), index.items[w], index.texts[w]
         if out[doc].get(item, (1,))[0] == 0:
