@@ -4,8 +4,9 @@ Method: a rank queue with a hierarchical bitmap. Each merge rank has a bucket of
 positions; three levels of 64-bit words tell which buckets are filled, so find-first-set gives
 the lowest rank in constant time. Merging relinks two neighbours; entries whose pair has
 changed since are skipped when they are popped. One merge costs the same however long the
-pre-token is. Pre-tokens are matched one by one; a text is cut before single spaces that follow
-a non-space, where no match can cross, so that frequent words come from a bounded cache.
+pre-token is. Pre-tokens do not touch each other, so one queue serves a batch of them, and the
+entries of a rank are merged together. A text is cut before single spaces that follow a
+non-space, where no match can cross, so that frequent words come from a bounded cache.
 
 Defined results: NULL counts as empty; an empty text has no ids; special strings are ordinary
 text; decoding gives back the text's UTF-8 bytes; rows and other columns stay as they are.
@@ -15,7 +16,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,46 +25,49 @@ from .common import WordCache, text_of, vocabulary_path, windows, worker_state
 
 
 class RankQueue:
-    """Buckets of positions per rank; ``pop`` gives the leftmost position of the lowest rank."""
+    """Buckets of positions per rank under a three-level bitmap."""
 
     def __init__(self, ranks: int):
         self.low = [0] * ((ranks >> 6) + 1)
         self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
-
-    def pop(self) -> tuple[int, int]:
-        """Call only while ``top`` is not zero."""
+        self.buckets: list[list] = [[] for _ in range(ranks)]
+
+    def push(self, rank: int, positions) -> None:
+        """``positions`` is one position or an array of them."""
+        bucket = self.buckets[rank]
+        if not bucket:
+            word = rank >> 6
+            self.low[word] |= 1 << (rank & 63)
+            self.mid[word >> 6] |= 1 << (word & 63)
+            self.top |= 1 << (word >> 6)
+        bucket.append(positions)
+
+    def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        for rank, start, stop in zip(ranks[np.r_[0, cuts]].tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(ranks)]):
+            self.push(rank, positions[start:stop])
+
+    def pop(self) -> tuple[int, list]:
+        """The lowest filled rank and all its entries; call only while ``top`` is not zero."""
         block = (self.top & -self.top).bit_length() - 1
         bits = self.mid[block]
         word = (block << 6) | ((bits & -bits).bit_length() - 1)
         bits = self.low[word]
         rank = (word << 6) | ((bits & -bits).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= ~(1 << (rank & 63))
-            if not self.low[word]:
-                self.mid[block] &= ~(1 << (word & 63))
-                if not self.mid[block]:
-                    self.top &= ~(1 << block)
-        return rank, position
+        self.low[word] &= bits - 1
+        if not self.low[word]:
+            self.mid[block] &= ~(1 << (word & 63))
+            if not self.mid[block]:
+                self.top &= ~(1 << block)
+        entries, self.buckets[rank] = self.buckets[rank], []
+        return rank, entries
 
 
 class ByteBpe:
-    """Ids are ranks. Encodes pre-tokens with the rank queue."""
+    """Ids are ranks. Encodes pre-tokens with the rank queue, many at a time."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -74,78 +77,149 @@ class ByteBpe:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         # pairs of ids that join to a token, as left << 32 | right
-        self.pairs = {
+        pairs = {
             self.ranks[t[:cut]] << 32 | self.ranks[t[cut:]]: rank
             for t, rank in self.ranks.items()
             for cut in range(1, len(t))
             if t[:cut] in self.ranks and t[cut:] in self.ranks
         }
+        self.pairs = pairs
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.joined = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        # tokens that can merge further before the rank that made them: their occurrences are
+        # applied one by one, since the next choice in the pre-token may lie elsewhere
+        made = np.array([r if len(t) > 1 else -1 for r, t in enumerate(self.tokens)])
+        self.one_by_one = np.zeros(len(self.tokens), bool)
+        for side in (self.keys >> 32, self.keys & 0xFFFFFFFF):
+            self.one_by_one[side[self.joined < made[side]]] = True
         self.queue = RankQueue(len(self.tokens))
         self.matches = regex.compile(pattern).findall
         self.chunk = re.compile(r"\s*\S+|\s+").findall
-        self.cache = WordCache()
-        self.parts = WordCache()
-
-    def merge(self, data: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        ids = [self.single[b] for b in data]
-        n, pairs, queue = len(ids), self.pairs, self.queue
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        current = [-1] * n  # rank of the pair that starts here, -1: none or merged away
-        for i in range(n - 1):
-            rank = pairs.get(ids[i] << 32 | ids[i + 1])
-            if rank is not None:
-                current[i] = rank
-                queue.push(rank, i)
+        self.cache, self.parts = WordCache(300_000), WordCache(500_000)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 for none."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.joined[at], -1)
+
+    def merge(self, parts: list[bytes]) -> list[bytes]:
+        """Packed ids of pre-tokens."""
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        n = int(lengths.sum())
+        if not n:
+            return [b""] * len(parts)
+        owner = np.repeat(np.arange(len(parts)), lengths)
+        ids = self.single[np.frombuffer(b"".join(parts), np.uint8)]
+        # links between neighbours of one pre-token; n stands for none
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        edge = np.flatnonzero(owner[1:] != owner[:-1])
+        after[edge], before[edge + 1] = n, n
+        after[n - 1], before[0] = n, n
+        current = np.full(n + 1, -1)  # rank of the pair that starts here, -1: none or merged away
+        starts = np.flatnonzero(after[:n] < n)
+        ranks = self._rank(ids[starts], ids[starts + 1])
+        current[starts] = ranks
+        queue, pairs = self.queue, self.pairs
+        if (ranks >= 0).any():
+            queue.push_all(ranks[ranks >= 0], starts[ranks >= 0])
         while queue.top:
-            rank, i = queue.pop()
-            if current[i] != rank:
-                continue  # stale: one side has been merged since
-            gone = after[i]
+            rank, entries = queue.pop()
+            if len(entries) == 1 and (isinstance(entries[0], int) or len(entries[0]) == 1):
+                i = int(entries[0] if isinstance(entries[0], int) else entries[0][0])
+                if current[i] != rank:
+                    continue  # stale: one side has been merged since
+                gone = int(after[i])
+                right, left = int(after[gone]), int(before[i])
+                ids[i], after[i], current[i], current[gone], ids[gone] = rank, right, -1, -1, -1
+                if right < n:
+                    before[right] = i
+                    found = pairs.get(rank << 32 | int(ids[right]))
+                    if found is not None:
+                        current[i] = found
+                        queue.push(found, i)
+                if left < n:
+                    found = pairs.get(int(ids[left]) << 32 | rank)
+                    current[left] = -1 if found is None else found
+                    if found is not None:
+                        queue.push(found, left)
+                continue
+            at = np.concatenate([np.atleast_1d(e) for e in entries]) if len(entries) > 1 else entries[0]
+            at = np.unique(at[current[at] == rank])
+            if not len(at):
+                continue
+            # overlapping pairs ("aaa"): every second one of a run, from the left
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = after[at[:-1]] != at[1:]
+            index = np.arange(len(at))
+            take = (index - np.maximum.accumulate(np.where(fresh, index, 0))) % 2 == 0
+            if self.one_by_one[rank]:
+                opening = np.ones(len(at), bool)
+                opening[1:] = owner[at[1:]] != owner[at[:-1]]
+                rest = at[~opening]
+                if len(rest):
+                    queue.push(rank, rest)
+                take &= opening
+            at = at[take]
+            gone = after[at]
             right = after[gone]
-            ids[i], after[i], current[gone] = rank, right, -1
-            ids[gone] = -1
-            if right < n:
-                before[right] = i
-                found = pairs.get(rank << 32 | ids[right])
-                current[i] = -1 if found is None else found
-                if found is not None:
-                    queue.push(found, i)
-            else:
-                current[i] = -1
-            left = before[i]
-            if left >= 0:
-                found = pairs.get(ids[left] << 32 | rank)
-                current[left] = -1 if found is None else found
-                if found is not None:
-                    queue.push(found, left)
-        return [x for x in ids if x >= 0]
-
-    def _part(self, part: str) -> bytes:
-        packed = self.parts.get(part)
-        if packed is None:
-            packed = np.array(self.merge(part.encode()), "<u4").tobytes()
-            self.parts.keep(part, packed)
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        self.cache.trim()
+            ids[at], ids[gone], current[gone], after[at] = rank, -1, -1, right
+            before[right] = at  # position n takes what has no right neighbour
+            left = before[at]
+            redo = np.concatenate([at, left[left < n]])
+            current[redo] = -1
+            redo = np.unique(redo[after[redo] < n])
+            if len(redo):
+                ranks = self._rank(ids[redo], ids[after[redo]])
+                current[redo] = ranks
+                hit = ranks >= 0
+                if hit.any():
+                    queue.push_all(ranks[hit], redo[hit])
+        alive = ids >= 0
+        counts = np.bincount(owner[alive], minlength=len(parts))
+        packed, stops = ids[alive].astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [packed[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Packed ids of chunks that are not in the cache."""
         self.parts.trim()
-        cache, out = self.cache, []
-        for piece in windows(text):
-            for chunk in self.chunk(piece):
-                packed = cache.get(chunk)
-                if packed is None:
-                    packed = b"".join(map(self._part, self.matches(chunk)))
-                    cache.keep(chunk, packed)
-                out.append(packed)
-        return b"".join(out)
+        known, passing, new = self.parts, {}, []
+        split = [self.matches(c) for c in chunks]
+        for part in set().union(*split).difference(known) if split else ():
+            data = part.encode()
+            rank = self.ranks.get(data)
+            if rank is None:
+                new.append((part, data))
+            else:
+                (known if len(part) <= known.longest else passing)[part] = rank.to_bytes(4, "little")
+        for (part, _), packed in zip(new, self.merge([d for _, d in new])):
+            (known if len(part) <= known.longest else passing)[part] = packed
+        return {c: b"".join([known[p] if p in known else passing[p] for p in parts]) for c, parts in zip(chunks, split)}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        out, held, size = [[] for _ in texts], [], 0
+
+        def settle() -> None:
+            cache = self.cache
+            cache.trim()
+            passing = {}
+            for c, packed in self._learn(list(set().union(*(chunks for _, chunks in held)).difference(cache))).items():
+                (cache if len(c) <= cache.longest else passing)[c] = packed
+            for i, chunks in held:
+                out[i].append(b"".join([cache[c] if c in cache else passing[c] for c in chunks] if passing else map(cache.__getitem__, chunks)))
+
+        for i, text in enumerate(texts):
+            for piece in windows(text):
+                held.append((i, self.chunk(piece)))
+                size += len(piece)
+                if size > 1 << 22:
+                    settle()
+                    held, size = [], 0
+        settle()
+        return [b"".join(x) for x in out]
 
     def decode(self, packed: bytes) -> bytes:
         """Bytes of a whole text from its ids."""
@@ -173,7 +247,7 @@ def with_ids(
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(vocabulary, pattern)
         for texts in batches:
-            yield pa.array([coder.encode(t) for t in texts.to_pylist()], pa.binary())
+            yield pa.array(coder.encode(texts.to_pylist()), pa.binary())
 
     return df.withColumn(out, encode(text_of(text)))
 
@@ -202,8 +276,7 @@ def with_digests(df: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text:
         coder = _coder(vocabulary, None)
         for texts in batches:
             n, ids, decoded = [], [], []
-            for text_ in texts.to_pylist():
-                packed = coder.encode(text_)
+            for packed in coder.encode(texts.to_pylist()):
                 n.append(len(packed) // 4)
                 ids.append(hashlib.sha256(packed).hexdigest())
                 decoded.append(hashlib.sha256(coder.decode(packed)).hexdigest())

@@ -5,6 +5,7 @@ import re
 import sys
 import types
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyspark.cloudpickle as cloudpickle
@@ -51,19 +52,16 @@ def worker_state(key, make: Callable):
 
 
 class WordCache(dict):
-    """Bounded memo for short keys: emptied when full, long keys never stay."""
+    """Bounded memo for short keys: the older half goes when full, long keys never stay."""
 
     def __init__(self, entries: int = 300_000, longest: int = 64):
         super().__init__()
         self.entries, self.longest = entries, longest
 
-    def keep(self, key, value) -> None:
-        if len(key) <= self.longest:
-            self[key] = value
-
     def trim(self) -> None:
         if len(self) > self.entries:
-            self.clear()
+            for key in list(islice(self, len(self) - self.entries // 2)):
+                del self[key]
 
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
