@@ -68,7 +68,7 @@ def target_box_arrays(
             F.coalesce(o["confidence"], F.lit(0.0)).alias("detection_confidence"),
         )
 
-    kept = [c for c in ("stream_id", "frame", "part", "arrival_seq") if c in records.columns]
+    kept = [c for c in ("stream_id", "frame", "seq", "arrival_seq") if c in records.columns]
     return _stamped(records, ts).select(
         *kept, "stamp", F.lit(p.frame_id).alias("frame_id"), F.lit(p.system_id).alias("system_id"),
         _image(p, data).alias("source_img"), F.lit(1.0).alias("gimbal_w"),
@@ -80,10 +80,15 @@ def target_box_arrays(
 def casualty_messages(
     records: DataFrame, ts: str = "timestamp_ns", data: Column | None = None, p: Publisher = Publisher()
 ) -> DataFrame:
-    """One message per assessed object; all of a frame share stamp and data_source_id."""
+    """One message per assessed object; all of a frame share stamp and data_source_id.
+
+    ``records`` are nested frame records, or flat objects with their frame's columns."""
     kept = [c for c in ("stream_id", "frame") if c in records.columns]
-    stamped = _stamped(records, ts)
-    each = stamped.select(*stamped.columns, F.explode("objects").alias("o")).drop("objects")
+    each = _stamped(records, ts)
+    if "objects" in records.columns:
+        each = each.withColumn("o", F.explode("objects")).drop("objects")
+    else:
+        each = each.withColumn("o", F.struct("object_id", "bbox", "predictions"))
     zeros = F.array(*[F.lit(0.0)] * 4)
     box = F.coalesce(F.col("o.bbox"), zeros)
     return each.select(

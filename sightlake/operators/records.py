@@ -1,7 +1,8 @@
 """Per-frame records: nested objects, metadata and log text.
 
-A frame's objects come as one array. Arrays are cut into parts of PART_OBJECTS so that
-no row grows without bound; ordinary frames have the single part 0.
+A frame has one record at every size, with its objects in one array: that is the message.
+Where objects alone are wanted, ``detect_objects`` and ``assess_objects`` keep them flat,
+one row each, without gathering a frame.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from ..functions.clock import format_timestamp, resolve_timestamp
 from ..functions.geometry import bbox, scale_bbox
 from ..functions.identity import data_source_id
 from ..functions.tensors import complete_predictions, labels_of
-from ..skew import HotKeys, broadcast_if_small, find_hot_keys, no_hot_keys, sliced_row_number
+from ..skew import HotKeys, broadcast_if_small, find_hot_keys, group_row_number, no_hot_keys, sliced_row_number
 
-PART_OBJECTS = 4096
+# objects of an oversized frame are gathered and sorted in slices of this size
+SLICE_OBJECTS = 4096
 # groups become arrays here, so the limit is far below that of plain windows
 HOT_OBJECTS = 20_000
 
@@ -29,10 +31,13 @@ def nest_objects(
     keys: Sequence[str] = FRAME_KEYS,
     order: str = "det_order",
     hot: HotKeys | None = None,
-    part_objects: int = PART_OBJECTS,
+    slice_objects: int | None = None,
 ) -> DataFrame:
-    """Keys, part, object_count (of the whole frame) and objects array<struct<object_index, ...>>."""
+    """Keys, object_count and objects array<struct<object_index, ...>>, one row per frame.
+
+    Oversized frames are sorted in slices by many tasks; only the finished slices meet."""
     keys = list(keys)
+    slice_objects = slice_objects or SLICE_OBJECTS
     if hot is None:
         hot = find_hot_keys(rows, keys, HOT_OBJECTS)
 
@@ -41,39 +46,28 @@ def nest_objects(
         places = F.transform("_items", lambda item, i: F.struct(item["_o"].alias("o"), i.alias("i")))
         return F.transform(F.array_sort(places), lambda place: F.get("_items", place["i"]))
 
-    def indexed(first: Column) -> Column:
-        return F.transform(
-            in_order(),
-            lambda item, i: F.struct((first + i).cast("int").alias("object_index"), item["body"].alias("body")),
-        )
-
     item = F.struct(F.col(order).alias("_o"), F.struct(*fields).alias("body"))
 
     def whole(r: DataFrame) -> DataFrame:
-        agg = r.groupBy(*keys).agg(F.collect_list(item).alias("_items"))
-        return agg.select(
-            *keys, F.lit(0).cast("bigint").alias("part"), F.size("_items").cast("bigint").alias("object_count"),
-            indexed(F.lit(0)).alias("objects"),
-        )
+        return r.groupBy(*keys).agg(F.collect_list(item).alias("_items")).select(*keys, in_order().alias("_items"))
 
-    def parts(r: DataFrame) -> DataFrame:
+    def sliced(r: DataFrame) -> DataFrame:
         numbered = sliced_row_number(r, keys, [F.col(order)], "_rn")
-        part = F.floor((F.col("_rn") - 1) / part_objects).cast("bigint").alias("part")
-        agg = numbered.groupBy(*keys, part).agg(F.collect_list(item).alias("_items"))
-        counts = r.groupBy(*keys).agg(F.count("*").alias("object_count"))
-        return agg.join(counts, keys).select(
-            *keys, "part", "object_count",
-            indexed(F.col("part") * part_objects).alias("objects"),
-        )
+        number = F.floor((F.col("_rn") - 1) / slice_objects).cast("bigint").alias("_slice")
+        slices = numbered.groupBy(*keys, number).agg(F.collect_list(item).alias("_items"))
+        slices = slices.select(*keys, F.struct("_slice", in_order().alias("items")).alias("_slice"))
+        by_number = lambda x, y: F.when(x["_slice"] < y["_slice"], -1).otherwise(1)
+        joined = F.array_sort(F.collect_list("_slice"), by_number)
+        return slices.groupBy(*keys).agg(joined.alias("_slices")).select(*keys, F.flatten("_slices.items").alias("_items"))
 
     nested = whole(rows) if not hot.present else (
-        whole(hot.exclude(rows)).unionByName(parts(hot.only(rows)))
+        whole(hot.exclude(rows)).unionByName(sliced(hot.only(rows)))
     )
-    body = [f.name for f in nested.schema["objects"].dataType.elementType["body"].dataType.fields]
-    flat = F.transform("objects", lambda o: F.struct(
-        o["object_index"].alias("object_index"), *[o["body"][n].alias(n) for n in body]
+    body = [f.name for f in nested.schema["_items"].dataType.elementType["body"].dataType.fields]
+    flat = F.transform("_items", lambda o, i: F.struct(
+        i.cast("int").alias("object_index"), *[o["body"][n].alias(n) for n in body]
     ))
-    return nested.withColumn("objects", flat)
+    return nested.select(*keys, F.size("_items").cast("bigint").alias("object_count"), flat.alias("objects"))
 
 
 def attach_objects(
@@ -93,7 +87,6 @@ def attach_objects(
     empty = F.array().cast(nested.schema["objects"].dataType)
     return joined.select(
         *frames.columns,
-        F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
         F.coalesce("object_count", F.lit(0).cast("bigint")).alias("object_count"),
         F.coalesce("objects", empty).alias("objects"),
     )
@@ -136,21 +129,21 @@ def _scaled(extra) -> Column:
 
 
 def detect_frames(
-    frames: DataFrame, numbered: DataFrame, hot: HotKeys | None = None, part_objects: int = PART_OBJECTS
+    frames: DataFrame, numbered: DataFrame, hot: HotKeys | None = None, slice_objects: int | None = None
 ) -> DataFrame:
-    """One record per frame (and part) with its numbered persons; empty frames stay."""
+    """One record per frame with its numbered persons; empty frames stay."""
     if hot is None:
         hot = find_hot_keys(numbered, FRAME_KEYS, HOT_OBJECTS)
     fields = [F.col("object_id"), bbox().alias("source_bbox"), F.col("confidence")]
-    nested = nest_objects(numbered, fields, hot=hot, part_objects=part_objects)
+    nested = nest_objects(numbered, fields, hot=hot, slice_objects=slice_objects)
     whole = attach_objects(frames, nested, hot=hot)
     return whole.withColumn("objects", _scaled(lambda o: [o["confidence"].alias("confidence")]))
 
 
 def assess_frames(
-    frames: DataFrame, assessed: DataFrame, hot: HotKeys | None = None, part_objects: int = PART_OBJECTS
+    frames: DataFrame, assessed: DataFrame, hot: HotKeys | None = None, slice_objects: int | None = None
 ) -> DataFrame:
-    """One record per frame (and part) with at least one assessed object.
+    """One record per frame with at least one assessed object.
 
     ``assessed`` has the object's id, box and prediction map.
     """
@@ -162,7 +155,7 @@ def assess_frames(
         complete_predictions("predictions").alias("predictions"),
     ]
     order = "det_order" if "det_order" in assessed.columns else "object_id"
-    nested = nest_objects(assessed, fields, order=order, hot=hot, part_objects=part_objects)
+    nested = nest_objects(assessed, fields, order=order, hot=hot, slice_objects=slice_objects)
     whole = attach_objects(frames, nested, hot=hot, keep_empty=False)
     return whole.withColumn(
         "objects", _scaled(lambda o: [o["labels"].alias("labels"), o["predictions"].alias("predictions")])
@@ -174,6 +167,32 @@ def assessed_objects(numbered: DataFrame, predicted: DataFrame) -> DataFrame:
     return numbered.join(predicted, [*FRAME_KEYS, "object_id"])
 
 
+def _flat(frames: DataFrame, objects: DataFrame, index: Column, *extra: Column) -> DataFrame:
+    """Objects joined with their frame's sizes; a frame with very many is a skewed join key only."""
+    sizes = ("src_w", "src_h", "img_w", "img_h")
+    sized = objects.join(frames.select(*FRAME_KEYS, *[c for c in sizes if c in frames.columns]), list(FRAME_KEYS))
+    return sized.select(
+        *FRAME_KEYS, index.alias("object_index"), "object_id", scale_bbox(bbox()).alias("bbox"),
+        bbox().alias("source_bbox"), F.lit(PERSON_CLASS_NAME).alias("class_name"), *extra,
+    )
+
+
+def detect_objects(frames: DataFrame, numbered: DataFrame) -> DataFrame:
+    """One row per numbered person, as in the frame's record."""
+    return _flat(frames, numbered, F.col("ordinal"), F.col("confidence"))
+
+
+def assess_objects(frames: DataFrame, assessed: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    """One row per assessed person, as in the frame's record."""
+    order = "det_order" if "det_order" in assessed.columns else "object_id"
+    placed = group_row_number(assessed, FRAME_KEYS, [F.col(order)], "_rn", hot)
+    return _flat(
+        frames, placed, (F.col("_rn") - 1).cast("int"),
+        text.label_lines("object_id", labels_of("predictions")).alias("labels"),
+        complete_predictions("predictions").alias("predictions"),
+    )
+
+
 def _log_rows(stage: str) -> Column:
     if stage == "DETECT":
         return F.transform("objects", lambda o: text.detect_row(o["object_id"], o["bbox"], o["confidence"]))
@@ -187,16 +206,12 @@ def frame_metadata(records: DataFrame, stage: str, timing: Column | None = None)
     header = text.frame_header(
         F.lit(stage), "frame", "timestamp", "timestamp_source", "timing", ("src_w", "src_h"), ("img_w", "img_h")
     )
-    # a frame's text continues over its parts; the header opens the first one
-    body = F.when(F.col("part") == 0, text.frame_log(header, "rows")).otherwise(
-        F.array_join(F.transform("rows", lambda r: F.concat(F.lit("  "), r)), "\n")
-    )
     return timed.select(
-        "stream_id", F.lit(stage).alias("stage"), "frame", "part", "timestamp_ns", "timestamp",
+        "stream_id", F.lit(stage).alias("stage"), "frame", "timestamp_ns", "timestamp",
         "timestamp_source",
         F.col("timestamp_ns").alias("source_timestamp_ns"), F.col("timestamp").alias("source_timestamp"),
         F.col("timestamp_source").alias("source_timestamp_source"), F.lit(True).alias("timestamp_is_source"),
-        "timing", "rows", "objects", "object_count", "data_source_id", body.alias("log_text"),
+        "timing", "rows", "objects", "object_count", "data_source_id", text.frame_log(header, "rows").alias("log_text"),
         F.col("src_w").alias("source_width"), F.col("src_h").alias("source_height"),
         F.col("img_w").alias("image_width"), F.col("img_h").alias("image_height"),
         F.lit("image").alias("bbox_coordinate_space"), "buf_key", "arrival_seq",

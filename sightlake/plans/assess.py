@@ -9,7 +9,7 @@ from ..operators.detections import assessable, confident, number_persons
 from ..operators.messages import Publisher, casualty_messages, image_messages, recording, target_box_arrays
 from ..operators.predictions import predict_objects
 from ..operators.records import (
-    HOT_OBJECTS, assess_frames, assessed_objects, frame_metadata, image_records, with_time,
+    HOT_OBJECTS, assess_frames, assess_objects, assessed_objects, frame_metadata, image_records, with_time,
 )
 from ..skew import HotKeys, find_hot_keys
 from .detect import detect_records
@@ -32,11 +32,27 @@ def assess_records(
     return assess_frames(frames, assessed_objects(numbered, predict_objects(tensors)), hot=hot)
 
 
+def assessed_persons(
+    frames: DataFrame,
+    detections: DataFrame,
+    tensors: DataFrame,
+    threshold: float = DEFAULT_CONFIDENCE,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """The objects of ``assess_records`` as rows; no frame is gathered."""
+    if hot is None:
+        hot = find_hot_keys(detections, FRAME_KEYS, HOT_OBJECTS)
+    numbered = assessable(number_persons(confident(detections, threshold), hot=hot))
+    return assess_objects(frames, assessed_objects(numbered, predict_objects(tensors)), hot)
+
+
 def casualties(
     frames: DataFrame, detections: DataFrame, tensors: DataFrame, publisher: Publisher = Publisher(), **options
 ) -> DataFrame:
     """One casualty message per assessed person."""
-    return casualty_messages(with_time(assess_records(frames, detections, tensors, **options)), p=publisher)
+    people = assessed_persons(frames, detections, tensors, **options)
+    timed = with_time(frames).select(*FRAME_KEYS, "timestamp_ns", "data_source_id")
+    return casualty_messages(people.join(timed, list(FRAME_KEYS)), p=publisher)
 
 
 def fork(
@@ -61,5 +77,5 @@ def record_topics(
         *FRAME_KEYS, "stamp", "frame_id", "format"
     )
     boxes = target_box_arrays(with_time(detect_records(frames, detections, hot=hot)), p=publisher)
-    people = casualty_messages(with_time(assess_records(frames, detections, tensors, hot=hot)), p=publisher)
+    people = casualties(frames, detections, tensors, publisher, hot=hot)
     return recording({"image": images, "target_detections": boxes, "casualty": people})

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..constants import DEFAULT_CONFIDENCE, FRAME_KEYS
-from ..operators.detections import confident, number_persons
+from ..constants import DEFAULT_CONFIDENCE, FRAME_KEYS, NMS_TOP_K
+from ..operators.detections import confident, number_persons, top_k
 from ..operators.keyed import join_payloads
 from ..operators.messages import Publisher, target_box_arrays
-from ..operators.records import HOT_OBJECTS, detect_frames, image_records, with_time
+from ..operators.records import HOT_OBJECTS, detect_frames, detect_objects, image_records, with_time
 from ..operators.suppression import suppress
 from ..skew import HotKeys, find_hot_keys
 
@@ -29,10 +29,25 @@ def detect_records(
     return detect_frames(frames, number_persons(kept, hot=hot), hot=hot)
 
 
+def detected_persons(
+    frames: DataFrame, detections: DataFrame, threshold: float = DEFAULT_CONFIDENCE, hot: HotKeys | None = None
+) -> DataFrame:
+    """The objects of ``detect_records`` as rows; no frame is gathered."""
+    return detect_objects(frames, number_persons(confident(detections, threshold), hot=hot))
+
+
+def clustered_records(
+    frames: DataFrame, detections: DataFrame, threshold: float = DEFAULT_CONFIDENCE, k: int = NMS_TOP_K
+) -> DataFrame:
+    """The detector's chain: threshold, suppression per class, best ``k`` per class, then records."""
+    kept = top_k(suppress(confident(detections, threshold)), k).drop("rank")
+    return detect_frames(frames, number_persons(kept))
+
+
 def target_boxes(
     frames: DataFrame, detections: DataFrame, publisher: Publisher = Publisher(), **options
 ) -> DataFrame:
-    """One target box message per frame (and part)."""
+    """One target box message per frame."""
     return target_box_arrays(with_time(detect_records(frames, detections, **options)), p=publisher)
 
 

@@ -14,6 +14,8 @@ _RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # row_number() <= k is cut to k rows per group before the shuffle, also for stores of 4096 entries
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # a frame-keyed shuffle also serves joins on (stream, frame)
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }

@@ -124,18 +124,20 @@ def test_person_numbers(spark, rows):
     assert rows(got) == [(1, 1, 0, 0), (1, 2, 1, 7), (1, 4, 2, 2), (3, 0, 0, 0)]
 
 
-def test_parts(spark, rows):
-    """A hot frame comes in parts; joined together they are the whole."""
+def test_oversized_frame_is_one_record(spark, rows):
+    """A frame above the limit and above a slice has the same single record."""
     df = boxes(spark, seed=9)
     frames = spark.createDataFrame([(f % 2, f) for f in range(8)], "stream_id int, frame long")
     hot = find_hot_keys(df, ["stream_id", "frame"], 50)
-    def flat(hot, part):
-        nested = R.nest_objects(df, ["det_order", "confidence"], hot=hot, part_objects=part)
-        whole = R.attach_objects(frames, nested, hot=hot)
-        return whole, rows(whole.select("stream_id", "frame", "object_count", F.inline("objects")))
-    _, plain = flat(no_hot_keys(["frame"]), 4096)
-    whole, parted = flat(hot, 16)
-    assert parted == plain
-    sizes = whole.filter("frame = 2").selectExpr("part", "size(objects)", "object_count")
-    assert rows(sizes) == [(p, 16 if p < 7 else 8, 120) for p in range(8)]
-    assert whole.filter("frame = 7").selectExpr("object_count", "size(objects)").first()[:] == (0, 0)
+
+    def records(hot, size):
+        nested = R.nest_objects(df, ["det_order", "confidence"], hot=hot, slice_objects=size)
+        return R.attach_objects(frames, nested, hot=hot)
+
+    plain, sliced = records(no_hot_keys(["frame"]), 4096), records(hot, 16)
+    assert rows(sliced.selectExpr("stream_id", "frame", "object_count", "to_json(objects)")) == rows(
+        plain.selectExpr("stream_id", "frame", "object_count", "to_json(objects)")
+    )
+    assert sliced.count() == 8
+    assert sliced.filter("frame = 2").selectExpr("object_count", "size(objects)").first()[:] == (120, 120)
+    assert sliced.filter("frame = 7").selectExpr("object_count", "size(objects)").first()[:] == (0, 0)

@@ -56,8 +56,9 @@ def assess_eligible(spark, sf):
       CASE frame % 5 WHEN 0 THEN 0 WHEN 1 THEN det_order + 1 END AS stored FROM det WHERE class_id = 0)""")
 def person_ordinal(spark, sf):
     stored = F.when(F.col("frame") % 5 == 0, 0).when(F.col("frame") % 5 == 1, F.col("det_order") + 1)
+    hot = V.hot_frames(spark, sf)
     return D.number_persons(
-        V.det(spark, sf).withColumn("stored", stored), stored_id="stored", hot=V.hot_frames(spark, sf)
+            V.det(spark, sf, hot).withColumn("stored", stored), stored_id="stored", hot=hot
     ).select(*KEYS, "det_order", "ordinal", "object_id")
 
 
@@ -84,8 +85,9 @@ final AS (SELECT stream_id, frame, class_id, unnest(kept) AS u FROM lastk)"""
 @query("nms", DET, NMS, recursive=True,
        sql="SELECT stream_id, frame, class_id, u.o AS det_order, u.c AS confidence FROM final")
 def nms(spark, sf):
-    boxes = D.confident(V.det(spark, sf))
-    return S.suppress(boxes, hot=V.hot_frames(spark, sf)).select(*KEYS, "class_id", "det_order", "confidence")
+    hot = V.hot_frames(spark, sf)
+    boxes = D.confident(V.det(spark, sf, hot))
+    return S.suppress(boxes, hot=hot).select(*KEYS, "class_id", "det_order", "confidence")
 
 
 @query("bbox_scale", FRM, DET, sql="""SELECT stream_id, frame, det_order, "left" * (img_w / src_w) AS x, top * (img_h / src_h) AS y,
@@ -184,25 +186,27 @@ def compute_fps(spark, sf):
 
 
 def detect_records(spark, sf) -> DataFrame:
-    return P.detect_records(V.frm(spark, sf), V.det(spark, sf), hot=V.hot_frames(spark, sf))
+    hot = V.hot_frames(spark, sf)
+    return P.detect_records(V.frm(spark, sf), V.det(spark, sf, hot), hot=hot)
 
 
-@query("frame_objects", FRM, DET, NUM, sql="""SELECT f.stream_id, f.frame, CAST(0 AS BIGINT) AS part, count(n.object_id) AS object_count,
+@query("frame_objects", FRM, DET, NUM, sql="""SELECT f.stream_id, f.frame, count(n.object_id) AS object_count,
   COALESCE(string_agg(CAST(n.object_id AS VARCHAR) || '@' || n.det_order, ',' ORDER BY n.det_order), '') AS ids
   FROM frm f LEFT JOIN num n USING (stream_id, frame) GROUP BY f.stream_id, f.frame""")
 def frame_objects(spark, sf):
     hot = V.hot_frames(spark, sf)
-    numbered = D.number_persons(D.confident(V.det(spark, sf)), hot=hot)
+    numbered = D.number_persons(D.confident(V.det(spark, sf, hot)), hot=hot)
     nested = R.nest_objects(numbered, ["object_id", "det_order"], hot=hot)
     whole = R.attach_objects(V.frm(spark, sf).select(*KEYS), nested, hot=hot)
     label = F.transform("objects", lambda o: F.concat(o["object_id"].cast("string"), F.lit("@"), o["det_order"].cast("string")))
-    return whole.select(*KEYS, "part", "object_count", F.array_join(label, ",").alias("ids"))
+    return whole.select(*KEYS, "object_count", F.array_join(label, ",").alias("ids"))
 
 
 @query("detect_objects", FRM, DET, NUM, OBJ, sql="""SELECT stream_id, frame, object_id AS object_index, object_id, x, y, w, ht AS h, sx, sy, sw, sh,
   'person' AS class_name, confidence FROM obj""")
 def detect_objects(spark, sf):
-    o = detect_records(spark, sf).select(*KEYS, F.inline("objects"))
+    hot = V.hot_frames(spark, sf)
+    o = P.detected_persons(V.frm(spark, sf), V.det(spark, sf, hot), hot=hot)
     return o.select(
         *KEYS, "object_index", "object_id", *[F.col("bbox")[i].alias(n) for i, n in enumerate("xywh")],
         *[F.col("source_bbox")[i].alias(n) for i, n in enumerate(("sx", "sy", "sw", "sh"))],
@@ -212,10 +216,21 @@ def detect_objects(spark, sf):
 
 @query("detect_log_rows", FRM, DET, NUM, OBJ, sql="SELECT stream_id, frame, object_id, log_row FROM objrow")
 def detect_log_rows(spark, sf):
-    o = detect_records(spark, sf).select(*KEYS, F.inline("objects"))
+    hot = V.hot_frames(spark, sf)
+    o = P.detected_persons(V.frm(spark, sf), V.det(spark, sf, hot), hot=hot)
     return o.select(*KEYS, "object_id", text.detect_row("object_id", "bbox", "confidence").alias("log_row"))
 
 
+@query("clustered_objects", FRM, DET, NMS, """best AS (SELECT * FROM (SELECT stream_id, frame, class_id, u.o AS det_order, u.c AS confidence,
+    row_number() OVER (PARTITION BY stream_id, frame, class_id ORDER BY u.c DESC, u.o) AS rank FROM final) WHERE rank <= 300)""", recursive=True,
+       sql="""SELECT f.stream_id, f.frame, CAST(row_number() OVER (PARTITION BY f.stream_id, f.frame ORDER BY det_order) - 1 AS INT) AS object_id, b.confidence
+  FROM frm f JOIN best b USING (stream_id, frame) WHERE class_id = 0""")
+def clustered_objects(spark, sf):
+    """Persons of the detector's whole chain: threshold, suppression, best 300 per class."""
+    records = P.clustered_records(V.frm(spark, sf), V.det(spark, sf))
+    return records.select(*KEYS, F.inline("objects")).select(*KEYS, "object_id", "confidence")
+
+
 LOGTXT = """agg AS (SELECT stream_id, frame, count(*) AS n, string_agg('  ' || log_row, chr(10) ORDER BY det_order) AS body FROM objrow GROUP BY ALL),
 meta AS (SELECT f.*, COALESCE(a.n, 0) AS object_count, 'DETECT frame=' || f.frame || ' timestamp=' || ts_text || ' timestamp_source=' || source
     || ' source=' || src_w || 'x' || src_h || ' image=' || img_w || 'x' || img_h || COALESCE(chr(10) || body, '') AS log_text
@@ -263,7 +278,8 @@ def image_messages(spark, sf):
   CASE WHEN o.object_id IS NOT NULL THEN 'person' END AS detection_class, o.confidence AS detection_confidence
   FROM tsr t LEFT JOIN obj o USING (stream_id, frame)""")
 def target_box_array(spark, sf):
-    messages = P.target_boxes(V.frm(spark, sf), V.det(spark, sf), hot=V.hot_frames(spark, sf))
+    hot = V.hot_frames(spark, sf)
+    messages = P.target_boxes(V.frm(spark, sf), V.det(spark, sf, hot), hot=hot)
     return messages.select(
         *KEYS, "stamp.sec", "stamp.nanosec", "system_id", "gimbal_w", "use_for_mosaic", "detection_source",
         F.posexplode_outer("uav_target_boxes").alias("box_index", "b"),

@@ -166,7 +166,8 @@ def annotations(spark, sf):
   CASE WHEN lines IS NOT NULL THEN greatest(0, CAST(round_even(n.top + n.height + 8, 0) AS BIGINT)) END AS y_offset
   FROM num n LEFT JOIN text_lines USING (stream_id, frame, object_id)""")
 def overlay_text(spark, sf):
-    numbered = D.number_persons(D.confident(V.det(spark, sf)), hot=V.hot_frames(spark, sf))
+    hot = V.hot_frames(spark, sf)
+    numbered = D.number_persons(D.confident(V.det(spark, sf, hot)), hot=hot)
     lines = text.label_lines("object_id", X.labels_of("predictions"))
     shown = numbered.join(predicted(spark, sf), KEYS, "left").withColumns({
         "place": geometry.assessment_text_offset(geometry.bbox()), "lines": lines,
@@ -181,8 +182,9 @@ def overlay_text(spark, sf):
 
 
 def assess_records(spark, sf):
+    hot = V.hot_frames(spark, sf)
     return A.assess_records(
-        V.frm(spark, sf), V.det(spark, sf), V.logit(spark, sf), hot=V.hot_frames(spark, sf)
+            V.frm(spark, sf), V.det(spark, sf, hot), V.logit(spark, sf), hot=hot
     )
 
 
@@ -197,7 +199,8 @@ def assess_frames(spark, sf):
   'person' AS class_name, list_aggregate(lines, 'string_agg', '/') AS labels, head, p.class_id, round(p.confidence, 6) AS confidence
   FROM aobj a JOIN pred p USING (stream_id, frame, object_id)""")
 def assess_objects(spark, sf):
-    o = assess_records(spark, sf).select("stream_id", "frame", F.inline("objects"))
+    hot = V.hot_frames(spark, sf)
+    o = A.assessed_persons(V.frm(spark, sf), V.det(spark, sf, hot), V.logit(spark, sf), hot=hot)
     return o.select("*", F.explode("predictions").alias("head", "p")).select(
         "stream_id", "frame", "object_index", "object_id",
         *[F.col("bbox")[i].alias(n) for i, n in enumerate("xywh")],
@@ -210,7 +213,8 @@ def assess_objects(spark, sf):
 @query("assess_log_rows", *ALL, sql="""SELECT stream_id, frame, object_id, 'object=' || object_id || ' bbox=' || printf('%.0f', x) || ',' || printf('%.0f', y) || ','
   || printf('%.0f', w) || ',' || printf('%.0f', ht) || ' ' || list_aggregate(lines, 'string_agg', ' | ') AS log_row FROM aobj""")
 def assess_log_rows(spark, sf):
-    o = assess_records(spark, sf).select("stream_id", "frame", F.inline("objects"))
+    hot = V.hot_frames(spark, sf)
+    o = A.assessed_persons(V.frm(spark, sf), V.det(spark, sf, hot), V.logit(spark, sf), hot=hot)
     return o.select(*KEYS, text.assess_row("object_id", "bbox", "labels").alias("log_row"))
 
 
@@ -219,8 +223,9 @@ def assess_log_rows(spark, sf):
   'clip_rgb_' || head AS field_name, round(probabilities[1], 6) AS o0, round(probabilities[2], 6) AS o1
   FROM tsr t JOIN aobj a USING (stream_id, frame) JOIN pred p USING (stream_id, frame, object_id)""")
 def casualty_messages(spark, sf):
+    hot = V.hot_frames(spark, sf)
     messages = A.casualties(
-        V.frm(spark, sf), V.det(spark, sf), V.logit(spark, sf), hot=V.hot_frames(spark, sf)
+            V.frm(spark, sf), V.det(spark, sf, hot), V.logit(spark, sf), hot=hot
     )
     return messages.select("*", F.inline("annotations")).select(
         *KEYS, "data_source_id", "stamp.sec", "stamp.nanosec", "bbox_x", "bbox_y", "bbox_width", "bbox_height",
@@ -240,7 +245,8 @@ def fresh_frames(spark, sf):
   UNION ALL SELECT 'DETECT', (SELECT count(*) FROM frm), (SELECT count(*) FROM num JOIN frm USING (stream_id, frame))
   UNION ALL SELECT 'ASSESS', count(DISTINCT (stream_id, frame)), count(*) FROM aobj""")
 def fork_outputs(spark, sf):
-    branches = A.fork(V.frm(spark, sf), V.det(spark, sf), V.logit(spark, sf), hot=V.hot_frames(spark, sf))
+    hot = V.hot_frames(spark, sf)
+    branches = A.fork(V.frm(spark, sf), V.det(spark, sf, hot), V.logit(spark, sf), hot=hot)
     out = None
     for df in branches.values():
         if "objects" not in df.columns:
@@ -258,8 +264,9 @@ def fork_outputs(spark, sf):
   UNION ALL SELECT 'casualty', t.stream_id, t.frame, {STAMP}, (SELECT count(*) FROM pred p WHERE p.stream_id = a.stream_id AND p.frame = a.frame AND p.object_id = a.object_id)
     FROM tsr t JOIN aobj a USING (stream_id, frame))""")
 def record_all(spark, sf):
+    hot = V.hot_frames(spark, sf)
     recorded = A.record_topics(
-        V.frm(spark, sf), V.det(spark, sf), V.logit(spark, sf), hot=V.hot_frames(spark, sf)
+            V.frm(spark, sf), V.det(spark, sf, hot), V.logit(spark, sf), hot=hot
     )
     boxes = F.from_json("message", "uav_target_boxes array<struct<size_x:double>>, annotations array<struct<field_name:string>>")
     sized = recorded.withColumn("m", boxes)

@@ -12,7 +12,6 @@ from sightlake.skew import HotKeys, find_hot_keys, group_row_number
 
 NTP = 2_208_988_800_000_000_000
 HOT_LIMIT = 20_000
-_hot: dict[tuple, HotKeys] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -55,15 +54,12 @@ FRM = """frm AS (SELECT CAST(event_id % 4 AS INT) AS stream_id, event_id AS fram
 
 
 def hot_frames(spark: SparkSession, sf: str) -> HotKeys:
-    """Oversized frames of the detections, found once per table and session."""
-    key = (spark.sparkContext.applicationId, sf, HOT_LIMIT)
-    if key not in _hot:
-        orders = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame"))
-        _hot[key] = find_hot_keys(orders, ["frame"], limit=HOT_LIMIT)
-    return _hot[key]
+    """Oversized frames of the detections."""
+    orders = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame"))
+    return find_hot_keys(orders, ["frame"], limit=HOT_LIMIT)
 
 
-def det(spark: SparkSession, sf: str) -> DataFrame:
+def det(spark: SparkSession, sf: str, hot: HotKeys | None = None) -> DataFrame:
     c = F.col
     boxes = table(spark, sf, "lineitem").selectExpr(
         "CAST(l_orderkey % 4 AS INT) AS stream_id", "l_orderkey AS frame",
@@ -73,7 +69,7 @@ def det(spark: SparkSession, sf: str) -> DataFrame:
         "CAST(9 * round(l_discount * 100) + round(l_tax * 100) AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence",
     )
     order = [c("l_linenumber"), c("l_partkey"), c("l_suppkey"), c("l_extendedprice")]
-    placed = group_row_number(boxes, ["frame"], order, "_rn", hot_frames(spark, sf))
+    placed = group_row_number(boxes, ["frame"], order, "_rn", hot or hot_frames(spark, sf))
     return placed.select(
         "stream_id", "frame", (c("_rn") - 1).cast("int").alias("det_order"), "class_id", "left", "top",
         "width", "height", "confidence",
