@@ -69,16 +69,38 @@ def stamp(ts) -> Column:
 
 
 def integer_text(value) -> Column:
-    """bigint from integer text (spaces around, sign, single underscores between digits) else NULL."""
-    text = F.trim(_col(value))
+    """bigint from integer text (white space around, sign, single underscores between digits) else NULL."""
+    text = F.regexp_replace(_col(value), r"(?U)^\s+|\s+$", "")
     return F.when(
         text.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.regexp_replace(text, "_", "").try_cast("bigint")
     )
 
 
+def integer_value(json, key: str) -> Column:
+    """bigint from a key of a JSON variant, by the value's own type: numbers are cut to integers,
+    true is 1, text must be an integer. NULL for anything else."""
+    json, path = _col(json), f"$.{key}"
+    kind = F.schema_of_variant(F.try_variant_get(json, path, "variant"))
+    number = F.try_variant_get(json, path, "double").try_cast("bigint")
+    return (
+        F.when(kind == "BIGINT", F.try_variant_get(json, path, "bigint"))
+        .when(kind == "STRING", integer_text(F.try_variant_get(json, path, "string")))
+        .when(kind == "BOOLEAN", F.try_variant_get(json, path, "boolean").cast("bigint"))
+        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), number)
+    )
+
+
+def has_value(json, key: str) -> Column:
+    """Whether a JSON variant has the key with anything but null."""
+    kind = F.schema_of_variant(F.try_variant_get(_col(json), f"$.{key}", "variant"))
+    return F.coalesce(kind != "VOID", F.lit(False))
+
+
 def message_timestamp(source_ts, ts, ingest=None) -> Column:
-    """Stamp of a message: source time, then packet time, then the ingestion column if given."""
-    choices = [integer_text(source_ts), integer_text(ts)]
+    """Stamp of a message: source time, then packet time, then the ingestion column if given.
+
+    Times are text, or columns that are integers already."""
+    choices = [_col(c) if not isinstance(c, str) else integer_text(c) for c in (source_ts, ts)]
     if ingest is not None:
         choices.append(_col(ingest))
     return F.coalesce(*choices)

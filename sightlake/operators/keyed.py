@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..constants import FRAME_KEYS
-from ..skew import BUCKET_ROWS, bucketed_last_before
+from ..session import materialize
+from ..skew import BUCKET_ROWS, broadcast_if_small, bucketed_last_before
 
 BUFFER_KEYS = ("stream_id", "stage", "buf_key")
 
@@ -41,22 +44,73 @@ def retain_newest(
 ) -> DataFrame:
     """What a store bounded to ``n`` keys holds after all puts.
 
-    With ``refresh`` a repeated put replaces the value and makes the key newest
-    again; without it the key keeps the age of its first put and the value of its
-    last one (so a key must not come back after ``n`` newer keys, as frame numbers
-    do not). Spark cuts each task's rows to ``n`` per partition before the shuffle.
+    With ``refresh`` a repeated put replaces the value and makes the key newest again. Without it
+    the key keeps the age of its first put and takes the value of its last one, and a key put
+    again after its eviction is a new one. Partitions without such a return, as frame numbers
+    make them, need no replay: Spark cuts each task's rows to ``n`` before the shuffle. Others
+    are replayed in arrival order, with ``n`` keys in memory.
     """
+    if n <= 0:
+        return df.limit(0)
     all_keys = [*partition, *keys]
     last = last_wins(df, all_keys, arrival)
     if refresh:
-        aged = last.withColumn("_age", F.col(arrival))
-    else:
-        first = df.groupBy(*all_keys).agg(F.min(arrival).alias("_age"))
-        aged = last.join(first, all_keys)
+        return _newest(last.withColumn("_age", F.col(arrival)), n, partition)
+    first = df.groupBy(*all_keys).agg(F.min(arrival).alias("_age"))
+    aged = last.join(first, all_keys)
+    returning = materialize(_returning(aged, n, partition, arrival), "returning")
+    if returning.isEmpty():
+        return _newest(aged, n, partition)
+    side = broadcast_if_small(returning)
+    puts = df.join(side, list(partition), "left_semi").select(*all_keys, arrival)
+    held = _replay(puts, n, partition, keys, arrival)
+    calm = aged.join(side, list(partition), "left_anti").select(*aged.columns)
+    return _newest(calm, n, partition).unionByName(df.join(held, [*all_keys, arrival], "left_semi").select(*last.columns))
+
+
+def _newest(aged: DataFrame, n: int, partition: Sequence[str]) -> DataFrame:
     newest = W.partitionBy(*partition).orderBy(F.col("_age").desc())
-    return (
-        aged.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).drop("_rn", "_age")
-    )
+    return aged.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).drop("_rn", "_age")
+
+
+def _returning(aged: DataFrame, n: int, partition: Sequence[str], arrival: str) -> DataFrame:
+    """Partitions where a key is put again after ``n`` or more newer keys."""
+    event = lambda at, first: F.struct(F.col(at).alias("at"), F.lit(first).alias("first"))
+    events = aged.filter(F.col(arrival) > F.col("_age")).count()
+    if not events:
+        return aged.select(*partition).limit(0)
+    both = aged.select(*partition, F.col("_age").alias("_own"), F.explode(F.array(event("_age", 1), event(arrival, 0))).alias("e"))
+    so_far = W.partitionBy(*partition).orderBy("e.at", F.col("e.first").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = both.withColumn("_seen", F.sum("e.first").over(so_far))
+    span = counted.groupBy(*partition, "_own").agg((F.max("_seen") - F.min("_seen")).alias("_newer"))
+    return span.filter(F.col("_newer") >= n).select(*partition).distinct()
+
+
+def _replay(puts: DataFrame, n: int, partition: Sequence[str], keys: Sequence[str], arrival: str) -> DataFrame:
+    schema, width = to_arrow_schema(puts.schema), len(partition)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, store = None, {}
+
+        def content() -> pa.RecordBatch:
+            rows = [(*current, *key, at) for key, at in store.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:width] != current:
+                    if store:
+                        yield content()
+                    current, store = row[:width], {}
+                key = row[width:-1]
+                if key not in store and len(store) == n:
+                    del store[next(iter(store))]
+                store[key] = row[-1]
+        if store:
+            yield content()
+
+    ordered = puts.repartition(*partition).sortWithinPartitions(*partition, arrival)
+    return ordered.mapInArrow(run, puts.schema)
 
 
 def inherit_timestamps(
@@ -84,23 +138,30 @@ def join_payloads(
     arrival: str = "arrival_seq",
     require_metadata: bool = True,
 ) -> DataFrame:
-    """Match payloads to the metadata put under the same buffer key, one to one.
+    """Match payloads to the metadata put under the same buffer key, one to one in arrival order.
 
-    The latest metadata per key and the first payload per key take part, as a match
-    consumes its entry. A NULL key never matches. With ``require_metadata=False``
-    unmatched payloads stay, without metadata.
+    A payload takes the newest put since the key's previous payload; a put of its own arrival
+    number counts as earlier. A NULL key never matches. With ``require_metadata=False`` unmatched
+    payloads stay, without metadata. A key's rows are read in order, never gathered.
     """
-    key = keys[-1]
-    puts = last_wins(metadata.filter(F.col(key).isNotNull()), keys, arrival)
-    puts = puts.withColumnRenamed(arrival, "metadata_seq")
-    keyed = first_wins(payloads.filter(F.col(key).isNotNull()), keys, arrival)
+    keys = list(keys)
+    known = F.col(keys[-1]).isNotNull()
+    brought = [c for c in metadata.columns if c not in (*keys, arrival)]
+    own = [c for c in payloads.columns if c not in keys]
+    body = F.struct(F.col(arrival).alias("metadata_seq"), *brought)
+    puts = metadata.filter(known).select(*keys, F.col(arrival).alias("_at"), F.lit(0).alias("_side"), body.alias("_put"))
+    sent = payloads.select(*keys, F.col(arrival).alias("_at"), F.lit(1).alias("_side"), F.struct(*own).alias("_payload"))
+    both = puts.unionByName(sent.filter(known), allowMissingColumns=True)
+    in_order = W.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, -1)
+    turns = both.withColumn("_turn", F.coalesce(F.sum("_side").over(in_order), F.lit(0)))
+    since = W.partitionBy(*keys, "_turn").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    matched = turns.withColumn("_put", F.last("_put", ignorenulls=True).over(since)).filter("_side = 1")
     if require_metadata:
-        return puts.join(keyed, list(keys))
-    leftover = payloads.join(
-        keyed.select(*keys, arrival), [*keys, arrival], "left_anti"
+        return matched.filter(F.col("_put").isNotNull()).select(*keys, "_put.*", "_payload.*")
+    loose = matched.select(*keys, "_put", "_payload").unionByName(
+        sent.filter(~known).select(*keys, "_payload"), allowMissingColumns=True
     )
-    matched = keyed.join(puts, list(keys), "left")
-    return matched.unionByName(leftover, allowMissingColumns=True)
+    return loose.select(*keys, "_put.*", "_payload.*")
 
 
 def latest_metadata(

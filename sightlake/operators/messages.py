@@ -39,9 +39,8 @@ def image_messages(
     records: DataFrame, ts: str = "timestamp_ns", data: Column | None = None, p: Publisher = Publisher()
 ) -> DataFrame:
     """One compressed image per record."""
-    return _stamped(records, ts).withColumn("message", _image(p, data)).select(
-        *records.columns, "message.*"
-    )
+    kept = [c for c in records.columns if c not in ("stamp", "frame_id", "format", "data")]
+    return _stamped(records, ts).withColumn("message", _image(p, data)).select(*kept, "message.*")
 
 
 def publisher_sequence(

@@ -19,8 +19,8 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage,
 )
 
-from ..functions.clock import integer_text, message_timestamp
-from ..functions.identity import data_source_id
+from ..functions.clock import integer_value, message_timestamp
+from ..functions.identity import packet_source_id
 from ..schemas import PACKET, PACKET_METADATA
 
 FORMAT = "framed_packets"
@@ -189,18 +189,20 @@ def write_packets(packets: DataFrame, path: str, roll_bytes: int = ROLL_BYTES) -
 
 
 def parse_metadata(packets: DataFrame, ingest: str | None = None) -> DataFrame:
-    """Packets with typed metadata; absent keys take the consumer's defaults."""
-    m = F.from_json("metadata", PACKET_METADATA)
-    parsed = packets.withColumn("_m", m)
-    stamped_at = message_timestamp("_m.source_timestamp_ns", "_m.timestamp_ns", ingest)
+    """Packets with typed metadata; absent keys take the consumer's defaults.
+
+    Integers keep their JSON type: 1.5 and true are numbers, the text "1.5" is not."""
+    parsed = packets.withColumns({"_m": F.from_json("metadata", PACKET_METADATA), "_v": F.try_parse_json("metadata")})
+    frame = integer_value("_v", "frame")
+    stamped_at = message_timestamp(integer_value("_v", "source_timestamp_ns"), integer_value("_v", "timestamp_ns"), ingest)
     kept = [c for c in packets.columns if c != "metadata"]
     return parsed.select(
         *kept,
         F.col("_m.stage").alias("stage"),
-        integer_text("_m.frame").alias("frame"),
+        frame.alias("frame"),
         stamped_at.alias("message_ts_ns"),
         "_m.timestamp", "_m.timestamp_source",
-        data_source_id("_m.data_source_id", integer_text("_m.frame")).alias("data_source_id"),
+        packet_source_id("_v", frame).alias("data_source_id"),
         F.coalesce("_m.format", F.lit("jpeg")).alias("format"),
         F.coalesce("_m.log_text", F.lit("metadata=missing")).alias("log_text"),
         F.coalesce("_m.objects", F.array().cast(PACKET_METADATA["objects"].dataType)).alias("objects"),

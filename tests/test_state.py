@@ -20,7 +20,38 @@ def test_retain(spark, rows):
     data = [(0, "a", 1), (0, "b", 2), (0, "c", 3), (0, "a", 4), (1, "x", 1)]
     df = spark.createDataFrame(data, "stream_id int, frame string, arrival_seq long")
     assert rows(K.retain_newest(df, 2)) == [(0, "a", 4), (0, "c", 3), (1, "x", 1)]
-    assert rows(K.retain_newest(df, 2, refresh=False)) == [(0, "b", 2), (0, "c", 3), (1, "x", 1)]
+    assert rows(K.retain_newest(df, 2, refresh=False)) == [(0, "a", 4), (0, "c", 3), (1, "x", 1)]
+
+
+def test_retain_returning_keys(spark, rows):
+    """Against a store that is replayed put by put."""
+    rng = np.random.default_rng(3)
+    data = [(s, int(k), i) for s in (0, 1, 2) for i, k in enumerate(rng.integers(0, 40 if s else 6, 400))]
+    df = spark.createDataFrame(data, "stream_id int, frame long, arrival_seq long")
+    for n in (1, 7, 30, 50):
+        want = []
+        for s in (0, 1, 2):
+            store = {}
+            for _, k, at in (d for d in data if d[0] == s):
+                if k not in store and len(store) == n:
+                    del store[next(iter(store))]
+                store[k] = at
+            want += [(s, k, at) for k, at in store.items()]
+        assert rows(K.retain_newest(df, n, refresh=False)) == sorted(want, key=repr)
+
+
+def test_group_limit_covers_large_stores(spark):
+    df = spark.range(100_000).selectExpr("id % 3 AS stream_id", "id AS frame", "id AS arrival_seq")
+    plan = K.retain_newest(df, 4096)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_one_shot_matching(spark, rows):
+    meta = spark.createDataFrame([(0, "D", 5, 1, "old"), (0, "D", 5, 20, "late"), (0, "D", 5, 21, "last")],
+                                 "stream_id int, stage string, buf_key long, arrival_seq long, log string")
+    pay = spark.createDataFrame([(0, "D", 5, 10, 100), (0, "D", 5, 11, 101), (0, "D", 5, 21, 102), (0, "D", 5, 30, 103)],
+                                "stream_id int, stage string, buf_key long, arrival_seq long, n_bytes long")
+    assert rows(K.join_payloads(meta, pay).select("log", "n_bytes")) == [("last", 102), ("old", 100)]
 
 
 def test_inherit(spark, rows):

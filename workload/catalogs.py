@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from sightlake.constants import DETECTOR_CLASSES, HEADS
 from sightlake.operators import catalog as C
-from sightlake.operators.records import frame_metadata as metadata_record
+from sightlake.operators.records import frame_metadata as metadata_record, image_records
 from sightlake.plans import detect as P
+from sightlake.plans.wire import build_packets, publish_packets
 from sightlake.session import new_path
 from sightlake.sources import lookups as L, packets as K
 
 from . import views as V
 from .frames import NUM, TSR, detect_records
 from .registry import query
-from .views import CKPT, DET, FRM, REG, SRC
+from .views import CKPT, DET, FRM, PAY, REG, SRC
 
 _classes = ", ".join(f"({i}, '{name}')" for i, name in enumerate(DETECTOR_CLASSES))
 
@@ -181,3 +182,59 @@ def metadata_parse(spark, sf):
 @query("message_timestamp", FRM, TSR, PACKETS, sql="""SELECT CASE WHEN frame % 5 <> 0 THEN frame END AS frame, COALESCE(CASE WHEN frame % 6 = 1 THEN 1000 WHEN frame % 6 > 3 THEN ts_ns END, ts_ns) AS message_ts_ns FROM pk""")
 def message_timestamp(spark, sf):
     return K.parse_metadata(_written(spark, sf)).select("frame", "message_ts_ns")
+
+
+@query("metadata_types", sql="""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN event_id WHEN 4 THEN event_id WHEN 5 THEN 0 ELSE 7 END AS source_id,
+  CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 3 THEN event_id WHEN 4 THEN event_id WHEN 6 THEN 7 ELSE 5 END AS message_ts_ns,
+  CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 3 THEN event_id WHEN 4 THEN event_id WHEN 6 THEN 7 END AS frame FROM events""")
+def metadata_types(spark, sf):
+    """Integers in packet metadata by their JSON type."""
+    k, own = F.col("event_id") % 7, F.col("event_id").cast("string")
+    value = (
+        F.when(k == 0, "1.5").when(k == 1, "true").when(k == 2, '"1.5"').when(k == 3, own)
+        .when(k == 4, F.concat(F.lit('"\\t '), own, F.lit(' "'))).when(k == 5, "[1]").otherwise("7.0")
+    )
+    text = F.concat(*[x for key in ("data_source_id", "source_timestamp_ns", "frame") for x in (F.lit(f'"{key}":'), value, F.lit(","))])
+    packets = V.table(spark, sf, "events").select("event_id", F.concat(F.lit("{"), text, F.lit('"timestamp_ns":5}')).alias("metadata"))
+    return K.parse_metadata(packets).select("event_id", F.col("data_source_id").alias("source_id"), "message_ts_ns", "frame")
+
+
+BUILT = """puts AS (SELECT *, buf_key // 100000000 AS slot FROM tsr WHERE frame % 6 < 3),
+pays AS (SELECT *, buf_key // 100000000 AS slot FROM pay),
+prior AS (SELECT stream_id, slot, arrival_seq, n_bytes, lag(arrival_seq) OVER (PARTITION BY stream_id, slot ORDER BY arrival_seq) AS before FROM pays),
+hit AS (SELECT p.stream_id, p.arrival_seq, p.n_bytes, max(t.frame) AS own FROM prior p LEFT JOIN puts t ON p.stream_id = t.stream_id AND p.slot = t.slot
+  AND t.arrival_seq <= p.arrival_seq AND (p.before IS NULL OR t.arrival_seq > p.before) GROUP BY ALL),
+built AS (SELECT h.stream_id, h.arrival_seq, h.n_bytes, COALESCE(own, f.frame) AS frame, own IS NOT NULL AS matched FROM hit h
+  ASOF LEFT JOIN puts f ON h.stream_id = f.stream_id AND h.arrival_seq >= f.arrival_seq)"""
+
+
+def _built(spark, sf):
+    """Buffer keys are shared by a few frames each, so that keys repeat."""
+    slot = F.expr("buf_key div 100000000").alias("buf_key")
+    records = image_records(V.frm(spark, sf).filter(F.col("frame") % 6 < 3))
+    records = records.select(*[slot if c == "buf_key" else c for c in records.columns])
+    payloads = V.pay(spark, sf).select("stream_id", slot, "arrival_seq", "n_bytes")
+    return build_packets(records, payloads, "IMAGE")
+
+
+@query("packet_build", FRM, PAY, TSR, BUILT, sql="""SELECT stream_id, arrival_seq, frame, n_bytes AS bytes, 'jpeg' AS format, CASE WHEN frame IS NULL THEN 'IMAGE metadata=missing' END AS log_text FROM built""")
+def packet_build(spark, sf):
+    """Own record, newest record of the stream, or stub; keys that repeat match in arrival order."""
+    get = lambda key: F.get_json_object("metadata", f"$.{key}")
+    return _built(spark, sf).select(
+        "stream_id", "arrival_seq", get("frame").cast("bigint").alias("frame"), get("bytes").cast("bigint").alias("bytes"),
+        get("format").alias("format"), get("log_text").alias("log_text"),
+    )
+
+
+@query("publish_packets", FRM, PAY, TSR, BUILT, sql="""SELECT b.stream_id, b.arrival_seq, b.frame, row_number() OVER (PARTITION BY b.stream_id ORDER BY b.arrival_seq) - 1 AS seq,
+  (ts_ns - ts_ns % 1000000000) // 1000000000 AS sec, 'jpeg' AS format, strlen(props) AS data_bytes
+  FROM built b JOIN events ON event_id = b.arrival_seq LEFT JOIN tsr t ON t.stream_id = b.stream_id AND t.frame = b.frame""")
+def publish_packets_(spark, sf):
+    """Packets read back from files, parsed, routed, numbered and published with their bytes."""
+    props = V.table(spark, sf, "events").select(F.col("event_id").alias("arrival_seq"), F.col("props").cast("binary").alias("payload"))
+    packets = _built(spark, sf).join(props, "arrival_seq")
+    sent = publish_packets(packets)
+    return sent.select(
+        "stream_id", "arrival_seq", "frame", "seq", "stamp.sec", "format", F.octet_length("data").cast("bigint").alias("data_bytes")
+    )
