@@ -14,7 +14,7 @@ from .detections import top_k
 BLOCK_BOXES = 4096
 MAX_BROADCAST_BOXES = 1_000_000
 # groups are handled as arrays, so the limit is lower than for plain windows
-HOT_BOXES = 20_000
+HOT_BOXES = 2_000
 
 
 def overlap_exceeds(a: Column, b: Column, iou: float) -> Column:

@@ -19,9 +19,15 @@ from ..functions.clock import event_time
 from ..operators.timing import stage_latency
 
 
-def with_event_time(df: DataFrame, ts_ns: str, delay: str, name: str = "event_time") -> DataFrame:
-    """Event time with a lateness budget; rows later than the budget are dropped by stateful steps."""
-    return df.withColumn(name, event_time(ts_ns)).withWatermark(name, delay)
+def with_event_time(
+    df: DataFrame, ts_ns: str, delay: str, name: str = "event_time", ingest_ns: str | None = None
+) -> DataFrame:
+    """Event time with a lateness budget; rows later than the budget are dropped by stateful steps.
+
+    Windows drop rows without a time: where the source time may be unknown, give the ingestion
+    time's column, which then only places the row (``ts_ns`` itself stays NULL)."""
+    times = [event_time(c) for c in (ts_ns, ingest_ns) if c]
+    return df.withColumn(name, F.coalesce(*times)).withWatermark(name, delay)
 
 
 def _per_key(df: DataFrame, keys: Sequence[str], gap: str, time: str, *aggs: Column) -> DataFrame:

@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from sightlake.operators.records import image_records
+from sightlake.operators.records import frame_metadata, image_records
+from sightlake.plans.assess import assess_records
+from sightlake.plans.detect import detect_records
 from sightlake.session import new_path
 from sightlake.streaming import operators as S, sinks
 
 from . import views as V
-from .frames import TSR
 from .registry import query
 from .state import LAT, greedy
+from .tensors import ALL as FORK
 from .views import ARR, FRM, MRK, PAY
 
 KEYS = ["stream_id", "frame"]
@@ -55,6 +57,18 @@ def finish(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path).filter(F.col("stream_id") != CLOSING)
 
 
+def staged(df: DataFrame, arrival: str, name: str, transform, times: dict[str, int] | None = None) -> DataFrame:
+    """Like ``land`` and ``finish``, but each landing is processed before the next one arrives, from
+    the same checkpoint: state crosses micro-batches however many files a landing has."""
+    spark = df.sparkSession
+    landing, path = new_path(spark, "landing"), new_path(spark, name)
+    for part in landings(df, arrival, times):
+        part.write.mode("append").parquet(landing)
+        out = transform(spark.readStream.schema(df.schema).parquet(landing))
+        sinks.start_table(out, path, f"{path}-state").awaitTermination()
+    return spark.read.schema(out.schema).parquet(path).filter(F.col("stream_id") != CLOSING)
+
+
 DAY_US = 86_400_000_000
 DAY_NS = DAY_US * 1000
 
@@ -78,13 +92,10 @@ def stream_late_drop(spark, sf):
     Each landing is processed before the next one arrives, so the watermark has moved on.
     """
     puts = V.arr(spark, sf).withColumn("ts_ns", F.col("event_us") * 1000).drop("event_us")
-    landing, path = new_path(spark, "landing"), new_path(spark, "late-drop")
-    for part in landings(puts, "arrival_seq", {"ts_ns": 2 * DAY_NS}):
-        part.write.mode("append").parquet(landing)
-        stream = S.with_event_time(spark.readStream.schema(puts.schema).parquet(landing), "ts_ns", "0 seconds")
-        counts = S.output_fps(stream, 3600)
-        sinks.start_table(counts, path, f"{path}-state").awaitTermination()
-    return spark.read.schema(counts.schema).parquet(path).filter(F.col("stream_id") != CLOSING)
+    def counts(stream):
+        return S.output_fps(S.with_event_time(stream, "ts_ns", "0 seconds"), 3600)
+
+    return staged(puts, "arrival_seq", "late-drop", counts, {"ts_ns": 2 * DAY_NS})
 
 
 @query("stream_payload_join", FRM, PAY, sql="""SELECT f.stream_id, f.frame, f.buf_key, p.n_bytes FROM frm f JOIN pay p ON f.stream_id = p.stream_id AND f.buf_key = p.buf_key""")
@@ -117,8 +128,9 @@ def _times(spark, sf) -> DataFrame:
        greedy("t", 3_600_000_000), recursive=True,
        sql="SELECT t.stream_id, t.frame, t.ts_us FROM t JOIN g ON t.stream_id = g.stream_id AND t.ts_us = g.ts_us")
 def stream_interval_sample(spark, sf):
-    stream = land(_times(spark, sf).drop("unix_ns"), "arrival_seq")
-    return finish(S.interval_sample(stream, 3_600_000_000), "sample").select(*KEYS, "ts_us")
+    rows = _times(spark, sf).drop("unix_ns").repartition(12)  # many files per landing
+    sampled = staged(rows, "arrival_seq", "sample", lambda stream: S.interval_sample(stream, 3_600_000_000))
+    return sampled.select(*KEYS, "ts_us")
 
 
 @query("stream_output_fps", FRM, sql="""SELECT stream_id, window_us, count(*) AS frames, count(*) / 3600.0::DOUBLE AS fps FROM (
@@ -136,27 +148,34 @@ def stream_latest_per_tick(spark, sf):
     return finish(S.latest_per_tick(stream, "10 minutes"), "tick").select("stream_id", "stage", "tick_us", "frame", "ts_us")
 
 
-@query("stream_fork_outputs", FRM, TSR, sql="""SELECT 'IMAGE' AS branch, count(*) AS frames, CAST(count(ts_ns) AS BIGINT) AS timed FROM tsr
-  UNION ALL SELECT 'DETECT', count(*), count(ts_ns) FROM tsr WHERE frame % 2 = 0 UNION ALL SELECT 'ASSESS', count(*), count(ts_ns) FROM tsr WHERE frame % 10 = 0""")
+@query("stream_fork_outputs", *FORK, sql="""SELECT 'IMAGE' AS branch, count(*) AS frames, CAST(0 AS BIGINT) AS objects FROM frm
+  UNION ALL SELECT 'DETECT', (SELECT count(*) FROM frm), (SELECT count(*) FROM num JOIN frm USING (stream_id, frame))
+  UNION ALL SELECT 'ASSESS', count(DISTINCT (stream_id, frame)), count(*) FROM aobj""")
 def stream_fork_outputs(spark, sf):
-    """Raw images, every second frame as detected and every tenth as assessed, from one stream."""
-    path = new_path(spark, "fork")
+    """Images, detections and assessments of one stream of frames, a micro-batch per landing."""
+    path, landing = new_path(spark, "fork"), new_path(spark, "landing")
+    hot = V.hot_frames(spark, sf)
+    boxes, tensors = V.det(spark, sf, hot), V.logit(spark, sf)
     branches = {
         "IMAGE": image_records,
-        "DETECT": lambda df: image_records(df.filter(F.col("frame") % 2 == 0)),
-        "ASSESS": lambda df: image_records(df.filter(F.col("frame") % 10 == 0)),
+        "DETECT": lambda df: frame_metadata(detect_records(df, boxes, hot=hot), "DETECT"),
+        "ASSESS": lambda df: frame_metadata(assess_records(df, boxes, tensors, hot=hot), "ASSESS"),
     }
-    sinks.start_fork(land(V.frm(spark, sf), "arrival_seq"), branches, path, f"{path}-state").awaitTermination()
+    frames = V.frm(spark, sf)
+    for part in landings(frames, "arrival_seq"):
+        part.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(frames.schema).parquet(landing)
+        sinks.start_fork(stream, branches, path, f"{path}-state").awaitTermination()
     out = None
     for name in branches:
         written = spark.read.parquet(f"{path}/{name}")
-        one = written.agg(F.count("*").alias("frames"), F.count("timestamp_ns").alias("timed"))
-        one = one.select(F.lit(name).alias("branch"), "frames", "timed")
+        one = written.agg(F.count("*").alias("frames"), F.coalesce(F.sum("object_count"), F.lit(0)).alias("objects"))
+        one = one.select(F.lit(name).alias("branch"), "frames", "objects")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 @query("stream_publisher_seq", FRM, sql="SELECT stream_id, frame, row_number() OVER (PARTITION BY stream_id ORDER BY arrival_seq) - 1 AS seq FROM frm")
 def stream_publisher_seq(spark, sf):
-    stream = land(_times(spark, sf).select(*KEYS, "arrival_seq"), "arrival_seq")
-    return finish(S.publisher_sequence(stream), "seq").select(*KEYS, "seq")
+    rows = _times(spark, sf).select(*KEYS, "arrival_seq").repartition(12)
+    return staged(rows, "arrival_seq", "seq", S.publisher_sequence).select(*KEYS, "seq")
