@@ -155,6 +155,8 @@ def find(index: GramIndex, texts: list[str]) -> list[list[tuple]]:
     first, last = np.searchsorted(index.hashes, hashes[at], "left"), np.searchsorted(index.hashes, hashes[at], "right")
     counts = last - first
     at, first, counts = at[counts > 0], first[counts > 0], counts[counts > 0]
+    if not len(at):  # all were chance hits of the filter
+        return [[] for _ in texts]
     entry = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     place = np.repeat(at, counts)
     window = index.window[entry]
