@@ -76,24 +76,24 @@ def integer_text(value) -> Column:
     )
 
 
-def integer_value(json, key: str) -> Column:
-    """bigint from a key of a JSON variant, by the value's own type: numbers are cut to integers,
-    true is 1, text must be an integer. NULL for anything else."""
+def variant_kind(json, key: str) -> Column:
+    """Type name of a JSON variant's key; NULL without the key, VOID for null."""
+    return F.schema_of_variant(F.try_variant_get(_col(json), f"$.{key}", "variant"))
+
+
+def integer_value(json, key: str, kind=None, fractions: bool = True) -> Column:
+    """bigint from a key of a JSON variant, by the value's own type: true is 1, text must be an
+    integer, numbers written with a fraction or exponent are cut (NULL without ``fractions``).
+    NULL for anything else. ``kind`` is a column that has ``variant_kind`` already."""
     json, path = _col(json), f"$.{key}"
-    kind = F.schema_of_variant(F.try_variant_get(json, path, "variant"))
+    kind = variant_kind(json, key) if kind is None else _col(kind)
     number = F.try_variant_get(json, path, "double").try_cast("bigint")
-    return (
+    whole = (
         F.when(kind == "BIGINT", F.try_variant_get(json, path, "bigint"))
         .when(kind == "STRING", integer_text(F.try_variant_get(json, path, "string")))
         .when(kind == "BOOLEAN", F.try_variant_get(json, path, "boolean").cast("bigint"))
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), number)
     )
-
-
-def has_value(json, key: str) -> Column:
-    """Whether a JSON variant has the key with anything but null."""
-    kind = F.schema_of_variant(F.try_variant_get(_col(json), f"$.{key}", "variant"))
-    return F.coalesce(kind != "VOID", F.lit(False))
+    return whole.when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), number) if fractions else whole
 
 
 def message_timestamp(source_ts, ts, ingest=None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..constants import INT32_MAX
-from .clock import _col, has_value, integer_text, integer_value, valid_clock
+from .clock import _col, integer_text, valid_clock
 
 
 def data_source_id(explicit, frame) -> Column:
@@ -17,11 +17,11 @@ def data_source_id(explicit, frame) -> Column:
     ).otherwise(wrapped)
 
 
-def packet_source_id(json, frame) -> Column:
-    """The id of a packet from its JSON variant: an explicit value (0 if it is no integer), else the frame."""
-    return F.when(has_value(json, "data_source_id"), F.coalesce(integer_value(json, "data_source_id"), F.lit(0))).otherwise(
-        data_source_id(F.lit(None).cast("string"), frame)
-    )
+def packet_source_id(explicit, kind, frame) -> Column:
+    """The id of a packet: an explicit value (0 if it is no integer), else the frame. ``kind`` is the
+    JSON type of the explicit value, NULL or VOID if there is none."""
+    given = F.coalesce(_col(kind) != "VOID", F.lit(False))
+    return F.when(given, F.coalesce(_col(explicit), F.lit(0))).otherwise(data_source_id(F.lit(None).cast("string"), frame))
 
 
 def buffer_key(pts, dts) -> Column:

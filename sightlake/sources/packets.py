@@ -19,7 +19,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage,
 )
 
-from ..functions.clock import integer_value, message_timestamp
+from ..functions.clock import integer_value, message_timestamp, variant_kind
 from ..functions.identity import packet_source_id
 from ..schemas import PACKET, PACKET_METADATA
 
@@ -191,18 +191,24 @@ def write_packets(packets: DataFrame, path: str, roll_bytes: int = ROLL_BYTES) -
 def parse_metadata(packets: DataFrame, ingest: str | None = None) -> DataFrame:
     """Packets with typed metadata; absent keys take the consumer's defaults.
 
-    Integers keep their JSON type: 1.5 and true are numbers, the text "1.5" is not."""
+    Integers keep their JSON type: 1.5 and true are numbers, the text "1.5" is not; times take
+    no number with a fraction."""
+    keys = ("frame", "data_source_id", "source_timestamp_ns", "timestamp_ns")
     parsed = packets.withColumns({"_m": F.from_json("metadata", PACKET_METADATA), "_v": F.try_parse_json("metadata")})
-    frame = integer_value("_v", "frame")
-    stamped_at = message_timestamp(integer_value("_v", "source_timestamp_ns"), integer_value("_v", "timestamp_ns"), ingest)
+    # in steps, so that no expression is repeated inside others
+    parsed = parsed.withColumns({f"_kind_{k}": variant_kind("_v", k) for k in keys})
+    parsed = parsed.withColumns({
+        f"_{k}": integer_value("_v", k, f"_kind_{k}", fractions=not k.endswith("_ns")) for k in keys
+    })
+    stamped_at = message_timestamp(F.col("_source_timestamp_ns"), F.col("_timestamp_ns"), ingest)
     kept = [c for c in packets.columns if c != "metadata"]
     return parsed.select(
         *kept,
         F.col("_m.stage").alias("stage"),
-        frame.alias("frame"),
+        F.col("_frame").alias("frame"),
         stamped_at.alias("message_ts_ns"),
         "_m.timestamp", "_m.timestamp_source",
-        packet_source_id("_v", frame).alias("data_source_id"),
+        packet_source_id("_data_source_id", "_kind_data_source_id", "_frame").alias("data_source_id"),
         F.coalesce("_m.format", F.lit("jpeg")).alias("format"),
         F.coalesce("_m.log_text", F.lit("metadata=missing")).alias("log_text"),
         F.coalesce("_m.objects", F.array().cast(PACKET_METADATA["objects"].dataType)).alias("objects"),

@@ -185,7 +185,7 @@ def message_timestamp(spark, sf):
 
 
 @query("metadata_types", sql="""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN event_id WHEN 4 THEN event_id WHEN 5 THEN 0 ELSE 7 END AS source_id,
-  CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 3 THEN event_id WHEN 4 THEN event_id WHEN 6 THEN 7 ELSE 5 END AS message_ts_ns,
+  CASE event_id % 7 WHEN 1 THEN 1 WHEN 3 THEN event_id WHEN 4 THEN event_id ELSE 5 END AS message_ts_ns,
   CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 3 THEN event_id WHEN 4 THEN event_id WHEN 6 THEN 7 END AS frame FROM events""")
 def metadata_types(spark, sf):
     """Integers in packet metadata by their JSON type."""
