@@ -97,7 +97,7 @@ class ByteBpe:
         self.queue = RankQueue(len(self.tokens))
         self.matches = regex.compile(pattern).findall
         self.chunk = re.compile(r"\s*\S+|\s+").findall
-        self.cache, self.parts = WordCache(300_000), WordCache(500_000)
+        self.cache, self.parts = WordCache(150_000), WordCache(250_000)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 for none."""
@@ -221,6 +221,11 @@ class ByteBpe:
         settle()
         return [b"".join(x) for x in out]
 
+    def forget(self) -> None:
+        """Empty the caches at the end of a task: the worker goes on to other work."""
+        self.cache.clear()
+        self.parts.clear()
+
     def decode(self, packed: bytes) -> bytes:
         """Bytes of a whole text from its ids."""
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -248,6 +253,7 @@ def with_ids(
         coder = _coder(vocabulary, pattern)
         for texts in batches:
             yield pa.array(coder.encode(texts.to_pylist()), pa.binary())
+        coder.forget()
 
     return df.withColumn(out, encode(text_of(text)))
 
@@ -284,6 +290,7 @@ def with_digests(df: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text:
                 [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 ["n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        coder.forget()
 
     return df.withColumn(out, digest(text_of(text)))
 

@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sightlake.session import materialize
+
 from .common import WordCache, crc_of_id, plain_name, text_of, windows
 
 ORDER = 5
@@ -47,9 +49,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """At most ``rows`` rows per language: lang, text, calibrates."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    numbered = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_n", F.row_number().over(order))
-    return numbered.filter(F.col("_n") <= rows).select("lang", "text", (F.col("_n") % 5 == 0).alias("calibrates"))
+    # chosen by (id, text) hashes alone, so that no other text is shuffled
+    known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("_key"))
+    order = Window.partitionBy("lang").orderBy("_key")
+    keys = known.select("lang", "_key").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= rows)
+    chosen = known.join(F.broadcast(keys), ["lang", "_key"]).dropDuplicates(["lang", "_key"])  # at most rows * MAX_LANGUAGES keys
+    return chosen.select("lang", "text", (F.col("_n") % 5 == 0).alias("calibrates"))
 
 
 def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -220,7 +225,7 @@ def build_models(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model
 
 class Scorer:
     def __init__(self, models: Models):
-        self.models, self.cache = models, WordCache(200_000)
+        self.models, self.cache = models, WordCache(150_000)
 
     def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, cross-entropy in nats per symbol and language) of whole texts."""
@@ -236,7 +241,7 @@ class Scorer:
         passing = {}
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
-            for word, scores in zip(part, self.models.words(part)):
+            for word, scores in zip(part, map(tuple, self.models.words(part).tolist())):
                 (cache if len(word) <= cache.longest else passing)[word] = scores
         symbols = np.zeros(len(texts), np.int64)
         out = np.zeros((len(texts), len(self.models.languages)))
@@ -251,20 +256,16 @@ class Scorer:
 
 def fit(labelled: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROWS) -> Models:
     """Models of the languages in ``labelled`` (doc_id, lang, text), calibrated."""
-    rows = sample(labelled, sample_rows).persist()
-    try:
-        languages = [r.lang for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-        if len(languages) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
-        counts: dict[str, dict[str, int]] = {}
-        learning = rows.filter(~F.col("calibrates"))
-        for lang, gram, n in ngram_counts(learning, order).collect():
-            counts.setdefault(lang, {})[gram] = n
-        models = build_models(counts, order)
-        if models.languages:
-            _calibrate(models, rows.filter("calibrates"))
-    finally:
-        rows.unpersist()
+    languages = labelled.filter("lang IS NOT NULL").select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = materialize(sample(labelled, sample_rows), "language-sample").repartition(8)
+    counts: dict[str, dict[str, int]] = {}
+    for lang, gram, n in ngram_counts(rows.filter(~F.col("calibrates")), order).collect():
+        counts.setdefault(lang, {})[gram] = n
+    models = build_models(counts, order)
+    if models.languages:
+        _calibrate(models, rows.filter("calibrates"))
     return models
 
 
