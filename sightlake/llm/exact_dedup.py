@@ -49,7 +49,7 @@ def directory(entries: DataFrame, capacity: int) -> list[DataFrame]:
         fits = (
             cells.select("cell", F.explode(F.sequence(F.lit(1 if base else 0), F.lit(STEP_BITS))).alias("d"))
             .withColumn("prefix", F.expr(f"shiftrightunsigned(cell, {STEP_BITS} - d)"))
-            .join(doubled, ["d", "prefix"])
+            .join(broadcast_if_small(doubled, 2 << STEP_BITS), ["d", "prefix"])
             .filter((F.col("in_bucket") <= capacity) | (F.col("d") == STEP_BITS))
             .groupBy("cell").agg(F.min("d").alias("d"))
             .select("cell", (F.col("d") + base).alias("depth"), F.expr(f"shiftleft(shiftrightunsigned(cell, {STEP_BITS} - d), {shift} + {STEP_BITS} - d)").alias("bucket"))
