@@ -35,6 +35,7 @@ from .common import batch_of, open_store
 FILE_BYTES = 1 << 30
 GAP_BYTES = 64 << 10  # unselected bytes worth reading to save a request
 RANGE_BYTES = 8 << 20  # longest coalesced read, unless one record is longer
+TASK_BYTES = 16 << 20  # compressed bytes read by one task
 DATE = "2000-01-01T00:00:00Z"
 
 INDEX = [
@@ -173,7 +174,7 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP_BYTES, longest: int
     return runs
 
 
-def read_warc(selected: DataFrame) -> DataFrame:
+def read_warc(selected: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """The records of the selected index rows: page_id, url, record_type, refers_to, payload_bytes,
     payload_digest, payload (NULL for revisits)."""
     schema = _arrow(RECORD)
@@ -201,7 +202,10 @@ def read_warc(selected: DataFrame) -> DataFrame:
         if source is not None:
             source.close()
 
-    sorted_ = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # tasks by the bytes to be read, not by the index's own size
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // task_bytes))
+    sorted_ = selected.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return sorted_.mapInArrow(read, _ddl(RECORD))
 
 
