@@ -1,21 +1,25 @@
 """Benchmark passages in documents, exact or with a few edits.
 
 Method: q-gram lemma filtering. Texts are lower-cased with white space runs as one space.
-Benchmark items are cut into overlapping windows of ``window`` characters (shorter items whole);
-a window of m characters may differ by e = rate * m edits. A region with at most e edits shares
-at least m - q + 1 - q * e q-grams with its window, all on e + 1 neighbouring diagonals, so hits
-are counted in overlapping bands of 2 (e + 1) diagonals. Bands that reach the bound are verified
-by alignment inside the band.
+Searched are windows of benchmark items: every run of ``RUN_WORDS`` words (from each word on), and
+overlapping windows of ``window`` characters (shorter items whole); a window of m characters may
+differ by e = rate * m edits. A region with at most e edits shares at least m - q + 1 - q * e
+q-grams with its window, all on e + 1 neighbouring diagonals. An item's q-grams are indexed once;
+hits are gathered in overlapping bands of diagonals, in order of their place in the item, so that a
+window's hits are a stretch of its band. Windows that reach the bound are verified by alignment
+inside the band, the likeliest of an item first.
 
 The benchmark is read in blocks of at most ``block_chars`` characters; the index of a block has a
 fixed maximal size and is broadcast, documents are never shuffled. With more blocks the documents
 are read once per block.
 
 Defined results: NULL text counts as empty; items shorter than ``min_chars`` characters are not
-searched (chance would match them); an item occurs once in a document's list however often its
+searched (chance would match them); a word has a letter or digit, and in scripts without spaces
+four characters count as one; a run ends after ``LONGEST`` characters; an item occurs once in a document's list however often its
 windows match; spans are character positions in the normalised text; every row is reported.
 """
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,23 +31,43 @@ from .common import plain_name, text_of
 
 Q = 8  # a power of two
 WINDOW, STRIDE, MIN_CHARS = 128, 64, 24
+RUN_WORDS = 13
+LONGEST = WINDOW + STRIDE  # a verbatim run of so many characters has a window of characters inside
 RATE = 0.1
 LEAST_HITS = 4
 BLOCK_CHARS = 1 << 20
 HELD_CHARS = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
+# Thai to Tibetan, Myanmar, Khmer, kana, CJK and its punctuation, full-width forms
+_DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+_TOKEN = re.compile(f"[{_DENSE}]{{1,4}}|[^ {_DENSE}]+")
+_SPELLED = re.compile(r"[^\W_]")
 
 
 def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def spans_of(text: str, window: int = WINDOW, stride: int = STRIDE, words: int = RUN_WORDS) -> list[tuple[int, int]]:
+    """Places (start, stop) of a normalised item's windows: every run of ``words`` words, and of
+    every run of window + stride characters at least ``window`` characters."""
+    last = len(text) - window
+    found = {(s, s + window) for s in [*range(0, last, stride), last]} if last > 0 else {(0, len(text))}
+    tokens = [m.span() for m in _TOKEN.finditer(text) if _SPELLED.search(m.group())]
+    end = words - 1
+    for i, (start, _) in enumerate(tokens):
+        end = max(end, i + words - 1)
+        while end < len(tokens) and tokens[end][1] - start < MIN_CHARS:
+            end += 1
+        if end >= len(tokens):
+            break
+        found.add((start, min(tokens[end][1], start + LONGEST)))
+    return sorted(found)
+
+
 def pieces_of(text: str, window: int = WINDOW, stride: int = STRIDE) -> list[str]:
-    """Windows that cover a normalised item; every run of window + stride characters has one inside."""
-    if len(text) <= window:
-        return [text]
-    starts = [*range(0, len(text) - window, stride), len(text) - window]
-    return [text[s : s + window] for s in starts]
+    """The windows of a normalised item."""
+    return [text[s:e] for s, e in spans_of(text, window, stride)]
 
 
 def codes(text: str) -> np.ndarray:
@@ -105,15 +129,17 @@ def align(pattern: np.ndarray, region: np.ndarray, low: int, high: int, budget:
 
 @dataclass
 class GramIndex:
-    """Sorted q-gram hashes of a block of windows."""
+    """Sorted q-gram hashes of a block of items and the items' windows, by start."""
 
     items: list[int | None]
-    texts: list[str]
+    text: str
     hashes: np.ndarray
-    window: np.ndarray
     place: np.ndarray
     known: np.ndarray
     shift: int
+    owner: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
     budget: np.ndarray
     bound: np.ndarray
 
@@ -122,26 +148,31 @@ class GramIndex:
 
 
 def build_index(items: list[tuple[int | None, str]], rate: float = RATE) -> GramIndex:
-    owners, texts = [], []
-    for item, text in items:
-        for piece in pieces_of(text):
-            owners.append(item)
-            texts.append(piece)
-    grams = [gram_hashes(codes(t)) for t in texts]
-    sizes = [len(g) for g in grams]
+    windows, places, grams, at = [], [], [], 0
+    for owner, (_, text) in enumerate(items):
+        windows += [(owner, at + s, at + e) for s, e in spans_of(text)]
+        grams.append(gram_hashes(codes(text)))
+        places.append(at + np.arange(len(grams[-1])))
+        at += len(text) + 1
     hashes = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
     order = np.argsort(hashes, kind="stable")
     bits = max(16, (16 * len(hashes)).bit_length())
     known = np.zeros(1 << bits, bool)
     known[hashes >> np.uint64(64 - bits)] = True
-    budget = np.array([edit_budget(len(t), rate) for t in texts], np.int64)
-    bound = np.array([len(t) - Q + 1 for t in texts], np.int64) - Q * budget
+    owner, start, stop = np.array(windows, np.int64).reshape(-1, 3).T
+    budget = np.array([edit_budget(n, rate) for n in (stop - start).tolist()], np.int64)
+    bound = np.maximum(stop - start - Q + 1 - Q * budget, 1)
     return GramIndex(
-        owners, texts, hashes[order], np.repeat(np.arange(len(texts)), sizes)[order],
-        np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0, np.int64)])[order], known, 64 - bits, budget, bound,
+        [i for i, _ in items], "\0".join(t for _, t in items), hashes[order],
+        np.concatenate(places or [np.zeros(0, np.int64)])[order], known, 64 - bits, owner, start, stop, budget, bound,
     )
 
 
+def spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each row, ``counts`` of them."""
+    return np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def find(index: GramIndex, texts: list[str]) -> list[list[tuple]]:
     """Per normalised text: verified (item, edits, start, end), one per item."""
     out: list[dict] = [{} for _ in texts]
@@ -157,34 +188,49 @@ def find(index: GramIndex, texts: list[str]) -> list[list[tuple]]:
     at, first, counts = at[counts > 0], first[counts > 0], counts[counts > 0]
     if not len(at):  # all were chance hits of the filter
         return [[] for _ in texts]
-    entry = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    spot = index.place[spread(first, counts)]
     place = np.repeat(at, counts)
-    window = index.window[entry]
     owner = np.searchsorted(starts, place, "right") - 1
-    # position in the document, moved so that diagonals are never negative
-    diagonal = place - starts[owner] - index.place[entry] + WINDOW
-    stride = index.budget[window] + 1
-    band = diagonal // stride
-    most = int(band.max()) + 2
-    group = (owner * len(index.texts) + window) * most
-    doubled = np.concatenate([group + band, np.where(band > 0, group + band - 1, group + band)])
-    bands, at, hits = np.unique(doubled, return_inverse=True, return_counts=True)
-    bound = np.maximum(index.bound[bands // most % len(index.texts)], 1)
-    # a repeated q-gram hits often: count places of the window and of the document, each once
-    hot = np.flatnonzero((hits >= bound)[at.ravel()])
-    at, source = at.ravel()[hot], hot % len(group)
-    enough = hits >= bound
-    for spots in (index.place[entry[source]], place[source]):
-        once = np.unique(np.stack([at, spots]), axis=1)[0] if len(at) else at
-        enough &= np.bincount(once, minlength=len(bands)) >= bound
-    window = bands // most % len(index.texts)
-    for key, w in zip(bands[enough].tolist(), window[enough].tolist()):
-        doc, item, pattern = key // most // len(index.texts), index.items[w], index.texts[w]
-        if out[doc].get(item, (1,))[0] == 0:
-            continue  # this item is known to be here without edits
-        budget = int(index.budget[w])
-        low = key % most * (budget + 1) - WINDOW
-        high = low + 2 * (budget + 1) - 1
+    # diagonals moved so that they are never negative; a band holds those of any window's budget
+    size, width = len(index.text) + 1, int(index.budget.max()) + 1
+    band = (place - spot + size) // width
+    most = int(band.max()) + 1
+    group = owner * most + band
+    least, longest = int(index.bound.min()), int((index.stop - index.start).max())
+    # only bands that reach the least bound with a neighbour
+    bands, of, hits = np.unique(group, return_inverse=True, return_counts=True)
+    pair = hits[:-1] + np.where(np.diff(bands) == 1, hits[1:], 0)
+    full = (np.maximum(np.r_[hits[-1:] * 0, pair], np.r_[pair, hits[-1:]]) >= least)[of]
+    group, band, spot = group[full], band[full], spot[full]
+    # a repeated q-gram hits often: each place of the item counts once
+    hits = np.unique(np.concatenate([group, np.where(band > 0, group - 1, group)]) * size + np.concatenate([spot, spot]))
+    group, spot = hits // size, hits % size
+    # first hits of a window: so many follow within the longest one
+    ahead = np.flatnonzero(hits[least - 1 :] - hits[: len(hits) - least + 1] <= longest - Q) if len(hits) >= least else []
+    ahead = np.asarray(ahead, np.int64)
+    ahead = ahead[group[ahead + least - 1] == group[ahead]]
+    # each window by its first hit: it starts after the hit before
+    before = np.where((ahead > 0) & (group[ahead - 1] == group[ahead]), spot[ahead - 1], -1)
+    low = np.searchsorted(index.start, np.maximum(before + 1, spot[ahead] - longest + 1), "left")
+    counts = np.searchsorted(index.start, spot[ahead], "right") - low
+    window, head = spread(low, counts), np.repeat(ahead, counts)
+    shared = np.searchsorted(hits, group[head] * size + np.maximum(index.stop[window] - Q + 1, 0), "left") - head
+    enough = shared >= index.bound[window]
+    window, key, shared = window[enough], group[head[enough]], shared[enough]
+    # every edit costs at most Q shared q-grams
+    fewest = -(-np.maximum(index.stop[window] - index.start[window] - Q + 1 - shared, 0) // Q)
+    for i in np.lexsort((key, window, fewest)).tolist():
+        w, doc = int(window[i]), int(key[i]) // most
+        item, budget = index.items[index.owner[w]], int(index.budget[w])
+        known = out[doc].get(item)
+        if known:
+            budget = min(budget, known[0] - 1)
+        if fewest[i] > budget:
+            continue  # no better than what is known of this item
+        start, stop = int(index.start[w]), int(index.stop[w])
+        pattern, shift = index.text[start:stop], start - int(starts[doc])
+        low = int(key[i]) % most * width - size + shift
+        high = low + 2 * width - 1
         begin, end = max(0, low - budget), min(len(texts[doc]), high + len(pattern) + budget)
         region = texts[doc][begin:end]
         exact = region.find(pattern)
@@ -192,7 +238,7 @@ def find(index: GramIndex, texts: list[str]) -> list[list[tuple]]:
             found = (0, exact, exact + len(pattern))
         else:
             found = align(codes(pattern), codes(region), low - begin, high - begin, budget)
-        if found and found[0] <= budget and found[0] < out[doc].get(item, (budget + 1,))[0]:
+        if found and found[0] <= budget:
             out[doc][item] = (found[0], begin + found[1], begin + found[2])
     return [sorted(((item, *m) for item, m in d.items()), key=lambda m: (m[0] is None, m[0])) for d in out]
 

@@ -71,6 +71,26 @@ def test_matches_equal_brute_force(spark, docs, corpus):
         assert got[i] == want, i
 
 
+def test_parts_of_items_are_found():
+    """Runs of 13 words from any word of an item on, verbatim or with an edit, in other prose."""
+    rng = random.Random(11)
+    line = lambda n: " ".join("".join(rng.choices(LETTERS[:-1], k=rng.randint(2, 9))) for _ in range(n))
+    dense = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    items = [(i, line(rng.randint(18, 90))) for i in range(20)] + [(50, dense(300)), (51, "x" * 400 + line(20))]
+    index = D.build_index(items)
+    for i, text in items[:20]:
+        words = text.split()
+        for s in range(len(words) - 12):
+            run = " ".join(words[s : s + 13])
+            at = rng.randrange(len(run))
+            quotes = [line(30) + " " + q + " " + line(30) for q in (run, run[:at] + "#" + run[at + 1 :])]
+            exact, edited = D.find(index, quotes)
+            assert exact == [(i, 0, quotes[0].index(run), quotes[0].index(run) + len(run))]
+            assert [m[:2] for m in edited] == [(i, 1)]
+    assert [m[:2] for m in D.find(index, [dense(90) + items[20][1][101:157] + dense(90)])[0]] == [(50, 0)]
+    assert D.find(index, [line(30) + " " + " ".join(items[0][1].split()[:6]) + " " + line(30)]) == [[]]
+
+
 def test_alignment(spark):
     rng = random.Random(3)
     for _ in range(200):
