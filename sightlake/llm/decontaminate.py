@@ -13,8 +13,8 @@ The benchmark is read in blocks of at most ``block_chars`` characters; the index
 fixed maximal size and is broadcast, documents are never shuffled. With more blocks the documents
 are read once per block.
 
-Defined results: NULL text counts as empty; items shorter than ``min_chars`` characters are not
-searched (chance would match them); a word has a letter or digit, and in scripts without spaces
+Defined results: NULL text counts as empty; items shorter than ``min_chars`` characters are
+found only without edits and as whole words, blank ones never; a word has a letter or digit, and in scripts without spaces
 four characters count as one; a run ends after ``LONGEST`` characters; an item occurs once in a document's list however often its
 windows match; spans are character positions in the normalised text; every row is reported.
 """
@@ -42,6 +42,7 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 _DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
 _TOKEN = re.compile(f"[{_DENSE}]{{1,4}}|[^ {_DENSE}]+")
 _SPELLED = re.compile(r"[^\W_]")
+_JOINED = f"[^\\W_{_DENSE}]"  # continues a word
 
 
 def normalise(text: str | None) -> str:
@@ -86,6 +87,14 @@ def gram_hashes(symbols: np.ndarray, q: int = Q) -> np.ndarray:
     return out * np.uint64(MULTIPLIER)
 
 
+def run_hashes(symbols: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n symbols that start at each position, for any n."""
+    power = 1 << (n.bit_length() - 1)
+    grams = gram_hashes(symbols, power)
+    most = max(0, len(symbols) - n + 1)
+    return (grams[:most] * np.uint64(MULTIPLIER)) ^ grams[n - power : n - power + most]
+
+
 def edit_budget(length: int, rate: float = RATE, q: int = Q) -> int:
     """Edits allowed so that the lemma still asks for ``LEAST_HITS`` q-grams."""
     return max(0, min(int(rate * length), (length - q + 1 - LEAST_HITS) // q))
@@ -142,12 +151,22 @@ class GramIndex:
     stop: np.ndarray
     budget: np.ndarray
     bound: np.ndarray
+    short: list[tuple[int | None, str]]
+    short_hashes: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted hashes, places in ``short``
 
     def maybe(self, hashes: np.ndarray) -> np.ndarray:
         return self.known[hashes >> np.uint64(self.shift)]
 
 
 def build_index(items: list[tuple[int | None, str]], rate: float = RATE) -> GramIndex:
+    short = [i for i in items if len(i[1]) < MIN_CHARS]
+    items = [i for i in items if len(i[1]) >= MIN_CHARS]
+    short_hashes = {}
+    for n in {len(t) for _, t in short}:
+        own = np.array([k for k, (_, t) in enumerate(short) if len(t) == n])
+        keys = np.concatenate([run_hashes(codes(short[k][1]), n) for k in own])
+        order = np.argsort(keys, kind="stable")
+        short_hashes[n] = keys[order], own[order]
     windows, places, grams, at = [], [], [], 0
     for owner, (_, text) in enumerate(items):
         windows += [(owner, at + s, at + e) for s, e in spans_of(text)]
@@ -165,6 +184,7 @@ def build_index(items: list[tuple[int | None, str]], rate: float = RATE) -> Gram
     return GramIndex(
         [i for i, _ in items], "\0".join(t for _, t in items), hashes[order],
         np.concatenate(places or [np.zeros(0, np.int64)])[order], known, 64 - bits, owner, start, stop, budget, bound,
+        short, short_hashes,
     )
 
 
@@ -173,8 +193,37 @@ def spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def add_short(index: GramIndex, texts: list[str], out: list[dict]) -> None:
+    """Add the short items that occur in each text as whole words."""
+    symbols = codes("\0".join(texts))
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    for n, (keys, own) in index.short_hashes.items():
+        hashes = run_hashes(symbols, n)
+        maybe = np.zeros(1 << 16, bool)
+        maybe[keys >> np.uint64(48)] = True
+        at = np.flatnonzero(maybe[hashes >> np.uint64(48)])
+        first, last = np.searchsorted(keys, hashes[at], "left"), np.searchsorted(keys, hashes[at], "right")
+        doc = np.repeat(np.searchsorted(starts, at, "right") - 1, last - first)
+        pairs = np.unique(np.stack([own[spread(first, last - first)], doc], 1), axis=0)
+        for k, d in pairs.tolist():
+            item, text = index.short[k]
+            sides = [("(?<!%s)", text[0]), ("(?!%s)", text[-1])]
+            before, after = (side % _JOINED if re.match(_JOINED, edge) else "" for side, edge in sides)
+            hit = re.search(before + re.escape(text) + after, texts[d])
+            if hit and out[d].get(item, (1,))[0] > 0:
+                out[d][item] = (0, *hit.span())
+
+
 def find(index: GramIndex, texts: list[str]) -> list[list[tuple]]:
     """Per normalised text: verified (item, edits, start, end), one per item."""
+    out = near(index, texts)
+    if index.short and texts:
+        add_short(index, texts, out)
+    return [sorted(((item, *m) for item, m in d.items()), key=lambda m: (m[0] is None, m[0])) for d in out]
+
+
+def near(index: GramIndex, texts: list[str]) -> list[dict]:
+    """Per normalised text: item to verified (edits, start, end) of its best window."""
     out: list[dict] = [{} for _ in texts]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.cumsum(lengths + 1) - (lengths + 1)
@@ -182,12 +231,12 @@ def find(index: GramIndex, texts: list[str]) -> list[list[tuple]]:
     hashes = gram_hashes(symbols)
     at = np.flatnonzero(index.maybe(hashes)) if len(hashes) and len(index.hashes) else np.zeros(0, np.int64)
     if not len(at):
-        return [[] for _ in texts]
+        return out
     first, last = np.searchsorted(index.hashes, hashes[at], "left"), np.searchsorted(index.hashes, hashes[at], "right")
     counts = last - first
     at, first, counts = at[counts > 0], first[counts > 0], counts[counts > 0]
     if not len(at):  # all were chance hits of the filter
-        return [[] for _ in texts]
+        return out
     spot = index.place[spread(first, counts)]
     place = np.repeat(at, counts)
     owner = np.searchsorted(starts, place, "right") - 1
@@ -240,7 +289,7 @@ def find(index: GramIndex, texts: list[str]) -> list[list[tuple]]:
             found = align(codes(pattern), codes(region), low - begin, high - begin, budget)
         if found and found[0] <= budget:
             out[doc][item] = (found[0], begin + found[1], begin + found[2])
-    return [sorted(((item, *m) for item, m in d.items()), key=lambda m: (m[0] is None, m[0])) for d in out]
+    return out
 
 
 def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int = BLOCK_CHARS) -> Iterator[list]:
@@ -248,7 +297,7 @@ def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars:
     block, size = [], 0
     for item, raw in benchmark.select(item_id, text).toLocalIterator():
         norm = normalise(raw)
-        if len(norm) < MIN_CHARS:
+        if not norm:
             continue
         if block and size + len(norm) > block_chars:
             yield block

@@ -91,6 +91,18 @@ def test_parts_of_items_are_found():
     assert D.find(index, [line(30) + " " + " ".join(items[0][1].split()[:6]) + " " + line(30)]) == [[]]
 
 
+def test_short_items_are_whole_words(spark, docs):
+    benchmark = spark.createDataFrame([(1, "Blue  whale"), (2, "x=1;"), (3, "鯨は青い"), (4, "blue whale"), (5, " \n"), (6, "é"), (None, "end")], "item_id long, text string")
+    texts = [
+        (1, "The (blue\nwhale) sings."), (2, "a blue whales, ablue whale, blue-whale"), (3, "max=1;2"), (4, "then x=1;y=2 in the END"), (5, "大きな鯨は青いです"),
+        (6, "ends ending bend é"), (7, None), (8, "éa aé"), (9, "blue whal\0e"), (10, "blue whales and a BLUE WHALE"),
+    ]
+    for size in (D.BLOCK_CHARS, 1):
+        got = {r.doc_id: [(m.item_id, m.edits) for m in r.matches] for r in D.with_matches(docs(texts), benchmark, block_chars=size).collect()}
+        want = {1: [1, 4], 4: [2, None], 5: [3], 6: [6], 10: [1, 4]}
+        assert {i: sorted(m, key=repr) for i, m in got.items()} == {i: [(m, 0) for m in want.get(i, [])] for i, _ in texts}
+
+
 def test_alignment(spark):
     rng = random.Random(3)
     for _ in range(200):
