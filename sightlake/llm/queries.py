@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, decontaminate, exact_dedup, language_id, lm_score, simhash, token_counts, token_files, warc
+from . import byte_bpe, chat, decontaminate, exact_dedup, language_id, lm_score, packing, simhash, token_counts, token_files, warc
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -101,3 +101,8 @@ FROM placed GROUP BY conv_id, perspective
 """)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotation_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(table(spark, sf_dir, "documents"))

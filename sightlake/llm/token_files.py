@@ -21,12 +21,9 @@ are handled as the tokenizer does by default; an empty table gives an empty mani
 
 import json
 import os
-import re
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +32,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sightlake.session import materialize, new_path
 
-from .common import WordCache, batch_of, open_store, text_of, vocabulary_path, windows, worker_state
+from .cached_ids import ByteLevelIds as CachedEncoder
+from .common import batch_of, open_store, text_of, vocabulary_path, worker_state
 
 MAGIC = b"DACIDS01"
 BITS = 8
 BLOCK = 512  # bits of a bitmap per directory entry
 FILE_IDS = 1 << 24
 READ_IDS = 1 << 20
-MARKS = ".,;:!?"
 
 
 class ChunkLevels:
@@ -159,112 +156,6 @@ class TokenFile:
         return [d if v else None for d, v in zip(ids, valid)], np.r_[column("starts", "<i8"), self.n]
 
 
-class MissingCache(WordCache):
-    """A cache that gives None for what it lacks and remembers it."""
-
-    def __init__(self, entries: int):
-        super().__init__(entries)
-        self.missed: set[str] = set()
-
-    def __missing__(self, key: str) -> None:
-        self.missed.add(key)
-
-    def take_missed(self) -> set[str]:
-        missed, self.missed = self.missed, set()
-        return missed
-
-
-class CachedEncoder:
-    """The tokenizer's ids of whole texts. Texts are cut before single spaces that follow a
-    non-space, where no pre-token crosses; new pieces are encoded together and cut apart by the
-    byte length of their ids."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the workers
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        pre = spec["pre_tokenizer"] or {}
-        plain = spec["normalizer"] is None and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"])
-        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or not plain:
-            raise ValueError("only byte-level tokenizers without normaliser and prefix space")
-        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        added = {t["content"] for t in spec["added_tokens"]}
-        for token, i in self.tokenizer.get_vocab().items():  # a byte is one character of a token
-            self.width[i] = len(token.encode()) if token in added else len(token)
-        self.chunk = re.compile(r"\s*\S+|\s+").findall
-        self.uneven = re.compile(r"[^\S \n]|[ \n][ \n]|\0").search
-        self.cache = MissingCache(1_000_000)
-
-    def _together(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of chunks, as bytes. Those that start with white space and end without it are encoded as
-        one text and cut apart, the others one by one."""
-        fused = [c[0].isspace() and not c[-1].isspace() for c in chunks]
-        joined, alone = list(compress(chunks, fused)), list(compress(chunks, map(not_, fused)))
-        for i in range(0, len(joined), 2000):
-            part = joined[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.width[ids])
-            stops = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)))
-            cuts = (4 * (np.searchsorted(ends, stops, side="left") + 1)).tolist()
-            raw = ids.tobytes()
-            yield from zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)))
-        for c, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            yield c, np.array(e.ids, "<u4").tobytes()
-
-    def _new(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks outside the cache. Marks after a letter at a chunk's end are a pre-token of
-        their own, so the word before them is looked up without them."""
-        cache, split, words, whole = self.cache, [], set(), []
-        for c in chunks:
-            word = c.rstrip(MARKS)
-            if word and len(word) < len(c) and word[-1].isalpha():
-                split.append((c, word, c[len(word) :]))
-            else:
-                whole.append(c)
-        for _, word, marks in split:
-            words.add(word)
-            words.add(marks)
-        words = words.difference(cache)
-        words.update(whole)
-        found = dict(self._together(list(words)))
-        cache.update((c, ids) for c, ids in found.items() if len(c) <= cache.longest)
-        for c, word, marks in split:  # not kept: they would crowd out words
-            found[c] = (found[word] if word in found else cache[word]) + (found[marks] if marks in found else cache[marks])
-        return found
-
-    def _chunks(self, text: str) -> list[str]:
-        if self.uneven(text):
-            return self.chunk(text)
-        # only single spaces and line feeds: the same cuts without the pattern
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").removeprefix("\0").split("\0") if text else []
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each whole text as little-endian unsigned 32-bit integers."""
-        cache = self.cache
-        cache.trim()
-        out, held, size = [[] for _ in texts], [], 0
-
-        def settle() -> None:
-            found = self._new(cache.take_missed())
-            for i, chunks, packed in held:
-                if None in packed:
-                    packed = [found[c] if p is None else p for c, p in zip(chunks, packed)]
-                out[i].append(b"".join(packed))
-
-        for i, text in enumerate(texts):
-            for piece in windows(text):
-                chunks = self._chunks(piece)
-                held.append((i, chunks, list(map(cache.__getitem__, chunks))))
-                size += len(piece)
-                if size > 1 << 21:
-                    settle()
-                    held, size = [], 0
-        settle()
-        return [b"".join(x) for x in out]
-
-
 MANIFEST = "shard int, seq int, path string, n_docs long, n_ids long"
 
 
@@ -304,7 +195,8 @@ def write_token_files(
             yield batch_of(schema, [[shard] * len(done), range(len(done)), paths, n_docs, n_ids])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the start of the text spreads rows of one id, or of none, in the same order
+    ordered = slim.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
