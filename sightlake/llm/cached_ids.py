@@ -70,7 +70,7 @@ class PieceMemo:
         """A lookup that has every one of ``pieces``; short ones stay in the memo."""
         cache = self.cache
         cache.trim()
-        found = self.learn(set(pieces).difference(cache))
+        found = self.learn({p for p in pieces if p not in cache})
         long = {p: ids for p, ids in found.items() if len(p) > cache.longest}
         if not long:
             cache.update(found)
@@ -114,13 +114,13 @@ class ByteLevelIds(PieceMemo):
         self.cut = re.compile(r"(?<=\S) (?=\S)").sub
 
     def pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if "\0" in text:
-            return [text]
+        return [text] if "\0" in text else self.marked(text).split("\0") if text else []
+
+    def marked(self, text: str) -> str:
+        """``text``, which holds no NUL, with one at every cut."""
         if " ".join(text.split()) == text.replace("\n", " "):  # white space is single spaces and line feeds
-            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        return self.cut("\0 ", text).split("\0")
+            return text.replace(" ", "\0 ").replace("\n", "\0\n")
+        return self.cut("\0 ", text)
 
     def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
         cache, merged, found, split, rest = self.cache, self.merged, {}, [], []
@@ -134,7 +134,7 @@ class ByteLevelIds(PieceMemo):
                 split.append((p, word, p[len(word) :]))
             else:
                 rest.append(p)
-        marks = {m for _, _, m in split}.difference(cache, rest)
+        marks = {m for _, _, m in split if m not in cache}.difference(rest)
         found.update(self.piped([*rest, *marks]))
         for p, word, mark in split:
             ids = cache.get(word) or found.get(word)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, decontaminate, exact_dedup, language_id, lm_score, packing, simhash, token_counts, token_files, warc
+from . import alignment, byte_bpe, chat, decontaminate, exact_dedup, language_id, lm_score, packing, simhash, token_counts, token_files, warc, whitening
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -106,3 +106,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_packing")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
