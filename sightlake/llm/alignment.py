@@ -32,11 +32,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sightlake.session import new_path
 
-from .cached_ids import MARKS, ByteLevelIds
+from .cached_ids import LETTER, MARKS, ByteLevelIds
 from .common import batch_of, vocabulary_path, windows, worker_state
 
 SPACE = "▁"
-LETTER = "[0-9A-Za-zÀ-ÖØ-öø-ɏ]"  # letters and digits in every Unicode version
 BLOCK_CHARS = 1 << 22
 NEAR = 16  # single ends tried around the middle before whole blocks of them
 
@@ -129,7 +128,6 @@ class Aligner:
         self.width_b = np.array([len(t) for t in self.bytes_b], np.int64)
         if any(re.search(rf"{LETTER}[{MARKS}]", p) for p in inside):
             raise ValueError("a piece has a mark after a letter")
-        self.marks = re.compile(rf"[{MARKS}](?=\0|\Z)(?<={LETTER}.)").sub
         self.names = list(map(str, range(max(n, len(self.bytes_a)))))
         self.entries = entries
         self.clear()
@@ -158,7 +156,7 @@ class Aligner:
         if "\0" in window:
             return [window]
         # a window starts with a space; where that is cut off, nothing stands before it
-        return self.marks("\0\\g<0>", self.a.marked(window)).removeprefix("\0").split("\0")
+        return self.a.marked(window).removeprefix("\0").split("\0")
 
     def _tokens_b(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """B's ids of pieces and how many each has, -1 where bytes differ. Words are encoded together and

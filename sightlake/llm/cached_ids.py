@@ -8,12 +8,15 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable
+from operator import attrgetter
 
 import numpy as np
 
 from .common import WordCache, windows
 
 MARKS = ".,;:!?"
+ID = attrgetter("id")
+LETTER = "[0-9A-Za-zÀ-ÖØ-öø-ɏ]"  # letters and digits in every Unicode version
 LATIN_END = "ɐ"  # letters below are composed, of one case rule, and letters in every Unicode version
 
 if array("I").itemsize != 4:
@@ -57,7 +60,7 @@ class PieceMemo:
             word = word.encode().decode("latin-1").translate(self.letters)
         elif word[0] == " ":
             word = "Ġ" + word[1:]
-        return array("I", [t.id for t in self.merge(word)]).tobytes()
+        return array("I", map(ID, self.merge(word))).tobytes()
 
     def piped(self, pieces: list[str]) -> Iterable[tuple[str, bytes]]:
         """Ids of pieces, by the library's whole pipeline."""
@@ -100,7 +103,7 @@ class PieceMemo:
 
 class ByteLevelIds(PieceMemo):
     """Vocabularies whose pre-tokens may start with one space: cut before single spaces and line feeds
-    between other characters."""
+    between other characters, and before a single mark after a word."""
 
     def __init__(self, path: str, special_as_text: bool = False, entries: int = 1_000_000):
         super().__init__(path, special_as_text, entries)
@@ -112,6 +115,7 @@ class ByteLevelIds(PieceMemo):
         if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or not plain:
             raise ValueError("only byte-level tokenizers without normaliser and prefix space")
         self.cut = re.compile(r"(?<=\S) (?=\S)").sub
+        self.mark = re.compile(rf"[{MARKS}](?=\0|\Z)(?<={LETTER}.)").sub
 
     def pieces(self, text: str) -> list[str]:
         return [text] if "\0" in text else self.marked(text).split("\0") if text else []
@@ -119,28 +123,19 @@ class ByteLevelIds(PieceMemo):
     def marked(self, text: str) -> str:
         """``text``, which holds no NUL, with one at every cut."""
         if " ".join(text.split()) == text.replace("\n", " "):  # white space is single spaces and line feeds
-            return text.replace(" ", "\0 ").replace("\n", "\0\n")
-        return self.cut("\0 ", text)
+            cut = text.replace(" ", "\0 ").replace("\n", "\0\n")
+        else:
+            cut = self.cut("\0 ", text)
+        return self.mark("\0\\g<0>", cut)
 
     def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        cache, merged, found, split, rest = self.cache, self.merged, {}, [], []
+        merged, found, rest = self.merged, {}, []
         for p in pieces:
-            body = p[1:] if p[0] == " " else p
-            if plain_word(body):
+            if plain_word(p[1:] if p[0] == " " else p):
                 found[p] = merged(p)
-                continue
-            word = p.rstrip(MARKS)  # marks after a letter are a pre-token of their own
-            if len(word) < len(p) and plain_word(word[1:] if word[:1] == " " else word):
-                split.append((p, word, p[len(word) :]))
             else:
                 rest.append(p)
-        marks = {m for _, _, m in split if m not in cache}.difference(rest)
-        found.update(self.piped([*rest, *marks]))
-        for p, word, mark in split:
-            ids = cache.get(word) or found.get(word)
-            if ids is None:
-                found[word] = ids = merged(word)
-            found[p] = ids + (cache.get(mark) or found[mark])
+        found.update(self.piped(rest))
         return found
 
 
