@@ -1,22 +1,24 @@
 """Streaming forms of the operators.
 
 Event time is the frame's source time at microsecond precision (``event_time``);
-exact nanoseconds stay in their own column. Retention bounded by count in a live
-pipeline becomes a watermark here. Results of a group are emitted once the watermark
-has passed it, which makes them independent of how rows fall into micro-batches.
+exact nanoseconds stay in their own column. Results of a group are emitted once the
+watermark has passed it, which makes them independent of how rows fall into micro-batches.
+Order-dependent state (``ordered``) is released by timers at the same point.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..constants import FRAME_KEYS, STAGES
 from ..functions.clock import event_time
 from ..operators.timing import stage_latency
+from . import ordered
+
+# event time that is held and sorted at once; results do not depend on it
+BUCKET_MS = 10_000
 
 
 def with_event_time(
@@ -36,13 +38,13 @@ def _per_key(df: DataFrame, keys: Sequence[str], gap: str, time: str, *aggs: Col
 
 
 def first_wins(
-    puts: DataFrame, gap: str, keys: Sequence[str] = FRAME_KEYS, arrival: str = "arrival_seq",
-    time: str = "event_time",
+    puts: DataFrame, limit: int = 2048, partition: Sequence[str] = ("stream_id",), keys: Sequence[str] = ("frame",),
+    arrival: str = "arrival_seq", time: str = "event_time", bucket_ms: int = BUCKET_MS,
 ) -> DataFrame:
-    """First put per key by arrival. Puts of a key must follow within ``gap`` of one another."""
-    rest = [c for c in puts.columns if c not in (*keys, arrival, time)]
-    row = F.min_by(F.struct(arrival, *rest), F.col(arrival)).alias("_row")
-    return _per_key(puts, keys, gap, time, row).select(*keys, "_row.*")
+    """First put per key in event time; a key counts as known while it is among its stream's ``limit`` newest
+    first puts, however long ago that was."""
+    processor = ordered.FirstWins(keys, limit, puts.columns, arrival, bucket_ms, time)
+    return ordered.run(puts, partition, processor, puts.schema)
 
 
 def stage_latencies(
@@ -56,25 +58,26 @@ def stage_latencies(
 
 
 def join_payloads(
-    metadata: DataFrame, payloads: DataFrame, bound: str,
-    keys: Sequence[str] = ("stream_id", "stage", "buf_key"),
+    metadata: DataFrame, payloads: DataFrame, partition: Sequence[str] = ("stream_id", "stage"), key: str = "buf_key",
+    limit: int = 512, arrival: str = "arrival_seq", time: str = "event_time", delay: str = "1 minute",
+    bucket_ms: int = BUCKET_MS,
 ) -> DataFrame:
-    """Inner join of two watermarked streams on the buffer key, at most ``bound`` apart in time.
+    """Match payloads to the metadata put under the same buffer key, one to one in event time.
 
-    Metadata needs the time column ``metadata_time``, payloads ``payload_time``. Both
-    are expected once per key; put ``first_wins`` in front where they are not.
+    Of two streams with the column ``time``: a payload takes the newest put of its key since the
+    key's previous payload; only the ``limit`` newest waiting puts of a stream are kept. At equal
+    times the arrival number decides, then puts come first. Columns of both: the payload's, and the
+    put's without ``time``, its arrival as ``metadata_seq``. Rows without key never match.
     """
-    near = F.expr(
-        f"payload_time BETWEEN metadata_time - INTERVAL {bound} AND metadata_time + INTERVAL {bound}"
-    )
-    left = metadata.alias("m")
-    right = payloads.alias("p")
-    same = near
-    for key in keys:
-        same = same & (F.col(f"m.{key}") == F.col(f"p.{key}"))
-    joined = left.join(right, same)
-    rest = [F.col(f"p.{c}") for c in payloads.columns if c not in (*metadata.columns, "payload_time")]
-    return joined.select("m.*", *rest)
+    brought = [c for c in metadata.columns if c not in (*partition, key, arrival, time)]
+    own = [c for c in payloads.columns if c not in (*partition, key, arrival, time)]
+    puts = metadata.withColumn("match_side", F.lit(0)).withColumn("metadata_seq", F.col(arrival))
+    both = puts.unionByName(payloads.withColumn("match_side", F.lit(1)), allowMissingColumns=True)
+    both = both.withColumn(time, F.col(time)).withWatermark(time, delay)
+    order = [*partition, key, arrival, time, *own, "metadata_seq", *brought]
+    schema = T.StructType([both.schema[c] for c in order])
+    processor = ordered.OneShotMatch(key, "match_side", ["metadata_seq", *brought], limit, order, arrival, bucket_ms, time, ["match_side"])
+    return ordered.run(both.select(*order, "match_side"), partition, processor, schema)
 
 
 def output_fps(
@@ -100,76 +103,19 @@ def latest_per_tick(
     return picked.select(*partition, F.unix_micros("w.start").alias("tick_us"), "_row.*")
 
 
-class _PerStream(StatefulProcessor):
-    """Keeps one number per stream and sees its new rows in order.
-
-    Rows of one stream in one micro-batch are sorted in memory; limit the batch with
-    the source's maxFilesPerTrigger or maxOffsetsPerTrigger.
-    """
-
-    order: Sequence[str] = ()
-    columns: Sequence[str] = ()
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", T.StructType([T.StructField("n", T.LongType())]))
-
-    def step(self, rows: pd.DataFrame, last: int | None) -> tuple[pd.DataFrame, int | None]:
-        raise NotImplementedError
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(list(self.order), kind="stable")
-        stored = self.state.get() if self.state.exists() else None
-        out, last = self.step(batch, None if stored is None else stored[0])
-        if last is not None:
-            self.state.update((int(last),))
-        yield out[list(self.columns)]
-
-    def close(self) -> None:
-        pass
-
-
-class IntervalSampler(_PerStream):
-    def __init__(self, interval: int, time: str, arrival: str, columns: Sequence[str]):
-        self.interval, self.time = interval, time
-        self.order, self.columns = (time, arrival), columns
-
-    def step(self, rows, last):
-        keep = []
-        for t in rows[self.time].to_numpy():
-            passes = self.interval == 0 or (self.interval > 0 and (last is None or t - last >= self.interval))
-            if passes:
-                last = int(t)
-            keep.append(passes)
-        return rows[keep], last
-
-
-class Sequencer(_PerStream):
-    def __init__(self, arrival: str, columns: Sequence[str]):
-        self.order, self.columns = (arrival,), columns
-
-    def step(self, rows, last):
-        start = 0 if last is None else last + 1
-        numbered = rows.assign(seq=range(start, start + len(rows)))
-        return numbered, start + len(rows) - 1
-
-
-def _stateful(df: DataFrame, partition: Sequence[str], processor: StatefulProcessor, schema) -> DataFrame:
-    return df.groupBy(*partition).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="none"
-    )
-
-
 def interval_sample(
-    rows: DataFrame, interval: int, partition: Sequence[str] = ("stream_id",), time: str = "ts_us",
-    arrival: str = "arrival_seq",
+    rows: DataFrame, interval: int, partition: Sequence[str] = ("stream_id",), value: str = "ts_us",
+    arrival: str = "arrival_seq", time: str = "event_time", bucket_ms: int = BUCKET_MS,
 ) -> DataFrame:
-    """Greedy sampling with the last emitted time as state; micro-batches must be in time order."""
-    return _stateful(rows, partition, IntervalSampler(interval, time, arrival, rows.columns), rows.schema)
+    """Greedy sampling in event time with the last emitted ``value`` as state."""
+    processor = ordered.IntervalSampler(interval, value, rows.columns, arrival, bucket_ms, time)
+    return ordered.run(rows, partition, processor, rows.schema)
 
 
 def publisher_sequence(
-    rows: DataFrame, partition: Sequence[str] = ("stream_id",), arrival: str = "arrival_seq"
+    rows: DataFrame, partition: Sequence[str] = ("stream_id",), arrival: str = "arrival_seq",
+    time: str = "event_time", bucket_ms: int = BUCKET_MS,
 ) -> DataFrame:
-    """Message number per stream with the last number as state."""
+    """Message number per stream, counted in event time."""
     schema = T.StructType([*rows.schema.fields, T.StructField("seq", T.LongType())])
-    return _stateful(rows, partition, Sequencer(arrival, schema.names), schema)
+    return ordered.run(rows, partition, ordered.Sequencer(schema.names, arrival, bucket_ms, time), schema)

@@ -23,15 +23,22 @@ BATCHES = 3
 CLOSING = -1  # stream of the row that moves the watermark past everything else
 
 
-def landings(df: DataFrame, arrival: str, times: dict[str, int] | None = None) -> Iterator[DataFrame]:
+def landings(
+    df: DataFrame, arrival: str, times: dict[str, int] | None = None, late: int | None = None
+) -> Iterator[DataFrame]:
     """``df`` in successive shares of its arrival numbers, then the closing row.
 
-    ``times`` names columns of the closing row and how far they lie ahead.
+    ``times`` names columns of the closing row and how far they lie ahead. With ``late``, every
+    ``late``-th row lands one share later than its number says, and shares are many files in no order.
     """
     bounds = df.agg(F.max(arrival).alias("last"), *[F.max(c).alias(c) for c in times or {}]).first()
     size = bounds["last"] // BATCHES + 1
-    for n in range(BATCHES):
-        yield df.filter((F.col(arrival) >= n * size) & (F.col(arrival) < (n + 1) * size))
+    share = F.call_function("div", F.col(arrival), F.lit(size))
+    if late:
+        share = share + F.when(F.col(arrival) % late == 0, 1).otherwise(0)
+    for n in range(BATCHES + bool(late)):
+        part = df.filter(share == n)
+        yield part.repartition(6, F.hash(arrival)) if late else part
     if times:
         closing = {c: F.lit(bounds[c] + ahead) for c, ahead in times.items()}
         closing["stream_id"] = F.lit(CLOSING)
@@ -57,12 +64,14 @@ def finish(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path).filter(F.col("stream_id") != CLOSING)
 
 
-def staged(df: DataFrame, arrival: str, name: str, transform, times: dict[str, int] | None = None) -> DataFrame:
+def staged(
+    df: DataFrame, arrival: str, name: str, transform, times: dict[str, int] | None = None, late: int | None = None
+) -> DataFrame:
     """Like ``land`` and ``finish``, but each landing is processed before the next one arrives, from
     the same checkpoint: state crosses micro-batches however many files a landing has."""
     spark = df.sparkSession
     landing, path = new_path(spark, "landing"), new_path(spark, name)
-    for part in landings(df, arrival, times):
+    for part in landings(df, arrival, times, late):
         part.write.mode("append").parquet(landing)
         out = transform(spark.readStream.schema(df.schema).parquet(landing))
         sinks.start_table(out, path, f"{path}-state").awaitTermination()
@@ -71,14 +80,28 @@ def staged(df: DataFrame, arrival: str, name: str, transform, times: dict[str, i
 
 DAY_US = 86_400_000_000
 DAY_NS = DAY_US * 1000
+# a row that lands one share late is up to two shares of the month's table behind
+BUDGET, AFTER_BUDGET_NS, DAY_BUCKET = "21 days", 23 * DAY_NS, 86_400_000
+
+
+def with_unknown_times(df: DataFrame, ns: str) -> DataFrame:
+    """Every ninth row lacks its source time ``ts_ns``; ``ingest_ns`` is known for all."""
+    known = F.when(F.col("arrival_seq") % 9 != 4, F.col(ns))
+    return df.withColumns({"ts_ns": known, "ingest_ns": F.col(ns)})
 
 
 @query("stream_first_wins", ARR, sql="""SELECT stream_id, frame, min(arrival_seq) AS arrival_seq,
   arg_min(source, arrival_seq) AS source, arg_min(val, arrival_seq) AS val FROM arr GROUP BY stream_id, frame""")
 def stream_first_wins(spark, sf):
-    puts = V.arr(spark, sf).withColumn("ts_ns", F.col("event_us") * 1000).drop("event_us")
-    stream = S.with_event_time(land(puts, "arrival_seq", {"ts_ns": 2 * DAY_NS}), "ts_ns", "12 hours")
-    return finish(S.first_wins(stream, "12 hours"), "first-wins").select(*KEYS, "arrival_seq", "source", "val")
+    """Puts without known time are placed by their ingestion; a put never wins again while its key is held."""
+    numbered = V.arr(spark, sf).withColumn("ns", (F.col("arrival_seq") + 1) * 1_000_000_000).drop("event_us")
+    puts = with_unknown_times(numbered, "ns").drop("ns")
+
+    def first(stream):
+        return S.first_wins(S.with_event_time(stream, "ts_ns", "60 days", ingest_ns="ingest_ns"), bucket_ms=600_000)
+
+    ahead = {"ts_ns": 90 * DAY_NS, "ingest_ns": 90 * DAY_NS}
+    return staged(puts, "arrival_seq", "first-wins", first, ahead, late=7).select(*KEYS, "arrival_seq", "source", "val")
 
 
 @query("stream_late_drop", ARR, """b AS (SELECT *, arrival_seq // (SELECT max(event_id) // 3 + 1 FROM events) AS batch, event_us - event_us % 3600000000 AS window_us FROM arr),
@@ -98,18 +121,32 @@ def stream_late_drop(spark, sf):
     return staged(puts, "arrival_seq", "late-drop", counts, {"ts_ns": 2 * DAY_NS})
 
 
-@query("stream_payload_join", FRM, PAY, sql="""SELECT f.stream_id, f.frame, f.buf_key, p.n_bytes FROM frm f JOIN pay p ON f.stream_id = p.stream_id AND f.buf_key = p.buf_key""")
+# puts and payloads share buffer keys of eight frames, so a key comes back again and again
+MATCH = """p AS (SELECT stream_id, frame, frame // 8 AS buf_key, arrival_seq, 0 AS side FROM frm WHERE frame % 3 <> 1),
+s AS (SELECT stream_id, NULL AS frame, arrival_seq // 8 AS buf_key, arrival_seq, 1 AS side FROM pay WHERE arrival_seq % 2 = 0),
+b AS (SELECT * FROM p UNION ALL SELECT * FROM s),
+turns AS (SELECT *, coalesce(sum(side) OVER (PARTITION BY stream_id, buf_key ORDER BY arrival_seq, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM b),
+m AS (SELECT *, last_value(frame IGNORE NULLS) OVER (PARTITION BY stream_id, buf_key, turn ORDER BY arrival_seq, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS matched FROM turns)"""
+
+
+@query("stream_payload_join", FRM, PAY, MATCH,
+       sql="SELECT m.stream_id, m.matched AS frame, m.buf_key, y.n_bytes FROM m JOIN pay y USING (stream_id, arrival_seq) WHERE side = 1 AND matched IS NOT NULL")
 def stream_payload_join(spark, sf):
-    frames = V.frm(spark, sf).filter(F.col("buf_key").isNotNull()).select(*KEYS, "buf_key", "unix_ns", "arrival_seq")
-    sizes = V.pay(spark, sf).filter(F.col("buf_key").isNotNull())
-    payloads = sizes.join(V.frm(spark, sf).select("arrival_seq", "unix_ns"), "arrival_seq")
-    left = S.with_event_time(land(frames, "arrival_seq", {"unix_ns": DAY_NS}), "unix_ns", "1 hour", "metadata_time")
-    right = S.with_event_time(
-        land(payloads, "arrival_seq", {"unix_ns": DAY_NS}).select("stream_id", "buf_key", "n_bytes", "unix_ns"),
-        "unix_ns", "1 hour", "payload_time",
-    ).drop("unix_ns")
-    joined = S.join_payloads(left, right, "5 SECONDS", ["stream_id", "buf_key"])
-    return finish(joined, "payload-join").select(*KEYS, "buf_key", "n_bytes")
+    """One-shot matching of two streams in one state, keys repeated, files in no order, rows late."""
+    key = F.call_function("div", F.col("arrival_seq"), F.lit(8)).alias("buf_key")
+    times = V.frm(spark, sf).select("arrival_seq", "unix_ns")
+    puts = V.frm(spark, sf).filter("frame % 3 <> 1").select(*KEYS, key, "arrival_seq", "unix_ns")
+    sent = V.pay(spark, sf).filter("arrival_seq % 2 = 0").select("stream_id", key, "arrival_seq", "n_bytes").join(times, "arrival_seq")
+    landed = puts.withColumn("side", F.lit(0)).unionByName(sent.withColumn("side", F.lit(1)), allowMissingColumns=True)
+
+    def match(stream):
+        timed = stream.withColumn("event_time", F.timestamp_micros(F.expr("unix_ns div 1000"))).drop("unix_ns")
+        left = timed.filter("side <> 1").drop("side", "n_bytes")
+        right = timed.filter("side = 1").drop("side", "frame")
+        return S.join_payloads(left, right, ["stream_id"], delay=BUDGET, bucket_ms=DAY_BUCKET)
+
+    ahead = {"unix_ns": AFTER_BUDGET_NS, "side": -2}
+    return staged(landed, "arrival_seq", "payload-join", match, ahead, late=7).select(*KEYS, "buf_key", "n_bytes")
 
 
 @query("stream_stage_latency", MRK, LAT.replace("WHEN frame % 6 = 0 THEN 5000 ELSE 0", "WHEN false THEN 0 ELSE 0"),
@@ -128,8 +165,10 @@ def _times(spark, sf) -> DataFrame:
        greedy("t", 3_600_000_000), recursive=True,
        sql="SELECT t.stream_id, t.frame, t.ts_us FROM t JOIN g ON t.stream_id = g.stream_id AND t.ts_us = g.ts_us")
 def stream_interval_sample(spark, sf):
-    rows = _times(spark, sf).drop("unix_ns").repartition(12)  # many files per landing
-    sampled = staged(rows, "arrival_seq", "sample", lambda stream: S.interval_sample(stream, 3_600_000_000))
+    def sample(stream):
+        return S.interval_sample(S.with_event_time(stream, "unix_ns", BUDGET), 3_600_000_000, bucket_ms=DAY_BUCKET)
+
+    sampled = staged(_times(spark, sf), "arrival_seq", "sample", sample, {"unix_ns": AFTER_BUDGET_NS}, late=7)
     return sampled.select(*KEYS, "ts_us")
 
 
@@ -177,5 +216,10 @@ def stream_fork_outputs(spark, sf):
 
 @query("stream_publisher_seq", FRM, sql="SELECT stream_id, frame, row_number() OVER (PARTITION BY stream_id ORDER BY arrival_seq) - 1 AS seq FROM frm")
 def stream_publisher_seq(spark, sf):
-    rows = _times(spark, sf).select(*KEYS, "arrival_seq").repartition(12)
-    return staged(rows, "arrival_seq", "seq", S.publisher_sequence).select(*KEYS, "seq")
+    rows = with_unknown_times(_times(spark, sf), "unix_ns").drop("unix_ns", "ts_us")
+
+    def number(stream):
+        return S.publisher_sequence(S.with_event_time(stream, "ts_ns", BUDGET, ingest_ns="ingest_ns"), bucket_ms=DAY_BUCKET)
+
+    ahead = {"ts_ns": AFTER_BUDGET_NS, "ingest_ns": AFTER_BUDGET_NS}
+    return staged(rows, "arrival_seq", "seq", number, ahead, late=7).select(*KEYS, "seq")
