@@ -3,9 +3,9 @@
 Method: a rank queue with a hierarchical bitmap. Each merge rank has a bucket of linked-list
 positions; three levels of 64-bit words tell which buckets are filled, so find-first-set gives
 the lowest rank in constant time. Merging relinks two neighbours; entries whose pair has
-changed since are skipped when they are popped. One merge costs the same however long the
-pre-token is. Pre-tokens do not touch each other, so one queue serves a batch of them, and the
-entries of a rank are merged together. A text is cut before single spaces that follow a
+changed since are skipped when they are popped. Pre-tokens do not touch each other, so one queue
+serves a batch of short ones, and the entries of a rank are merged together. A long pre-token has
+the queue for itself: its buckets are heaps, and one merge costs the logarithm of a bucket. A text is cut before single spaces that follow a
 non-space, where no match can cross, so that frequent words come from a bounded cache.
 
 Defined results: NULL counts as empty; an empty text has no ids; special strings are ordinary
@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import WordCache, text_of, vocabulary_path, windows, worker_state
 
+LONG = 512  # bytes from which a pre-token is merged by itself
+
 
 class RankQueue:
     """Buckets of positions per rank under a three-level bitmap."""
@@ -50,14 +53,33 @@ class RankQueue:
         for rank, start, stop in zip(ranks[np.r_[0, cuts]].tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(ranks)]):
             self.push(rank, positions[start:stop])
 
-    def pop(self) -> tuple[int, list]:
-        """The lowest filled rank and all its entries; call only while ``top`` is not zero."""
+    def lowest(self) -> int:
+        """The lowest filled rank, found by the first set bit of each level."""
         block = (self.top & -self.top).bit_length() - 1
         bits = self.mid[block]
         word = (block << 6) | ((bits & -bits).bit_length() - 1)
         bits = self.low[word]
-        rank = (word << 6) | ((bits & -bits).bit_length() - 1)
-        self.low[word] &= bits - 1
+        return (word << 6) | ((bits & -bits).bit_length() - 1)
+
+    def place(self, rank: int, position: int) -> None:
+        """One position into a bucket that is kept as a heap."""
+        if self.buckets[rank]:
+            heappush(self.buckets[rank], position)
+        else:
+            self.push(rank, position)
+
+    def take(self) -> tuple[int, int]:
+        """The leftmost position of the lowest rank, whose bucket is a heap."""
+        rank = self.lowest()
+        if len(self.buckets[rank]) > 1:
+            return rank, heappop(self.buckets[rank])
+        return rank, self.pop()[1][0]
+
+    def pop(self) -> tuple[int, list]:
+        """The lowest filled rank and all its entries; call only while ``top`` is not zero."""
+        rank = self.lowest()
+        word, block = rank >> 6, rank >> 12
+        self.low[word] &= ~(1 << (rank & 63))
         if not self.low[word]:
             self.mid[block] &= ~(1 << (word & 63))
             if not self.mid[block]:
@@ -107,6 +129,9 @@ class ByteBpe:
 
     def merge(self, parts: list[bytes]) -> list[bytes]:
         """Packed ids of pre-tokens."""
+        if any(len(p) > LONG for p in parts):
+            short = iter(self.merge([p for p in parts if len(p) <= LONG]))
+            return [self.merge_long(p) if len(p) > LONG else next(short) for p in parts]
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         n = int(lengths.sum())
         if not n:
@@ -182,6 +207,37 @@ class ByteBpe:
         packed, stops = ids[alive].astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
         return [packed[a:b] for a, b in zip([0, *stops], stops)]
 
+    def merge_long(self, data: bytes) -> bytes:
+        """Packed ids of one pre-token, merge by merge, leftmost first within a rank."""
+        n, queue, pairs = len(data), self.queue, self.pairs
+        ids = self.single[np.frombuffer(data, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        current = [-1] * n  # rank of the pair that starts here
+        for i in range(n - 1):  # ascending positions are a heap
+            found = pairs.get(ids[i] << 32 | ids[i + 1])
+            if found is not None:
+                current[i] = found
+                queue.push(found, i)
+        while queue.top:
+            rank, i = queue.take()
+            if current[i] != rank:
+                continue
+            gone = after[i]
+            right, left = after[gone], before[i]
+            ids[i], after[i], ids[gone], current[gone], current[i] = rank, right, -1, -1, -1
+            if right < n:
+                before[right] = i
+                found = pairs.get(rank << 32 | ids[right])
+                if found is not None:
+                    current[i] = found
+                    queue.place(found, i)
+            if left >= 0:
+                found = pairs.get(ids[left] << 32 | rank)
+                current[left] = -1 if found is None else found
+                if found is not None:
+                    queue.place(found, left)
+        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Packed ids of chunks that are not in the cache."""
         self.parts.trim()

@@ -1,6 +1,7 @@
 """Helpers shared by the operators: session limits, vocabulary files, worker state, shared files."""
 
 import os
+import pickle
 import re
 import sys
 import types
@@ -10,6 +11,7 @@ from itertools import islice
 import pyarrow as pa
 import pyspark.cloudpickle as cloudpickle
 from pyarrow import fs
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import sightlake
@@ -51,6 +53,15 @@ def worker_state(key, make: Callable):
     return found[key]
 
 
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcast an object of this package with its class, for workers that do not have the package."""
+    return tuned(spark).sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(shared: Broadcast):
+    return pickle.loads(shared.value)
+
+
 class WordCache(dict):
     """Bounded memo for short keys: the older half goes when full, long keys never stay."""
 

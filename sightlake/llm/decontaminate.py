@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import plain_name, text_of
+from .common import plain_name, share, shared_value, text_of
 
 Q = 8  # a power of two
 WINDOW, STRIDE, MIN_CHARS = 128, 64, 24
@@ -316,14 +316,13 @@ def with_matches(
     item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``docs`` with an array of the benchmark items found in each text."""
-    context = docs.sparkSession.sparkContext
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
     names = ("item_id", "edits", "start", "stop")
 
     def search(shared):
         @F.arrow_udf(MATCHES)
         def matches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            index = shared.value
+            index = shared_value(shared)
             for batch in batches:
                 found, held, size = [], [], 0
                 for raw in batch.to_pylist():
@@ -341,7 +340,7 @@ def with_matches(
     columns, result = [], docs
     for block in benchmark_blocks(benchmark, item_id, item_text, block_chars):
         name = plain_name(result, "_matches")
-        result = result.withColumn(name, search(context.broadcast(build_index(block, rate))))
+        result = result.withColumn(name, search(share(docs.sparkSession, build_index(block, rate))))
         columns.append(name)
     empty = F.array().cast(MATCHES)
     joined = F.array_sort(F.concat(*[F.col(c) for c in columns])) if columns else empty

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sightlake.session import materialize
 
-from .common import WordCache, crc_of_id, plain_name, text_of, windows
+from .common import WordCache, crc_of_id, plain_name, share, shared_value, text_of, windows
 
 ORDER = 5
 SAMPLE_ROWS = 1000
@@ -298,11 +298,11 @@ def _calibrate(models: Models, rows: DataFrame) -> None:
 
 def with_language(df: DataFrame, models: Models, text: str = "text", out: str = "language") -> DataFrame:
     """``df`` with a struct: lang, score (0 to 1), cross_entropy (nats per character), rejected."""
-    shared = df.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
+    shared = share(df.sparkSession, models)  # bounded by the sample
 
     @F.arrow_udf("lang string, score double, cross_entropy double, rejected boolean")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
+        model = shared_value(shared)
         scorer = Scorer(model)
         for texts in batches:
             langs, scores, entropies, rejected = [], [], [], []

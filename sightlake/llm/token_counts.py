@@ -3,7 +3,10 @@
 Method: rank-synchronous merging. A batch of pre-tokens is one flat symbol array with row
 bounds; in every round each row applies its lowest-rank pair, all rows at once, and rows
 without a pair leave. What survives is counted: a known symbol is one token, an unknown
-character as many tokens as it has UTF-8 bytes (byte fallback).
+character as many tokens as it has UTF-8 bytes (byte fallback). A few symbols can merge further before the
+rank that made them; their occurrences in a row are applied one a round. Rows of over ``LONG``
+symbols that hold many such occurrences would need as many rounds, so long rows go through a heap of
+(rank, position) instead, merge by merge, with the same result.
 
 Rows are independent because no piece has a space mark after another character (checked), so
 a text may be cut before every space that follows a non-space.
@@ -14,6 +17,7 @@ ordinary text; rows, repeated ones too, are counted one by one; columns are only
 
 import re
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,7 @@ from .common import WordCache, plain_name, text_of, vocabulary_path, windows, wo
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
+LONG = 512  # symbols from which a row is merged by itself
 
 
 def merge_table(pieces: list) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +82,7 @@ class PieceCounter:
         alone = "\n" not in self.symbol
         self.cut = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if alone else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.cache = WordCache()
+        self.pairs = dict(zip(self.keys.tolist(), self.results.tolist()))
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank (= symbol) of the joined pair, NONE if there is none."""
@@ -131,6 +137,36 @@ class PieceCounter:
             rank[redo] = np.where(joined, self.lookup(sym[redo], sym[after]), NONE)
         return total
 
+    def count_long(self, row: str) -> int:
+        """Tokens of one long row, by a heap of its pairs."""
+        n, pairs = len(row), self.pairs
+        sym = [self.symbol.get(c, -1) for c in row]
+        cost = [len(c.encode()) if s < 0 else self.extra_cost.get(c, 1) for c, s in zip(row, sym)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        current, heap = [-1] * n, []
+
+        def look(i: int) -> None:
+            j = after[i]
+            found = pairs.get(sym[i] * self.n + sym[j]) if j < n and sym[i] >= 0 and sym[j] >= 0 else None
+            current[i] = -1 if found is None else found
+            if found is not None:
+                heappush(heap, (found, i))
+
+        for i in range(n):
+            look(i)
+        while heap:
+            rank, i = heappop(heap)
+            if current[i] != rank:
+                continue
+            gone = after[i]
+            sym[i], cost[i], cost[gone], current[gone], after[i] = rank, 1, 0, -1, after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            look(i)
+            if before[i] >= 0:
+                look(before[i])
+        return sum(cost)
+
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of whole texts; pre-tokens seen before come from the cache."""
         out, held, size = [0] * len(texts), [], 0
@@ -151,6 +187,8 @@ class PieceCounter:
         new = list(set().union(*(rows for _, rows in held)).difference(cache))
         passing = {}
         if new:
+            passing.update((row, self.count_long(row)) for row in new if len(row) > LONG)
+            new = [row for row in new if len(row) <= LONG]
             for row, n in zip(new, self.count_rows(new).tolist()):
                 (cache if len(row) <= cache.longest else passing)[row] = n
         for i, rows in held:
