@@ -12,6 +12,8 @@ from ..functions.geometry import model_input_size
 # fixed values: text that identifies a codec family, and the key patterns of checkpoints
 H265_MARKS = ("h.265", "h265", "hevc")
 H264_MARKS = ("h.264", "h264", "avc")
+VISUAL_PREFIX = "clip_model.visual.transformer.resblocks."
+TEXT_PREFIX = "clip_model.transformer.resblocks."
 VISUAL_BLOCK = r"^clip_model\.visual\.transformer\.resblocks\.([0-9]+)\."
 TEXT_BLOCK = r"^clip_model\.transformer\.resblocks\.([0-9]+)\."
 # checkpoint tensors whose shape defines the model
@@ -21,6 +23,7 @@ VISUAL_PROJECTION = "clip_model.visual.proj"
 TEXT_POSITIONS = "clip_model.positional_embedding"
 TEXT_TOKENS = "clip_model.token_embedding.weight"
 ATTENTION_HEAD_WIDTH = 64
+WORD_BITS = 62  # block numbers in one bit set
 
 
 def scheme(raw: str = "raw") -> Column:
@@ -138,25 +141,31 @@ def checkpoint_spec(checkpoint: DataFrame) -> DataFrame:
     """Model dimensions per checkpoint, from key names and tensor shapes (dim0, dim1, last dim)."""
     last = F.col("dim_last") if "dim_last" in checkpoint.columns else F.col("dim1")
 
-    def block(pattern: str) -> Column:
-        # a set is bounded by the model's depth and, unlike two distinct counts, multiplies no rows
-        number = F.regexp_extract("key", pattern, 1)
-        return F.size(F.collect_set(F.when(number != "", number.cast("int")))).cast("bigint")
+    def block(prefix: str, pattern: str) -> Column:
+        number = F.regexp_extract("key", pattern, 1)  # only of keys with the prefix
+        return F.when(F.col("key").startswith(prefix), F.when(number != "", number.try_cast("bigint")))
 
     def dim(key: str, value: Column) -> Column:
         return F.max(F.when(F.col("key") == key, value))
 
-    spec = checkpoint.groupBy("ckpt").agg(
-        F.count("*").alias("state_dict_keys"),
-        block(VISUAL_BLOCK).alias("visual_layers"),
-        block(TEXT_BLOCK).alias("transformer_layers"),
-        dim(VISUAL_POSITIONS, F.col("dim0")).alias("_positions"),
-        dim(VISUAL_CONV, last).alias("patch_size"),
-        dim(VISUAL_CONV, F.col("dim0")).alias("visual_width"),
-        dim(VISUAL_PROJECTION, F.col("dim1")).alias("embedding_dim"),
-        dim(TEXT_POSITIONS, F.col("dim0")).alias("context_length"),
-        dim(TEXT_TOKENS, F.col("dim0")).alias("vocab_size"),
-        dim(TEXT_TOKENS, F.col("dim1")).alias("transformer_width"),
+    # block numbers are bits of a word; words of a checkpoint are few, so all of it is hash aggregation
+    numbered = checkpoint.withColumns({"_v": block(VISUAL_PREFIX, VISUAL_BLOCK), "_t": block(TEXT_PREFIX, TEXT_BLOCK)})
+    bit = lambda n: F.expr(f"shiftleft(1L, CAST({n} % {WORD_BITS} AS INT))")
+    word = F.call_function("div", F.coalesce("_v", "_t"), F.lit(WORD_BITS))
+    dims = {
+        "_positions": dim(VISUAL_POSITIONS, F.col("dim0")), "patch_size": dim(VISUAL_CONV, last),
+        "visual_width": dim(VISUAL_CONV, F.col("dim0")), "embedding_dim": dim(VISUAL_PROJECTION, F.col("dim1")),
+        "context_length": dim(TEXT_POSITIONS, F.col("dim0")), "vocab_size": dim(TEXT_TOKENS, F.col("dim0")),
+        "transformer_width": dim(TEXT_TOKENS, F.col("dim1")),
+    }
+    words = numbered.groupBy("ckpt", word.alias("_word")).agg(
+        F.count("*").alias("_keys"), F.bit_or(bit("_v")).alias("_v"), F.bit_or(bit("_t")).alias("_t"),
+        *[column.alias(name) for name, column in dims.items()],
+    )
+    layers = lambda c: F.coalesce(F.sum(F.bit_count(c)), F.lit(0)).cast("bigint")
+    spec = words.groupBy("ckpt").agg(
+        F.sum("_keys").alias("state_dict_keys"), layers("_v").alias("visual_layers"), layers("_t").alias("transformer_layers"),
+        *[F.max(name).alias(name) for name in dims],
     )
     grid = F.rint(F.sqrt((F.col("_positions") - 1).cast("double"))).cast("int")
     per_head = F.lit(ATTENTION_HEAD_WIDTH)

@@ -25,7 +25,7 @@ def detect_records(
         hot = find_hot_keys(detections, FRAME_KEYS, HOT_OBJECTS)
     kept = confident(detections, threshold)
     if cluster:
-        kept = suppress(kept, hot=hot)
+        kept = suppress(kept)  # counts per class, against its own limit
     return detect_frames(frames, number_persons(kept, hot=hot), hot=hot)
 
 

@@ -141,3 +141,29 @@ def test_oversized_frame_is_one_record(spark, rows):
     assert sliced.count() == 8
     assert sliced.filter("frame = 2").selectExpr("object_count", "size(objects)").first()[:] == (120, 120)
     assert sliced.filter("frame = 7").selectExpr("object_count", "size(objects)").first()[:] == (0, 0)
+
+
+def test_suppression_of_one_huge_group(spark):
+    """Dense piles, chains of overlaps and sizes from tiny to huge, against one greedy pass."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    left = np.r_[r.uniform(0, 500, 1200), r.normal(50, 2, 500), np.arange(120) * 9.0]
+    top = np.r_[r.uniform(0, 500, 1200), r.normal(50, 2, 500), np.full(120, 2000.0)]
+    size = np.r_[np.exp(r.uniform(0, 5, 1200)), r.uniform(20, 30, 500), np.full(120, 20.0)]
+    score = np.round(np.r_[r.uniform(0, 1, 1700), np.arange(120) / 200], 2)
+    n = len(left)
+    data = [(0, 1, 0, i, *map(float, (left[i], top[i], size[i], size[i] * 1.1, score[i]))) for i in range(n)]
+    df = spark.createDataFrame(data, "stream_id int, frame long, class_id int, det_order int, left double, top double, width double, height double, confidence double")
+    order = np.lexsort((np.arange(n), -score))
+    x, y, w, h = left[order], top[order], size[order], size[order] * 1.1
+    for iou in (0.45, 0.0):
+        kept: list[int] = []
+        for i in range(n):
+            k = np.array(kept, int)
+            a = np.minimum(x[i] + w[i], x[k] + w[k]) - np.maximum(x[i], x[k])
+            b = np.minimum(y[i] + h[i], y[k] + h[k]) - np.maximum(y[i], y[k])
+            if not ((a > 0) & (b > 0) & (a * b / (w[i] * h[i] + w[k] * h[k] - a * b) > iou)).any():
+                kept.append(i)
+        got = sorted(r.det_order for r in S.suppress(df, iou).select("det_order").collect())
+        assert got == sorted(order[kept].tolist())
