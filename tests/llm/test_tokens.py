@@ -60,6 +60,23 @@ def test_long_pretokens(counter, coder):
     assert [np.frombuffer(p, "<u4").tolist() for p in coder.encode(texts)] == [BYTES.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("pair", ["nd", "th", "a", "=-"])
+def test_time_grows_with_length(counter, coder, pair):
+    """Pairs whose merges are applied one by one, at two sizes: near-linear, and equal to the libraries."""
+    import time
+
+    took = []
+    for n in (10_000, 80_000):
+        text = pair * (n // len(pair))
+        started = time.process_time()
+        packed, total = coder.encode([text])[0], counter.count([text])[0]
+        took.append(time.process_time() - started)
+        assert total == len(PIECES.encode(text))
+        if n <= 10_000:
+            assert np.frombuffer(packed, "<u4").tolist() == BYTES.encode_ordinary(text)
+    assert took[1] < 30 * took[0] + 1
+
+
 def test_windows_keep_the_text():
     text = "ab  cd \n ef gh " * 50
     parts = list(windows(text, 40))
