@@ -47,11 +47,13 @@ def landings(
         ])
 
 
-def land(df: DataFrame, arrival: str, times: dict[str, int] | None = None) -> DataFrame:
-    """Write ``df`` as successive files in arrival order and read it as a stream."""
+def land(
+    df: DataFrame, arrival: str, times: dict[str, int] | None = None, late: int | None = None
+) -> DataFrame:
+    """Write ``df`` as successive files in arrival order and read it as a stream, a few files a batch."""
     spark = df.sparkSession
     path = new_path(spark, "landing")
-    for part in landings(df, arrival, times):
+    for part in landings(df, arrival, times, late):
         part.write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
 
@@ -64,14 +66,12 @@ def finish(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path).filter(F.col("stream_id") != CLOSING)
 
 
-def staged(
-    df: DataFrame, arrival: str, name: str, transform, times: dict[str, int] | None = None, late: int | None = None
-) -> DataFrame:
+def staged(df: DataFrame, arrival: str, name: str, transform, times: dict[str, int] | None = None) -> DataFrame:
     """Like ``land`` and ``finish``, but each landing is processed before the next one arrives, from
     the same checkpoint: state crosses micro-batches however many files a landing has."""
     spark = df.sparkSession
     landing, path = new_path(spark, "landing"), new_path(spark, name)
-    for part in landings(df, arrival, times, late):
+    for part in landings(df, arrival, times):
         part.write.mode("append").parquet(landing)
         out = transform(spark.readStream.schema(df.schema).parquet(landing))
         sinks.start_table(out, path, f"{path}-state").awaitTermination()
@@ -101,7 +101,7 @@ def stream_first_wins(spark, sf):
         return S.first_wins(S.with_event_time(stream, "ts_ns", "60 days", ingest_ns="ingest_ns"), bucket_ms=600_000)
 
     ahead = {"ts_ns": 90 * DAY_NS, "ingest_ns": 90 * DAY_NS}
-    return staged(puts, "arrival_seq", "first-wins", first, ahead, late=7).select(*KEYS, "arrival_seq", "source", "val")
+    return finish(first(land(puts, "arrival_seq", ahead, late=7)), "first-wins").select(*KEYS, "arrival_seq", "source", "val")
 
 
 @query("stream_late_drop", ARR, """b AS (SELECT *, arrival_seq // (SELECT max(event_id) // 3 + 1 FROM events) AS batch, event_us - event_us % 3600000000 AS window_us FROM arr),
@@ -146,7 +146,7 @@ def stream_payload_join(spark, sf):
         return S.join_payloads(left, right, ["stream_id"], delay=BUDGET, bucket_ms=DAY_BUCKET)
 
     ahead = {"unix_ns": AFTER_BUDGET_NS, "side": -2}
-    return staged(landed, "arrival_seq", "payload-join", match, ahead, late=7).select(*KEYS, "buf_key", "n_bytes")
+    return finish(match(land(landed, "arrival_seq", ahead, late=7)), "payload-join").select(*KEYS, "buf_key", "n_bytes")
 
 
 @query("stream_stage_latency", MRK, LAT.replace("WHEN frame % 6 = 0 THEN 5000 ELSE 0", "WHEN false THEN 0 ELSE 0"),
@@ -168,7 +168,7 @@ def stream_interval_sample(spark, sf):
     def sample(stream):
         return S.interval_sample(S.with_event_time(stream, "unix_ns", BUDGET), 3_600_000_000, bucket_ms=DAY_BUCKET)
 
-    sampled = staged(_times(spark, sf), "arrival_seq", "sample", sample, {"unix_ns": AFTER_BUDGET_NS}, late=7)
+    sampled = finish(sample(land(_times(spark, sf), "arrival_seq", {"unix_ns": AFTER_BUDGET_NS}, late=7)), "sample")
     return sampled.select(*KEYS, "ts_us")
 
 
@@ -222,4 +222,4 @@ def stream_publisher_seq(spark, sf):
         return S.publisher_sequence(S.with_event_time(stream, "ts_ns", BUDGET, ingest_ns="ingest_ns"), bucket_ms=DAY_BUCKET)
 
     ahead = {"ts_ns": AFTER_BUDGET_NS, "ingest_ns": AFTER_BUDGET_NS}
-    return staged(rows, "arrival_seq", "seq", number, ahead, late=7).select(*KEYS, "seq")
+    return finish(number(land(rows, "arrival_seq", ahead, late=7)), "seq").select(*KEYS, "seq")
