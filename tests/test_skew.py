@@ -148,10 +148,10 @@ def test_suppression_of_one_huge_group(spark):
     import numpy as np
 
     r = np.random.default_rng(4)
-    left = np.r_[r.uniform(0, 500, 1200), r.normal(50, 2, 500), np.arange(120) * 9.0]
-    top = np.r_[r.uniform(0, 500, 1200), r.normal(50, 2, 500), np.full(120, 2000.0)]
-    size = np.r_[np.exp(r.uniform(0, 5, 1200)), r.uniform(20, 30, 500), np.full(120, 20.0)]
-    score = np.round(np.r_[r.uniform(0, 1, 1700), np.arange(120) / 200], 2)
+    left = np.r_[r.uniform(0, 500, 1400), r.normal(50, 2, 600), np.arange(120) * 9.0]
+    top = np.r_[r.uniform(0, 500, 1400), r.normal(50, 2, 600), np.full(120, 2000.0)]
+    size = np.r_[np.exp(r.uniform(0, 5, 1400)), r.uniform(20, 30, 600), np.full(120, 20.0)]
+    score = np.round(np.r_[r.uniform(0, 1, 2000), np.arange(120) / 200], 2)
     n = len(left)
     data = [(0, 1, 0, i, *map(float, (left[i], top[i], size[i], size[i] * 1.1, score[i]))) for i in range(n)]
     df = spark.createDataFrame(data, "stream_id int, frame long, class_id int, det_order int, left double, top double, width double, height double, confidence double")
