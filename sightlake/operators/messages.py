@@ -82,7 +82,7 @@ def casualty_messages(
     """One message per assessed object; all of a frame share stamp and data_source_id.
 
     ``records`` are nested frame records, or flat objects with their frame's columns."""
-    kept = [c for c in ("stream_id", "frame") if c in records.columns]
+    kept = [c for c in ("stream_id", "frame", "arrival_seq") if c in records.columns]
     each = _stamped(records, ts)
     if "objects" in records.columns:
         each = each.withColumn("o", F.explode("objects")).drop("objects")

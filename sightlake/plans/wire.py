@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..constants import DEFAULT_FORMAT
+from ..constants import DEFAULT_FORMAT, TOPICS
 from ..operators.keyed import join_payloads, latest_metadata
-from ..operators.messages import Publisher, image_messages, publisher_sequence, route
+from ..operators.messages import (
+    Publisher, casualty_messages, image_messages, publisher_sequence, route, target_box_arrays,
+)
+from ..operators.sampling import interval_sample
 from ..sources.packets import parse_metadata
 
 MISSING = "metadata=missing"
@@ -25,7 +28,10 @@ def build_packets(
     have n_bytes.
     """
     partition = list(keys[:-1])
-    body = [c for c in records.columns if c not in (*keys, arrival)]
+    # the sender's format and bytes replace any of the record's own
+    body = [c for c in records.columns if c not in (*keys, arrival, "format", "bytes")]
+    if not body:
+        raise ValueError("records need at least one column besides keys and arrival")
     puts = records.select(*keys, arrival, F.to_json(F.struct(*body)).alias("_record"))
     matched = join_payloads(puts, payloads, keys, arrival, require_metadata).drop("metadata_seq")
     text = F.col("_record")
@@ -42,7 +48,43 @@ def publish_packets(
     packets: DataFrame, publisher: Publisher = Publisher(), ingest: str | None = None, arrival: str = "arrival_seq",
     partition: Sequence[str] = ("stream_id",),
 ) -> DataFrame:
-    """Image messages of packets (metadata, payload): routed, stamped once, numbered, with bytes."""
-    parsed = route(parse_metadata(packets, ingest))
-    numbered = publisher_sequence(parsed, [*partition, "topic"], arrival)
+    """Image messages of the image packets (metadata, payload): stamped once, numbered, with bytes."""
+    numbered = publisher_sequence(received(packets, "image", ingest), [*partition, "topic"], arrival)
     return image_messages(numbered, "message_ts_ns", F.col("payload"), publisher)
+
+
+def received(packets: DataFrame, topic: str, ingest: str | None = None) -> DataFrame:
+    """Parsed packets of one topic. ``ingest`` (nanoseconds) stamps those without a time of their own."""
+    return route(parse_metadata(packets, ingest)).filter(F.col("topic") == topic)
+
+
+def publish_targets(
+    packets: DataFrame, publisher: Publisher = Publisher(), ingest: str | None = None, arrival: str = "arrival_seq",
+    partition: Sequence[str] = ("stream_id",),
+) -> DataFrame:
+    """One box array per detect packet, also without boxes: own number, stamp shared with its image."""
+    numbered = publisher_sequence(received(packets, "target_detections", ingest), partition, arrival)
+    return target_box_arrays(numbered, "message_ts_ns", F.col("payload"), publisher)
+
+
+def publish_casualties(packets: DataFrame, publisher: Publisher = Publisher(), ingest: str | None = None) -> DataFrame:
+    """One casualty message per object of an assess packet; each carries the packet's image and stamp."""
+    return casualty_messages(received(packets, "casualty", ingest), "message_ts_ns", F.col("payload"), publisher)
+
+
+def publish_log(
+    packets: DataFrame, interval: int, time: str, arrival: str = "arrival_seq", partition: Sequence[str] = ("stream_id",),
+) -> DataFrame:
+    """What publishers log: topic, messages, bytes and the packet's own text, at most every ``interval``.
+
+    ``time`` is when a packet came in, in the unit of ``interval``. Only narrow rows are sampled:
+    payloads and objects give their sizes before any shuffle."""
+    per_object = F.col("topic") == TOPICS["ASSESS"]
+    sent = route(parse_metadata(packets)).select(
+        *partition, arrival, time, "topic", "log_text",
+        F.when(per_object, F.size("objects")).otherwise(1).cast("bigint").alias("messages"),
+        F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint").alias("n_bytes"),
+    )
+    logged = interval_sample(sent, interval, [*partition, "topic"], time, arrival)
+    counts = F.format_string("published topic=%s messages=%d bytes=%d", "topic", "messages", "n_bytes")
+    return logged.withColumn("text", F.concat(counts, F.lit("\n"), "log_text"))

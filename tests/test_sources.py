@@ -107,3 +107,25 @@ def test_checkpoints(spark, rows):
     assert ("bad", "heads.trauma_head.bias") in missing and ("good", "heads.trauma_head.bias") not in missing
     assert len(missing) == 14 + 15
     assert rows(C.head_shapes(df)) == [("bad", "trauma_head", 2, 768), ("good", "trauma_head", 2, 768)]
+
+
+def test_publishers_by_stage(spark, rows):
+    """Each topic takes its own packets; stamps, numbers and bytes are the packet's."""
+    from sightlake.plans import wire as W
+
+    box = {"object_id": 3, "bbox": [1, 2, 4, 6], "predictions": {"a": {"class_id": 1, "confidence": 0.5}}}
+    heads = [{"stage": "IMAGE", "timestamp_ns": 5}, {"stage": "DETECT", "objects": [box]}, {"stage": "DETECT", "timestamp_ns": 7},
+             {"stage": "ASSESS", "timestamp_ns": 9, "objects": [box, {}], "log_text": "two"}, {"stage": "ASSESS"}, {"stage": "X"}]
+    df = spark.createDataFrame([(0, i, i * 10, json.dumps(h), bytes(i)) for i, h in enumerate(heads)],
+                               "stream_id int, arrival_seq long, received long, metadata string, payload binary")
+    assert rows(W.publish_packets(df).select("arrival_seq", "seq")) == [(0, 0)]
+    sent = W.publish_targets(df, ingest="received").select("arrival_seq", "seq", "stamp.nanosec", F.octet_length("source_img.data"), F.size("uav_target_boxes"))
+    assert rows(sent) == [(1, 0, 10, 1, 1), (2, 1, 7, 2, 0)]
+    people = W.publish_casualties(df, ingest="received").select("object_id", "stamp.nanosec", F.octet_length("image.data"), "bbox_width", "annotations")
+    assert [r[:4] for r in rows(people)] == [(3, 9, 3, 4.0), (None, 9, 3, 0.0)]
+    assert sorted(rows(people)[0][4]) == [("clip_rgb_a", [1.0, 0.5])]
+    log = W.publish_log(df, 15, "received").select("arrival_seq", "text")
+    assert rows(log) == [(0, "published topic=image messages=1 bytes=0\nmetadata=missing"),
+                         (1, "published topic=target_detections messages=1 bytes=1\nmetadata=missing"),
+                         (3, "published topic=casualty messages=2 bytes=3\ntwo")]
+    assert W.publish_log(df, -1, "received").count() == 0 and W.publish_log(df, 0, "received").count() == 5

@@ -8,13 +8,16 @@ from sightlake.constants import DETECTOR_CLASSES, HEADS
 from sightlake.operators import catalog as C
 from sightlake.operators.records import frame_metadata as metadata_record, image_records
 from sightlake.plans import detect as P
-from sightlake.plans.wire import build_packets, publish_packets
+from sightlake.plans.assess import assess_records
+from sightlake.plans.wire import build_packets, publish_casualties, publish_log, publish_packets, publish_targets
 from sightlake.session import new_path
 from sightlake.sources import lookups as L, packets as K
 
 from . import views as V
-from .frames import NUM, TSR, detect_records
+from .frames import LOGTXT, NUM, OBJ, STAMP, TSR, TXT, detect_records
 from .registry import query
+from .state import greedy
+from .tensors import ALL
 from .views import CKPT, DET, FRM, PAY, REG, SRC
 
 _classes = ", ".join(f"({i}, '{name}')" for i, name in enumerate(DETECTOR_CLASSES))
@@ -227,14 +230,92 @@ def packet_build(spark, sf):
     )
 
 
+def _sent(spark, sf, packets):
+    """Packets with the event's text as image, written to files and read back; the record names stream and arrival."""
+    props = V.table(spark, sf, "events").select(F.col("event_id").alias("arrival_seq"), F.col("props").cast("binary").alias("payload"))
+    path = new_path(spark, "packets")
+    K.write_packets(packets.join(props, "arrival_seq"), path, roll_bytes=1_000_000)
+    own = F.from_json("metadata", "stream_id int, arrival_seq bigint")
+    return K.read_packets(spark, path).select("metadata", "payload", own["stream_id"].alias("stream_id"), own["arrival_seq"].alias("arrival_seq"))
+
+
+def _detect_packets(spark, sf):
+    record = metadata_record(detect_records(spark, sf), "DETECT")
+    return record.select("arrival_seq", F.to_json(F.struct("*")).alias("metadata"))
+
+
+def _assess_packets(spark, sf):
+    hot = V.hot_frames(spark, sf)
+    records = assess_records(V.frm(spark, sf), V.det(spark, sf, hot), V.logit(spark, sf), hot=hot)
+    record = metadata_record(records, "ASSESS")
+    return record.select("arrival_seq", F.to_json(F.struct("*")).alias("metadata"))
+
+
+# unknown source times take the time of receipt
+RECEIVED = """sent AS (SELECT t.* REPLACE (COALESCE(ts_ns, arrival_seq * 1000000) AS ts_ns), strlen(props) AS data_bytes FROM tsr t JOIN events ON event_id = t.arrival_seq)"""
+
+
 @query("publish_packets", FRM, PAY, TSR, BUILT, sql="""SELECT b.stream_id, b.arrival_seq, b.frame, row_number() OVER (PARTITION BY b.stream_id ORDER BY b.arrival_seq) - 1 AS seq,
   (ts_ns - ts_ns % 1000000000) // 1000000000 AS sec, 'jpeg' AS format, strlen(props) AS data_bytes
   FROM built b JOIN events ON event_id = b.arrival_seq LEFT JOIN tsr t ON t.stream_id = b.stream_id AND t.frame = b.frame""")
 def publish_packets_(spark, sf):
     """Packets read back from files, parsed, routed, numbered and published with their bytes."""
-    props = V.table(spark, sf, "events").select(F.col("event_id").alias("arrival_seq"), F.col("props").cast("binary").alias("payload"))
-    packets = _built(spark, sf).join(props, "arrival_seq")
-    sent = publish_packets(packets)
+    ids = F.to_json(F.struct("stream_id", "arrival_seq"))
+    named = F.concat(F.expr("left(_ids, length(_ids) - 1)"), F.lit(","), F.expr("substring(metadata, 2)"))
+    packets = _built(spark, sf).withColumn("_ids", ids).select("arrival_seq", named.alias("metadata"))
+    sent = publish_packets(_sent(spark, sf, packets))
     return sent.select(
         "stream_id", "arrival_seq", "frame", "seq", "stamp.sec", "format", F.octet_length("data").cast("bigint").alias("data_bytes")
     )
+
+
+@query("publish_targets", FRM, DET, NUM, OBJ, TSR, RECEIVED, """nr AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY arrival_seq) - 1 AS seq FROM sent)""",
+       sql=f"""SELECT t.stream_id, t.arrival_seq, seq, {STAMP}, data_bytes, object_id AS box_index, x + w / 2 AS center_x, y + ht / 2 AS center_y, w AS size_x, ht AS size_y,
+  confidence, CASE WHEN object_id IS NOT NULL THEN CAST(t.frame % 2147483647 AS BIGINT) END AS source_id, CASE WHEN object_id IS NOT NULL THEN 'person' END AS class_name
+  FROM nr t LEFT JOIN obj USING (stream_id, frame)""")
+def publish_targets_(spark, sf):
+    """Detect packets read back from files, as box arrays with number, stamp, image bytes and boxes."""
+    packets = _sent(spark, sf, _detect_packets(spark, sf)).withColumn("received_ns", F.col("arrival_seq") * 1_000_000)
+    boxes = publish_targets(packets, ingest="received_ns").select("*", F.posexplode_outer("uav_target_boxes").alias("box_index", "b"))
+    return boxes.select(
+        "stream_id", "arrival_seq", "seq", "stamp.sec", "stamp.nanosec", F.octet_length("source_img.data").cast("bigint").alias("data_bytes"),
+        "box_index", "b.center_x", "b.center_y", "b.size_x", "b.size_y", F.col("b.detection_confidence").alias("confidence"),
+        F.col("b.data_source_id").cast("bigint").alias("source_id"), F.col("b.detection_class").alias("class_name"),
+    )
+
+
+@query("publish_casualties", *ALL, TSR, RECEIVED, sql=f"""SELECT t.stream_id, t.arrival_seq, a.object_id, CAST(t.frame % 2147483647 AS BIGINT) AS source_id, {STAMP}, data_bytes,
+  a.x AS bbox_x, a.y AS bbox_y, a.w AS bbox_width, a.ht AS bbox_height, 'clip_rgb_' || head AS field_name, round(probabilities[1], 6) AS o0
+  FROM sent t JOIN aobj a USING (stream_id, frame) JOIN pred p USING (stream_id, frame, object_id)""")
+def publish_casualties_(spark, sf):
+    """Assess packets read back from files, one message per person, each with the packet's image bytes."""
+    packets = _sent(spark, sf, _assess_packets(spark, sf)).withColumn("received_ns", F.col("arrival_seq") * 1_000_000)
+    people = publish_casualties(packets, ingest="received_ns").select("*", F.inline("annotations"))
+    return people.select(
+        "stream_id", "arrival_seq", "object_id", F.col("data_source_id").cast("bigint").alias("source_id"), "stamp.sec", "stamp.nanosec",
+        F.octet_length("image.data").cast("bigint").alias("data_bytes"), "bbox_x", "bbox_y", "bbox_width", "bbox_height",
+        "field_name", F.round(F.get("observation", 0), 6).alias("o0"),
+    )
+
+
+LOG_EVERY = 50_000
+
+
+@query("publish_log", *ALL, OBJ, TSR, TXT, LOGTXT, RECEIVED,
+       """t AS (SELECT stream_id * 2 AS stream_id, frame, arrival_seq * 1000 AS ts_us FROM frm
+  UNION ALL SELECT DISTINCT a.stream_id * 2 + 1, a.frame, f.arrival_seq * 1000 FROM aobj a JOIN frm f USING (stream_id, frame))""",
+       greedy("t", LOG_EVERY), recursive=True,
+       sql="""SELECT s.stream_id, s.arrival_seq, t.stream_id % 2 = 1 AS casualty, CAST(n AS BIGINT) AS messages, data_bytes AS n_bytes,
+  'published topic=' || CASE t.stream_id % 2 WHEN 1 THEN 'casualty' ELSE 'target_detections' END || ' messages=' || n || ' bytes=' || data_bytes
+    || CASE t.stream_id % 2 WHEN 1 THEN '' ELSE chr(10) || m.log_text END AS text
+  FROM t JOIN g ON t.stream_id = g.stream_id AND t.ts_us = g.ts_us JOIN sent s ON s.stream_id = t.stream_id // 2 AND s.frame = t.frame
+  JOIN meta m ON m.stream_id = s.stream_id AND m.frame = s.frame
+  LEFT JOIN (SELECT stream_id, frame, count(*) AS k FROM aobj GROUP BY ALL) c ON c.stream_id = s.stream_id AND c.frame = s.frame,
+  LATERAL (SELECT CASE t.stream_id % 2 WHEN 1 THEN k ELSE 1 END AS n)""")
+def publish_log_(spark, sf):
+    """Log lines of detect and assess publishers, sampled by time of receipt; whole text for detect packets."""
+    packets = _sent(spark, sf, _detect_packets(spark, sf).unionByName(_assess_packets(spark, sf)))
+    lines = publish_log(packets.withColumn("received_us", F.col("arrival_seq") * 1_000), LOG_EVERY, "received_us")
+    casualty = F.col("topic") == "casualty"
+    text = F.when(casualty, F.substring_index("text", "\n", 1)).otherwise(F.col("text"))
+    return lines.select("stream_id", "arrival_seq", casualty.alias("casualty"), "messages", "n_bytes", text.alias("text"))
