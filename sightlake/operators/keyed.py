@@ -10,7 +10,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..constants import FRAME_KEYS
 from ..session import materialize
-from ..skew import BUCKET_ROWS, broadcast_if_small, bucketed_last_before
+from ..skew import (
+    BUCKET_ROWS, HOT_GROUP_ROWS, broadcast_if, broadcast_if_small, bucketed_last_before, find_hot_keys, ordered_slices,
+)
 
 BUFFER_KEYS = ("stream_id", "stage", "buf_key")
 
@@ -137,12 +139,17 @@ def join_payloads(
     keys: Sequence[str] = BUFFER_KEYS,
     arrival: str = "arrival_seq",
     require_metadata: bool = True,
+    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Match payloads to the metadata put under the same buffer key, one to one in arrival order.
 
     A payload takes the newest put since the key's previous payload; a put of its own arrival
     number counts as earlier. A NULL key never matches. With ``require_metadata=False`` unmatched
-    payloads stay, without metadata. A key's rows are read in order, never gathered.
+    payloads stay, without metadata.
+
+    Keys are counted first (combined before the shuffle). Those with one put and one payload, as
+    unique timestamps make them, take a plain join; repeated keys are read in order by windows, and
+    keys of over ``hot_rows`` rows slice by slice.
     """
     keys = list(keys)
     known = F.col(keys[-1]).isNotNull()
@@ -150,20 +157,65 @@ def join_payloads(
     own = [c for c in payloads.columns if c not in keys]
     body = F.struct(F.col(arrival).alias("metadata_seq"), *brought)
     puts = metadata.filter(known).select(*keys, F.col(arrival).alias("_at"), F.lit(0).alias("_side"), body.alias("_put"))
-    sent = payloads.select(*keys, F.col(arrival).alias("_at"), F.lit(1).alias("_side"), F.struct(*own).alias("_payload"))
-    both = puts.unionByName(sent.filter(known), allowMissingColumns=True)
-    in_order = W.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, -1)
-    turns = both.withColumn("_turn", F.coalesce(F.sum("_side").over(in_order), F.lit(0)))
-    since = W.partitionBy(*keys, "_turn").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    matched = turns.withColumn("_put", F.last("_put", ignorenulls=True).over(since)).filter("_side = 1")
+    every = payloads.select(*keys, F.col(arrival).alias("_at"), F.lit(1).alias("_side"), F.struct(*own).alias("_payload"))
+    sent = every.filter(known)
+
+    sides = puts.select(*keys, "_side").unionByName(sent.select(*keys, "_side"))
+    repeated = find_hot_keys(sides, [*keys, "_side"], 1)
+    if not repeated.present:
+        matched = _match_single(puts, sent, keys)
+    else:
+        # a key may stand here once per side
+        again = broadcast_if(repeated.table.select(*keys), repeated.small)
+        matched = _match_single(_by_key(puts, again, keys, "left_anti"), _by_key(sent, again, keys, "left_anti"), keys)
+        both = _by_key(puts, again, keys, "left_semi").unionByName(
+            _by_key(sent, again, keys, "left_semi"), allowMissingColumns=True
+        )
+        hot = find_hot_keys(both.select(*keys), keys, hot_rows)
+        if hot.present:
+            side = broadcast_if(hot.table, hot.small)
+            matched = matched.unionByName(_match_sliced(_by_key(both, side, keys, "left_semi"), keys))
+            both = _by_key(both, side, keys, "left_anti")
+        matched = matched.unionByName(_match_in_order(both, keys).select(*keys, "_put", "_payload"))
     if require_metadata:
         return matched.filter(F.col("_put").isNotNull()).select(*keys, "_put.*", "_payload.*")
-    loose = matched.select(*keys, "_put", "_payload").unionByName(
-        sent.filter(~known).select(*keys, "_payload"), allowMissingColumns=True
-    )
+    loose = matched.unionByName(every.filter(~known).select(*keys, "_payload"), allowMissingColumns=True)
     return loose.select(*keys, "_put.*", "_payload.*")
 
 
+def _by_key(df: DataFrame, side: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; ``side`` has the keys and may have more."""
+    other = side.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    return df.join(other, same, how).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
+def _match_single(puts: DataFrame, sent: DataFrame, keys: list[str]) -> DataFrame:
+    """At most one put and one payload per key: the put counts if it did not come later."""
+    both = _by_key(sent, puts.select(*keys, F.col("_at").alias("_put_at"), "_put"), keys, "left")
+    return both.select(*keys, F.when(F.col("_put_at") <= F.col("_at"), F.col("_put")).alias("_put"), "_payload")
+
+
+def _match_in_order(both: DataFrame, part: list[str]) -> DataFrame:
+    """Payload rows with the newest put since the payload before, and how many payloads came before."""
+    in_order = W.partitionBy(*part).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, -1)
+    turns = both.withColumn("_turn", F.coalesce(F.sum("_side").over(in_order), F.lit(0)))
+    since = W.partitionBy(*part, "_turn").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return turns.withColumn("_put", F.last("_put", ignorenulls=True).over(since)).filter("_side = 1")
+
+
+def _match_sliced(both: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of any size. A slice hands on its last row if that is a put: no payload has taken it yet."""
+    rows = ordered_slices(both, keys, [F.col("_at"), F.col("_side")])
+    part = [*keys, "_segment"]
+    last = rows.groupBy(*part).agg(F.max_by("_put", F.struct("_at", "_side")).alias("_open"))
+    before = W.partitionBy(*keys).orderBy("_segment")
+    handed = last.select(*part, F.lag("_open").over(before).alias("_handed"))
+    joined = _by_key(_match_in_order(rows, part), handed, part, "inner")
+    first = F.when(F.col("_turn") == 0, F.col("_handed"))
+    return joined.select(*keys, F.coalesce("_put", first).alias("_put"), "_payload")
+
+
 def latest_metadata(
     payloads: DataFrame,
     metadata: DataFrame,

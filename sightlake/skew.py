@@ -28,6 +28,10 @@ def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFr
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
 @dataclass(frozen=True)
 class HotKeys:
     """Keys of groups above a row limit. ``table`` is None when there are none."""
@@ -41,7 +45,7 @@ class HotKeys:
         return self.table is not None
 
     def _side(self) -> DataFrame:
-        return F.broadcast(self.table) if self.small else self.table
+        return broadcast_if(self.table, self.small)
 
     def exclude(self, df: DataFrame) -> DataFrame:
         return df.join(self._side(), list(self.keys), "left_anti").select(*df.columns)
@@ -88,7 +92,7 @@ def split_hot(
     return regular_way(hot.exclude(df)).unionByName(hot_way(hot.only(df)))
 
 
-def _segments(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Contiguous slices of (keys, order), numbered in order and fixed by a written table."""
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     return materialize(ranged.withColumn("_segment", F.spark_partition_id()), "segments")
@@ -111,7 +115,7 @@ def _stitched_row_number(df: DataFrame, keys: list[str], part: str, order, out:
 def sliced_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     """1-based position in groups of any size: range-partitioned slices plus a prefix sum."""
     keys, order = list(keys), list(order)
-    return _stitched_row_number(_segments(df, keys, order), keys, "_segment", order, out)
+    return _stitched_row_number(ordered_slices(df, keys, order), keys, "_segment", order, out)
 
 
 def group_row_number(
@@ -128,7 +132,9 @@ def group_row_number(
 
 
 def bucket_of(column: str, width: int = BUCKET_ROWS) -> Column:
-    return F.floor(F.col(column) / F.lit(width)).cast("bigint")
+    # integer arithmetic: a double quotient moves bucket edges of large numbers
+    value, size = F.col(column).cast("bigint"), F.lit(width).cast("bigint")
+    return F.call_function("div", value - F.pmod(value, size), size)
 
 
 def bucketed_row_number(

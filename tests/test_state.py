@@ -54,6 +54,31 @@ def test_one_shot_matching(spark, rows):
     assert rows(K.join_payloads(meta, pay).select("log", "n_bytes")) == [("last", 102), ("old", 100)]
 
 
+def test_matching_equals_a_loop(spark, rows):
+    """Single, repeated and hot keys, NULL streams and NULL keys, against one pass in arrival order."""
+    import random
+
+    rng = random.Random(5)
+    puts, sent, want = [], [], []
+    waiting = {}
+    for at in range(3000):
+        key = rng.choice([(0, 7), (0, 7), (0, at), (None, at % 40), (1, at % 90), (1, None)])
+        if rng.random() < 0.5:
+            puts.append((*key, at, f"m{at}"))
+            waiting[key] = f"m{at}"
+        else:
+            sent.append((*key, at, at))
+            want.append((*key, at, waiting.pop(key, None) if key[1] is not None else None))
+    meta = spark.createDataFrame(puts, "stream_id int, buf_key int, arrival_seq long, log string")
+    pay = spark.createDataFrame(sent, "stream_id int, buf_key int, arrival_seq long, n_bytes long")
+    keys = ("stream_id", "buf_key")
+    for limit in (30, 10**6):
+        got = K.join_payloads(meta, pay, keys, require_metadata=False, hot_rows=limit)
+        assert rows(got.select(*keys, "arrival_seq", "log")) == sorted(want, key=repr)
+    single = K.join_payloads(meta.filter("arrival_seq < 1"), pay.filter("arrival_seq < 1"), keys)
+    assert single.count() == 0 and "Window" not in single._jdf.queryExecution().toString()
+
+
 def test_inherit(spark, rows):
     captured = spark.createDataFrame(
         [(0, 1, 1, "ntp", 10), (0, 1, 2, "ref", 20), (0, 2, 3, "none", None)],
