@@ -1,19 +1,24 @@
 """Framed packets: u32 header length, u32 payload length (big-endian), JSON header, payload.
 
-Reading is one Spark partition per capture file, streamed record by record; writing
-is one or more files per task, rolled over at a size limit so that later scans
-stay parallel. Paths may be anything pyarrow can open (local, hdfs://, s3://, ...).
+Reading streams Arrow batches of records, one Spark partition per capture file. A large file
+is cut at record starts that ``index_packets`` wrote beside it; without that index it is read
+whole. Writing is one or more files per task, rolled over at a size limit so that later
+scans stay parallel. Paths may be anything pyarrow can open (local, hdfs://, s3://, ...).
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage,
@@ -25,7 +30,11 @@ from ..schemas import PACKET, PACKET_METADATA
 
 FORMAT = "framed_packets"
 SUFFIX = ".packets"
+INDEX_SUFFIX = ".index"
 ROLL_BYTES = 256 * 1024 * 1024
+SPLIT_BYTES = 256 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
+BATCH_ROWS = 4096
 LENGTHS = ">II"
 
 
@@ -40,56 +49,118 @@ def _take(stream, size: int) -> bytes | None:
     return data if len(data) == size else None
 
 
-def read_records(stream, with_payload: bool = True) -> Iterator[tuple[str, bytes | None, int, int]]:
-    """(header, payload, payload offset, payload size) of complete records.
+def read_records(
+    stream, with_payload: bool = True, start: int = 0, stop: int | None = None
+) -> Iterator[tuple[str, bytes | None, int, int]]:
+    """(header, payload, payload offset, payload size) of complete records that begin in [start, stop).
 
     A cut-off last record yields nothing. Without payload its bytes are skipped, not read.
     """
     end = stream.size()
-    while (lengths := _take(stream, struct.calcsize(LENGTHS))) is not None:
+    at = start
+    while stop is None or at < stop:
+        stream.seek(at)
+        if (lengths := _take(stream, struct.calcsize(LENGTHS))) is None:
+            return
         header_size, payload_size = struct.unpack(LENGTHS, lengths)
         header = _take(stream, header_size)
-        offset = stream.tell()
+        offset = at + len(lengths) + header_size
         if header is None or offset + payload_size > end:
             return
         payload = _take(stream, payload_size) if with_payload else None
-        stream.seek(offset + payload_size)
+        at = offset + payload_size
         yield header.decode("utf-8"), payload, offset, payload_size
 
 
+def record_starts(stream, split_bytes: int) -> list[tuple[int, int]]:
+    """(offset, record number) of the first record at or after each ``split_bytes``; reads lengths only."""
+    starts, at, number, end = [], 0, 0, stream.size()
+    while at + struct.calcsize(LENGTHS) <= end:
+        if not starts or at - starts[-1][0] >= split_bytes:
+            starts.append((at, number))
+        stream.seek(at)
+        lengths = stream.read(struct.calcsize(LENGTHS))
+        at += len(lengths) + sum(struct.unpack(LENGTHS, lengths))
+        number += 1
+    return starts
+
+
 def frame_record(metadata: str, payload: bytes | None) -> bytes:
     header, body = metadata.encode("utf-8"), bytes(payload or b"")
     return struct.pack(LENGTHS, len(header), len(body)) + header + body
 
 
 @dataclass
-class CaptureFile(InputPartition):
+class CapturePart(InputPartition):
+    """Records of one file that begin in [start, stop); the first of them is number ``first``."""
+
     path: str
+    start: int = 0
+    first: int = 0
+    stop: int | None = None
+
+
+def capture_files(path: str) -> list[tuple[str, fs.FileInfo]]:
+    """Paths as the caller writes them, with the found files, in order."""
+    files, root = _open(path)
+    info = files.get_file_info(root)
+    if info.type == fs.FileType.File:
+        return [(path, info)]
+    base, found = path.rstrip("/"), files.get_file_info(fs.FileSelector(root, recursive=True))
+    return [
+        (base + f.path.removeprefix(root.rstrip("/")), f)
+        for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith(SUFFIX)
+    ]
+
+
+def _index(path: str, size: int) -> list[tuple[int, int]]:
+    """The record starts beside a file; only its beginning if there are none or they are of a longer file."""
+    files, name = _open(path + INDEX_SUFFIX)
+    if files.get_file_info(name).type != fs.FileType.File:
+        return [(0, 0)]
+    with files.open_input_stream(name) as stream:
+        index = json.loads(stream.read())
+    return [tuple(x) for x in index["starts"]] if index["size"] <= size else [(0, 0)]
 
 
 class PacketReader(DataSourceReader):
-    def __init__(self, path: str, with_payload: bool):
+    def __init__(self, path: str, with_payload: bool, split_bytes: int):
         self.path = path
         self.with_payload = with_payload
+        self.split_bytes = split_bytes
 
     def partitions(self):
-        files, root = _open(self.path)
-        info = files.get_file_info(root)
-        if info.type == fs.FileType.File:
-            return [CaptureFile(self.path)]
-        found = files.get_file_info(fs.FileSelector(root, recursive=True))
-        base = self.path.rstrip("/")
-        return [
-            CaptureFile(base + f.path.removeprefix(root.rstrip("/")))
-            for f in sorted(found, key=lambda f: f.path)
-            if f.is_file and f.path.endswith(SUFFIX)
-        ]
+        found = capture_files(self.path)
+        large = [(path, f.size) for path, f in found if f.size > self.split_bytes]
+        with ThreadPoolExecutor(32) as pool:
+            indexes = dict(zip((p for p, _ in large), pool.map(lambda x: _index(*x), large)))
+        parts = []
+        for path, _ in found:
+            cuts = []
+            for offset, number in indexes.get(path, [(0, 0)]):
+                if not cuts or offset - cuts[-1][0] >= self.split_bytes:
+                    cuts.append((offset, number))
+            stops = [offset for offset, _ in cuts[1:]] + [None]
+            parts += [CapturePart(path, *cut, stop) for cut, stop in zip(cuts, stops)]
+        return parts
 
     def read(self, partition):
+        schema, rows, size = to_arrow_schema(PACKET), [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
         files, path = _open(partition.path)
         with files.open_input_file(path) as stream:
-            for seq, (metadata, *rest) in enumerate(read_records(stream, self.with_payload)):
-                yield partition.path, seq, metadata, *rest
+            records = read_records(stream, self.with_payload, partition.start, partition.stop)
+            for seq, record in enumerate(records, partition.first):
+                rows.append((partition.path, seq, *record))
+                size += len(record[0]) + len(record[1] or b"")
+                if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    yield batch()
+                    rows, size = [], 0
+        if rows:
+            yield batch()
 
 
 @dataclass
@@ -119,9 +190,14 @@ class PacketWriter(DataSourceWriter):
                 if size >= self.roll_bytes:
                     stream.close()
                     stream = None
-        finally:
             if stream is not None:
                 stream.close()
+        except BaseException:
+            if stream is not None:
+                stream.close()
+            for name in staged:
+                files.delete_file(name)
+            raise
         return Written(staged)
 
     def commit(self, messages):
@@ -146,7 +222,8 @@ class FramedPackets(DataSource):
         return PACKET
 
     def reader(self, schema):
-        return PacketReader(self.options["path"], self.options.get("payload", "true") == "true")
+        split_bytes = int(self.options.get("split_bytes", SPLIT_BYTES))
+        return PacketReader(self.options["path"], self.options.get("payload", "true") == "true", split_bytes)
 
     def writer(self, schema, overwrite):
         return PacketWriter(self.options["path"], int(self.options.get("roll_bytes", ROLL_BYTES)))
@@ -156,14 +233,41 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FramedPackets)
 
 
-def read_packets(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def index_packets(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> int:
+    """Write record starts beside every capture file above ``split_bytes``; returns how many files.
+
+    One task per file reads the lengths of its records. Later records of a growing file fall to
+    its last part; a file that was replaced must be indexed again.
+    """
+    large = [(name,) for name, f in capture_files(path) if f.size > split_bytes]
+    if not large:
+        return 0
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch["path"]:
+                files, inner = _open(name)
+                with files.open_input_file(inner) as stream:
+                    index = {"size": stream.size(), "starts": record_starts(stream, split_bytes)}
+                staged = f"{inner}{INDEX_SUFFIX}-{uuid.uuid4().hex}"
+                with files.open_output_stream(staged) as out:
+                    out.write(json.dumps(index).encode())
+                files.move(staged, inner + INDEX_SUFFIX)
+            yield batch
+
+    names = spark.createDataFrame(large, "path string").repartition(len(large))
+    return names.mapInPandas(write, "path string").count()
+
+
+def read_packets(spark: SparkSession, path: str, payload: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, seq, metadata JSON, payload, offset, n_bytes) of all capture files under ``path``.
 
     With ``payload=False`` only headers are read and payload is NULL: filter and join
     those small rows, then load what is left with ``load_payload``.
     """
     register(spark)
-    return spark.read.format(FORMAT).option("payload", str(payload).lower()).load(path)
+    options = {"payload": str(payload).lower(), "split_bytes": split_bytes}
+    return spark.read.format(FORMAT).options(**options).load(path)
 
 
 @F.pandas_udf(T.BinaryType())

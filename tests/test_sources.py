@@ -129,3 +129,34 @@ def test_publishers_by_stage(spark, rows):
                          (1, "published topic=target_detections messages=1 bytes=1\nmetadata=missing"),
                          (3, "published topic=casualty messages=2 bytes=3\ntwo")]
     assert W.publish_log(df, -1, "received").count() == 0 and W.publish_log(df, 0, "received").count() == 5
+
+
+def test_indexed_file_is_read_in_parts(spark, tmp_path, rows):
+    body = b"".join(record({"frame": i}, bytes([i % 251]) * (i * 37 % 500)) for i in range(400))
+    big = tmp_path / "big.packets"
+    big.write_bytes(body + record({"frame": 400}, b"0123456789")[:-1])
+    (tmp_path / "small.packets").write_bytes(record({"frame": 7}, b"x"))
+    path, columns = str(tmp_path), ("path", "seq", "metadata", "payload", "offset", "n_bytes")
+    whole = rows(K.read_packets(spark, path, split_bytes=8_000).select(*columns))
+    assert len(whole) == 401
+    assert K.index_packets(spark, path, split_bytes=8_000) == 1
+    parts = K.read_packets(spark, path, split_bytes=8_000)
+    assert parts.rdd.getNumPartitions() > 8
+    assert rows(parts.select(*columns)) == whole
+    assert K.read_packets(spark, path, split_bytes=40_000).rdd.getNumPartitions() in (3, 4)
+    assert rows(K.read_packets(spark, path, payload=False, split_bytes=8_000).select("seq", "n_bytes")) == sorted(
+        ((r[1], r[5]) for r in whole), key=repr)
+    # a file that grew keeps its parts, one that shrank is read whole
+    big.write_bytes(body + record({"frame": 400}, b"0123456789"))
+    assert K.read_packets(spark, path, split_bytes=8_000).count() == 402
+    big.write_bytes(record({"frame": 1}, b"y" * 9_000))
+    assert K.read_packets(spark, path, split_bytes=8_000).count() == 2
+
+
+def test_failed_write_leaves_no_files(spark, tmp_path):
+    import pytest
+
+    broken = spark.range(50).select(F.lit("{}").alias("metadata"), F.expr("CASE WHEN id = 49 THEN raise_error('x') ELSE binary('p') END").alias("payload"))
+    with pytest.raises(Exception):
+        K.write_packets(broken.coalesce(1), str(tmp_path / "out"))
+    assert not list(tmp_path.glob("out/*"))
