@@ -6,7 +6,9 @@ parallel: time is cut into chunks, each chunk is summarised as the function "ear
 time a row may be emitted on entry -> the same on exit", the functions are composed
 over runs of chunks and then per stream, and finally every chunk replays its own
 rows from its now known entry. A summary holds no more steps than there are distinct
-times in the first interval of its chunk, because no entry can lie beyond that.
+times in the first interval of its chunk, because no entry can lie beyond that. Streams
+with more than ``INTERVAL_ROWS`` rows in any interval go another way (``dense_times``),
+so a group holds at most ``CHUNK_INTERVALS`` times as many.
 """
 
 from __future__ import annotations
@@ -18,8 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import FRAME_KEYS
+from ..skew import HotKeys, bucket_of, find_hot_keys, no_hot_keys
+from .dense_times import emitted_times
 
 CHUNK_INTERVALS = 256
+INTERVAL_ROWS = 2_048
 RUN_CHUNKS = 256
 _OPEN = np.iinfo(np.int64).min
 
@@ -59,16 +64,39 @@ def _compose(parts: list[tuple[int, np.ndarray, np.ndarray]], interval: int):
     return upto, leave
 
 
+def dense_streams(
+    rows: DataFrame, interval: int, partition: Sequence[str] = ("stream_id",), time: str = "ts_us",
+    limit: int | None = None,
+) -> HotKeys:
+    """Streams with over ``limit`` rows in one interval. Counts are combined before the shuffle."""
+    limit = INTERVAL_ROWS if limit is None else limit
+    if interval <= limit:  # an interval cannot hold more times than units
+        return no_hot_keys(partition)
+    cells = rows.select(*partition, bucket_of(time, interval).alias("_cell"))
+    dense = find_hot_keys(cells, [*partition, "_cell"], limit)
+    if not dense.present:
+        return no_hot_keys(partition)
+    return HotKeys(tuple(partition), dense.table.select(*partition).distinct(), dense.small)
+
+
+def _times(rows: DataFrame, partition: list[str], time: str, arrival: str) -> DataFrame:
+    # of rows with equal time only the first to arrive can pass; one aggregate serves both uses
+    return rows.groupBy(*partition, F.col(time).alias("t")).agg(F.min(arrival).alias("first"))
+
+
+def _emitted_dense(rows: DataFrame, interval: int, partition: list[str], time: str, arrival: str) -> DataFrame:
+    times = _times(rows, partition, time, arrival)
+    return times.join(emitted_times(times, interval, partition), [*partition, "t"], "left_semi")
+
+
 def _emitted(
     rows: DataFrame, interval: int, partition: list[str], time: str, arrival: str, chunk_intervals: int
 ) -> DataFrame:
     width = interval * chunk_intervals
     run_width = width * RUN_CHUNKS
     keys = ", ".join(rows.select(*partition).schema[p].simpleString().replace(":", " ", 1) for p in partition)
-    # of rows with equal time only the first to arrive can pass; one aggregate serves both uses
-    times = rows.groupBy(*partition, F.col(time).alias("t")).agg(F.min(arrival).alias("first"))
-    times = times.withColumn("chunk", F.floor(F.col("t") / width)).withColumn(
-        "run", F.floor(F.col("t") / run_width)
+    times = _times(rows, partition, time, arrival).withColumns(
+        {"chunk": bucket_of("t", width), "run": bucket_of("t", run_width)}
     )
 
     def head(pdf: pd.DataFrame, n: int, *extra: str) -> dict:
@@ -129,18 +157,24 @@ def interval_sample(
     time: str = "ts_us",
     arrival: str = "arrival_seq",
     chunk_intervals: int = CHUNK_INTERVALS,
+    dense: HotKeys | None = None,
 ) -> DataFrame:
     """Rows a greedy sampler lets through. Negative interval: none; 0: all.
 
     The first row of a stream always passes. Of rows with equal time only the first
-    to arrive can pass.
+    to arrive can pass, of rows without a time none. ``dense`` are the ``dense_streams``, counted here if not given.
     """
     if interval < 0:
         return rows.filter(F.lit(False))
     if interval == 0:
         return rows
     partition = list(partition)
-    emitted = _emitted(rows, interval, partition, time, arrival, chunk_intervals)
+    timed = rows.filter(F.col(time).isNotNull()).select(*partition, time, arrival)
+    if dense is None:
+        dense = dense_streams(timed, interval, partition, time)
+    emitted = _emitted(dense.exclude(timed) if dense.present else timed, interval, partition, time, arrival, chunk_intervals)
+    if dense.present:
+        emitted = emitted.unionByName(_emitted_dense(dense.only(timed), interval, partition, time, arrival))
     passed = emitted.withColumnsRenamed({"t": time, "first": arrival})
     return rows.join(passed, [*partition, time, arrival], "left_semi").select(*rows.columns)
 
