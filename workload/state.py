@@ -72,6 +72,16 @@ def interval_sample(spark, sf):
     return S.interval_sample(rows, 3_600_000_000).select(*KEYS, "ts_us")
 
 
+@query("interval_sample_dense", FRM, """t AS (SELECT stream_id, frame, unix_ns // 1000 AS ts_us FROM frm)""",
+       greedy("t", 43_200_000_000), recursive=True,
+       sql="SELECT t.stream_id, t.frame, t.ts_us FROM t JOIN g ON t.stream_id = g.stream_id AND t.ts_us = g.ts_us")
+def interval_sample_dense(spark, sf):
+    """Two samples a day of streams that count as dense from 16 rows in an interval on."""
+    rows = V.frm(spark, sf).select(*KEYS, "arrival_seq", F.expr("unix_ns div 1000").alias("ts_us"))
+    dense = S.dense_streams(rows, 43_200_000_000, limit=16)
+    return S.interval_sample(rows, 43_200_000_000, dense=dense).select(*KEYS, "ts_us")
+
+
 @query("interval_sample_frames", FRM, DET, """rows_at AS (SELECT stream_id, frame, det_order, unix_ns // 1000 AS ts_us FROM det JOIN frm USING (stream_id, frame)),
 t AS (SELECT stream_id, frame, min(ts_us) AS ts_us FROM rows_at GROUP BY ALL)""",
        greedy("t", 7_200_000_000), recursive=True,
