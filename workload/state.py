@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from sightlake.constants import STAGES
 from sightlake.functions import clock, text
 from sightlake.operators import keyed as K, sampling as S, timing as T
+from sightlake.plans import detect as detect_plan
 
 from . import views as V
-from .frames import TSR
+from .frames import LOGTXT, NUM, OBJ, TSR, TXT, detect_records
 from .registry import query
 from .views import ARR, DET, FRM, MRK, PAY
 
@@ -163,3 +164,18 @@ def output_fps(spark, sf):
 def output_fps_reports(spark, sf):
     frames = V.frm(spark, sf).select("stream_id", "arrival_seq", F.expr("unix_ns div 1000").alias("ts_us"))
     return T.reported_fps(frames, 3_600_000_000)
+
+
+@query("timed_metadata", FRM, DET, MRK, LAT, NUM, OBJ, TSR, TXT, LOGTXT, """clock AS (SELECT stream_id, frame, concat_ws(' ', 'detect_ms=' || printf('%.2f', detect_ms),
+    'detect_fps=' || printf('%.2f', CASE WHEN detect_ms > 0 THEN 1000.0::DOUBLE / detect_ms END)) AS fields FROM lat)""",
+       sql="""SELECT stream_id, frame, object_count, COALESCE(fields, '') AS timing, body AS rows_text,
+  replace(log_text, ' source=' || src_w || 'x', COALESCE(' ' || nullif(fields, ''), '') || ' source=' || src_w || 'x') AS log_text
+  FROM meta LEFT JOIN clock USING (stream_id, frame) LEFT JOIN (SELECT stream_id, frame, body FROM agg) USING (stream_id, frame)""")
+def timed_metadata(spark, sf):
+    """Detect records with the times of their stages in the record, its rows and its log text."""
+    made = detect_plan.timed_metadata(detect_records(spark, sf), _latency(spark, sf), "DETECT")
+    rows = F.array_join(F.transform("rows", lambda row: F.concat(F.lit("  "), row)), "\n")
+    return made.select(
+        *KEYS, F.col("object_count").cast("bigint").alias("object_count"), F.array_join("timing", " ").alias("timing"),
+        F.when(F.size("rows") > 0, rows).alias("rows_text"), "log_text",
+    )
