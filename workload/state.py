@@ -115,7 +115,7 @@ LAT = """lat AS (SELECT stream_id, frame,
   FROM (SELECT *, CASE WHEN frame % 6 = 0 THEN 5000 ELSE 0 END AS off FROM wide))"""
 
 
-def _latency(spark, sf):
+def stage_latencies(spark, sf):
     # every sixth frame starts late, so some detections end before their start
     late = F.when(F.col("frame") % 6 == 0, 5000).otherwise(0)
     return T.stage_latency(T.pivot_stages(V.mrk(spark, sf)).withColumn("mux", F.col("mux") + late))
@@ -124,13 +124,13 @@ def _latency(spark, sf):
 @query("stage_latency", MRK, LAT, sql="""SELECT stream_id, frame, detect_ms, assess_ms, CASE WHEN detect_ms > 0 THEN 1000.0::DOUBLE / detect_ms END AS detect_fps,
   CASE WHEN assess_ms > 0 THEN 1000.0::DOUBLE / assess_ms END AS assess_fps FROM lat""")
 def stage_latency(spark, sf):
-    return _latency(spark, sf).select(*KEYS, "detect_ms", "assess_ms", "detect_fps", "assess_fps")
+    return stage_latencies(spark, sf).select(*KEYS, "detect_ms", "assess_ms", "detect_fps", "assess_fps")
 
 
 @query("timing_fields", MRK, LAT, sql="""SELECT stream_id, frame, concat_ws(' ', 'detect_ms=' || printf('%.2f', detect_ms), 'detect_fps=' || printf('%.2f', CASE WHEN detect_ms > 0 THEN 1000.0::DOUBLE / detect_ms END),
   'assess_ms=' || printf('%.2f', assess_ms), 'assess_fps=' || printf('%.2f', CASE WHEN assess_ms > 0 THEN 1000.0::DOUBLE / assess_ms END)) AS fields FROM lat""")
 def timing_fields(spark, sf):
-    return _latency(spark, sf).select(
+    return stage_latencies(spark, sf).select(
         *KEYS, F.array_join(text.timing_fields("detect_ms", "assess_ms"), " ").alias("fields")
     )
 
@@ -173,7 +173,7 @@ def output_fps_reports(spark, sf):
   FROM meta LEFT JOIN clock USING (stream_id, frame) LEFT JOIN (SELECT stream_id, frame, body FROM agg) USING (stream_id, frame)""")
 def timed_metadata(spark, sf):
     """Detect records with the times of their stages in the record, its rows and its log text."""
-    made = detect_plan.timed_metadata(detect_records(spark, sf), _latency(spark, sf), "DETECT")
+    made = detect_plan.timed_metadata(detect_records(spark, sf), stage_latencies(spark, sf), "DETECT")
     rows = F.array_join(F.transform("rows", lambda row: F.concat(F.lit("  "), row)), "\n")
     return made.select(
         *KEYS, F.col("object_count").cast("bigint").alias("object_count"), F.array_join("timing", " ").alias("timing"),

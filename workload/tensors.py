@@ -12,11 +12,13 @@ from sightlake.functions.tensors import ELEMENT_TYPES
 from sightlake.operators import detections as D, keyed as K, predictions as P
 from sightlake.operators.predictions import HeadWeights
 from sightlake.plans import assess as A
+from sightlake.plans.detect import timed_metadata
 
 from . import views as V
-from .frames import NUM, STAMP, TSR
+from .frames import NUM, STAMP, TSR, TXT
 from .registry import query
-from .views import DET, FRM, LOGIT, PRED
+from .state import LAT, stage_latencies
+from .views import DET, FRM, LOGIT, MRK, PRED
 
 KEYS = ["stream_id", "frame", "object_id"]
 SQL_PROBS = "round(probabilities[1], 6) AS p0, round(probabilities[2], 6) AS p1, round(probabilities[3], 6) AS p2"
@@ -331,3 +333,18 @@ def multihead_linear(spark, sf):
 def predict_batch(spark, sf):
     embedded = V.table(spark, sf, "embeddings")
     return _long(P.infer(embedded, "embedding", head_weights, EMBED_WIDTH, ["vec_id"]))
+
+
+@query("timed_assess_metadata", *ALL, MRK, LAT, TSR, TXT, """rowtext AS (SELECT stream_id, frame, string_agg('  object=' || object_id || ' bbox=' || printf('%.0f,%.0f,%.0f,%.0f', x, y, w, ht)
+    || ' ' || array_to_string(lines, ' | '), chr(10) ORDER BY det_order) AS body, count(*) AS n FROM aobj GROUP BY ALL)""",
+       sql="""SELECT t.stream_id, t.frame, n AS object_count, 'ASSESS frame=' || t.frame || ' timestamp=' || ts_text || ' timestamp_source=' || source
+  || COALESCE(' detect_ms=' || printf('%.2f', detect_ms), '') || COALESCE(' detect_fps=' || printf('%.2f', CASE WHEN detect_ms > 0 THEN 1000.0::DOUBLE / detect_ms END), '')
+  || COALESCE(' assess_ms=' || printf('%.2f', assess_ms), '') || COALESCE(' assess_fps=' || printf('%.2f', CASE WHEN assess_ms > 0 THEN 1000.0::DOUBLE / assess_ms END), '')
+  || ' source=' || src_w || 'x' || src_h || ' image=' || img_w || 'x' || img_h || chr(10) || body AS log_text
+  FROM txt t JOIN rowtext USING (stream_id, frame) LEFT JOIN lat USING (stream_id, frame)""")
+def timed_assess_metadata(spark, sf):
+    """Assess records with labels and both stage times in their log text."""
+    hot = V.hot_frames(spark, sf)
+    records = A.assess_records(V.frm(spark, sf), V.det(spark, sf, hot), V.logit(spark, sf), hot=hot)
+    made = timed_metadata(records, stage_latencies(spark, sf), "ASSESS")
+    return made.select("stream_id", "frame", F.col("object_count").cast("bigint").alias("object_count"), "log_text")
