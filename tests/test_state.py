@@ -187,3 +187,23 @@ def test_recording(spark, tmp_path, rows):
     back = spark.read.parquet(path)
     assert rows(back.select("topic", "frame", "message")) == [
         ("casualty", 0, '{"extra":1}'), ("casualty", 1, '{"extra":1}'), ("image", 0, '{"format":"x"}'), ("image", 1, '{"format":"x"}')]
+
+
+def test_metadata_with_stage_times(spark):
+    """Detector times only in detect records; frames without marks have none."""
+    from sightlake.plans.detect import timed_metadata
+    from sightlake.operators import records as R
+
+    from workload import views as V
+
+    frames = V.frm(spark, "/root/testdata/sf0.001").filter("frame < 3")
+    empty = R.detect_frames(frames, V.det(spark, "/root/testdata/sf0.001").filter("false").withColumn("object_id", F.lit(0)))
+    marks = [(f % 4, f, ms, 5.0) for f, ms in ((0, 4.0), (1, 0.0))]
+    times = spark.createDataFrame(marks, "stream_id int, frame long, detect_ms double, assess_ms double")
+    got = {r.frame: (r.timing, r.log_text) for r in timed_metadata(empty, times, "DETECT").collect()}
+    assert got[0][0] == ["detect_ms=4.00", "detect_fps=250.00"] and " detect_ms=4.00 detect_fps=250.00 source=" in got[0][1]
+    assert got[1][0] == ["detect_ms=0.00"]
+    assert got[2][0] == [] and "_ms=" not in got[2][1]
+    both = {r.frame: r.timing for r in timed_metadata(empty.withColumn("objects", F.expr(
+        "cast(array() as array<struct<object_id:int,bbox:array<double>,labels:array<string>>>)")), times, "ASSESS").collect()}
+    assert both[0] == ["detect_ms=4.00", "detect_fps=250.00", "assess_ms=5.00", "assess_fps=200.00"]
