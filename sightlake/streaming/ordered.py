@@ -1,31 +1,47 @@
 """Per-stream state that sees rows in order of event time, whatever order they arrive in.
 
-Rows wait in state, by buckets of event time. A timer at the end of a bucket releases it once the watermark
-has passed, and its rows are then taken in (event time, arrival) order. Files in any order and
-rows late within the lateness budget give the same result as one sorted pass, however they fall
-into micro-batches. At no time is more than one bucket of one stream in memory.
+Rows wait in state as sorted runs, cut into blocks. A timer at the end of a run's first bucket of event time
+releases all buckets that the watermark has passed: the runs are merged, so rows are taken in (event time,
+arrival) order. Files in any order and rows late within the lateness budget give the same result as one
+sorted pass, however they fall into micro-batches. State is read and written a block at a time, and
+``FAN_IN`` runs of a level become one of the next, so that the work grows with the rows (times the few
+levels) and at most two blocks of a run, or the rows of one run to be, are in memory.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-_BUCKET = T.StructType([T.StructField("bucket", T.LongType())])
-_PART = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("part", T.LongType())])
-_COUNT = T.StructType([T.StructField("parts", T.LongType())])
+RUN_ROWS = 131_072
+BLOCK_ROWS = 8_192
+FAN_IN = 16
+_RUN = T.StructType([T.StructField("run", T.LongType())])
+_BLOCK = T.StructType([T.StructField("run", T.LongType()), T.StructField("block", T.LongType())])
+# blocks [first, end) wait; bucket of their first row
+_PLACE = T.StructType([T.StructField(c, T.LongType()) for c in ("level", "first", "end", "bucket")])
 _BYTES = T.StructType([T.StructField("value", T.BinaryType())])
 
 
+def _joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    """Integers stay exact where other parts have NULLs (and so doubles) in their column."""
+    for c in parts[0].columns:
+        kinds = {p[c].dtype for p in parts}
+        if len(kinds) > 1 and any(pd.api.types.is_integer_dtype(k) for k in kinds):
+            parts = [p.assign(**{c: p[c].astype("Int64")}) for p in parts]
+    return pd.concat(parts)
+
+
 class Ordered(StatefulProcessor):
-    """Buffers rows and hands them to ``step`` bucket by bucket, in order.
+    """Buffers rows and hands them to ``step`` in order, in slices of any size.
 
-    ``step`` gets a bucket's rows and what it returned for the stream before (``fresh()`` at first), and
-    returns the rows to emit and what to keep. What is kept is written back after every bucket, so
+    ``step`` gets rows and what it returned for the stream before (``fresh()`` at first), and
+    returns the rows to emit and what to keep. What is kept is written back after every release, so
     it has to be bounded.
     """
 
@@ -41,35 +57,94 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", _PART, _BYTES)
-        self.parts = handle.getMapState("parts", _BUCKET, _COUNT)
+        self.blocks = handle.getMapState("blocks", _BLOCK, _BYTES)
+        self.places = handle.getMapState("runs", _RUN, _PLACE)
         self.kept = handle.getValueState("kept", _BYTES)
 
+    def _runs(self) -> dict[int, list[int]]:
+        return {run: list(place) for (run,), place in self.places.iterator()}
+
+    def _buckets(self, rows: pd.DataFrame) -> np.ndarray:
+        return (rows[self.time].astype("datetime64[us]").astype("int64") // 1000 // self.bucket_ms).to_numpy()
+
+    def _sorted(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = _joined(parts) if len(parts) > 1 else parts[0]
+        return rows.sort_values(self.order, kind="stable", ignore_index=True)
+
+    def _place(self, runs: dict[int, list[int]], run: int, place: list[int]) -> None:
+        runs[run] = place
+        self.places.updateValue((run,), tuple(place))
+        self.handle.registerTimer((place[3] + 1) * self.bucket_ms)
+
+    def _add(self, runs: dict[int, list[int]], slices: Iterable[pd.DataFrame], level: int = 0) -> None:
+        """A new run of sorted slices."""
+        run, end, bucket = max(runs, default=-1) + 1, 0, None
+        for rows in slices:
+            if bucket is None:
+                bucket = int(self._buckets(rows.iloc[:1])[0])
+            for at in range(0, len(rows), BLOCK_ROWS):
+                self.blocks.updateValue((run, end), (pickle.dumps(rows.iloc[at : at + BLOCK_ROWS]),))
+                end += 1
+        self._place(runs, run, [level, 0, end, bucket])
+        peers = [r for r, place in runs.items() if place[0] == level]
+        if len(peers) >= FAN_IN:
+            self._add(runs, self._taken(runs, peers), level + 1)
+
+    def _taken(self, runs: dict[int, list[int]], chosen: list[int], last: int | None = None) -> Iterator[pd.DataFrame]:
+        """Rows of the chosen runs up to bucket ``last``, merged in order and removed from the state."""
+        held, going = None, True
+        while going:
+            parts = [] if held is None else [held]
+            for run in chosen:
+                n = 0 if held is None else int((held["_run"] == run).sum())
+                place = runs[run]
+                while place[1] < place[2] and n < BLOCK_ROWS:
+                    parts.append(pickle.loads(self.blocks.getValue((run, place[1]))[0]).assign(_run=run))
+                    self.blocks.removeKey((run, place[1]))
+                    place[1] += 1
+                    n += len(parts[-1])
+            held = self._sorted(parts)
+            # complete up to the first row that is the last one read of a run with more blocks
+            of = held["_run"].to_numpy()
+            ends = [int(np.flatnonzero(of == run)[-1]) + 1 for run in chosen if runs[run][1] < runs[run][2]]
+            ready = due = min(ends, default=len(held))
+            if last is not None:
+                due = int((self._buckets(held.iloc[:ready]) <= last).sum())
+            if due:
+                yield held.iloc[:due].drop(columns="_run")
+            held, going = held.iloc[due:], due == ready and bool(ends)
+        for run in chosen:
+            rest = held[held["_run"] == run].drop(columns="_run")
+            level, first, end, _ = runs.pop(run)
+            if len(rest):
+                self.blocks.updateValue((run, first - 1), (pickle.dumps(rest),))
+                self._place(runs, run, [level, first - 1, end, int(self._buckets(rest.iloc[:1])[0])])
+            else:
+                self.places.removeKey((run,))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        runs, parts = self._runs(), []
         for chunk in rows:
-            bucket = chunk[self.time].astype("datetime64[us]").astype("int64") // 1000 // self.bucket_ms
-            for b, part in chunk.groupby(bucket, sort=False):
-                b = int(b)
-                seen = self.parts.getValue((b,))[0] if self.parts.containsKey((b,)) else 0
-                if not seen:
-                    self.handle.registerTimer((b + 1) * self.bucket_ms)
-                self.waiting.updateValue((b, seen), (pickle.dumps(part),))
-                self.parts.updateValue((b,), (seen + 1,))
+            if len(chunk):
+                parts.append(chunk)
+            if sum(map(len, parts)) >= RUN_ROWS:
+                self._add(runs, [self._sorted(parts)])
+                parts = []
+        if parts:
+            self._add(runs, [self._sorted(parts)])
         yield pd.DataFrame(columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = expiredTimerInfo.getExpiryTimeInMs() // self.bucket_ms - 1
-        due = sorted(b for (b,) in self.parts.keys() if b <= last)
+        last = timerValues.getCurrentWatermarkInMs() // self.bucket_ms - 1
+        runs = self._runs()
+        due = [run for run, place in runs.items() if place[3] <= last]
+        if not due:  # another run's timer has released them
+            return
         kept = pickle.loads(self.kept.get()[0]) if self.kept.exists() else self.fresh()
-        for b in due:
-            n = self.parts.getValue((b,))[0]
-            held = pd.concat([pickle.loads(self.waiting.getValue((b, k))[0]) for k in range(n)])
-            out, kept = self.step(held.sort_values(self.order, kind="stable"), kept)
-            self.kept.update((pickle.dumps(kept),))
-            for k in range(n):
-                self.waiting.removeKey((b, k))
-            self.parts.removeKey((b,))
+        for rows in self._taken(runs, due, last):
+            out, kept = self.step(rows, kept)
             yield out[self.columns]
+        self.kept.update((pickle.dumps(kept),))
 
     def close(self) -> None:
         pass
