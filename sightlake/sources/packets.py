@@ -1,13 +1,14 @@
 """Framed packets: u32 header length, u32 payload length (big-endian), JSON header, payload.
 
-Reading streams Arrow batches of records, one Spark partition per capture file. A large file
-is cut at record starts that ``index_packets`` wrote beside it; without that index it is read
-whole. Writing is one or more files per task, rolled over at a size limit so that later
+Reading streams Arrow batches of records. A large file is cut at record starts that
+``index_packets`` wrote beside it; without that index it is read whole. Small files share a Spark
+partition. Writing is one or more files per task, rolled over at a size limit so that later
 scans stay parallel. Paths may be anything pyarrow can open (local, hdfs://, s3://, ...).
 """
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 import uuid
@@ -21,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage,
+    DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage,
 )
 
 from ..functions.clock import integer_value, message_timestamp, variant_kind
@@ -33,6 +34,11 @@ SUFFIX = ".packets"
 INDEX_SUFFIX = ".index"
 ROLL_BYTES = 256 * 1024 * 1024
 SPLIT_BYTES = 256 * 1024 * 1024
+# small files are read together: as many bytes a task as make PACK_TASKS tasks, within these bounds
+PACK_BYTES = (4 * 1024 * 1024, 64 * 1024 * 1024)
+PACK_TASKS = 64
+# bytes read ahead with payloads, and without (a payload is skipped by seeking)
+AHEAD_BYTES = {True: 1024 * 1024, False: 64 * 1024}
 BATCH_BYTES = 8 * 1024 * 1024
 BATCH_ROWS = 4096
 LENGTHS = ">II"
@@ -57,19 +63,23 @@ def read_records(
     A cut-off last record yields nothing. Without payload its bytes are skipped, not read.
     """
     end = stream.size()
+    ahead = io.BufferedReader(stream, AHEAD_BYTES[with_payload])
     at = start
-    while stop is None or at < stop:
-        stream.seek(at)
-        if (lengths := _take(stream, struct.calcsize(LENGTHS))) is None:
-            return
-        header_size, payload_size = struct.unpack(LENGTHS, lengths)
-        header = _take(stream, header_size)
-        offset = at + len(lengths) + header_size
-        if header is None or offset + payload_size > end:
-            return
-        payload = _take(stream, payload_size) if with_payload else None
-        at = offset + payload_size
-        yield header.decode("utf-8"), payload, offset, payload_size
+    try:
+        while stop is None or at < stop:
+            ahead.seek(at)
+            if (lengths := _take(ahead, struct.calcsize(LENGTHS))) is None:
+                return
+            header_size, payload_size = struct.unpack(LENGTHS, lengths)
+            header = _take(ahead, header_size)
+            offset = at + len(lengths) + header_size
+            if header is None or offset + payload_size > end:
+                return
+            payload = _take(ahead, payload_size) if with_payload else None
+            at = offset + payload_size
+            yield header.decode("utf-8"), payload, offset, payload_size
+    finally:
+        ahead.detach()  # the stream is the caller's to close
 
 
 def record_starts(stream, split_bytes: int) -> list[tuple[int, int]]:
@@ -91,7 +101,7 @@ def frame_record(metadata: str, payload: bytes | None) -> bytes:
 
 
 @dataclass
-class CapturePart(InputPartition):
+class CapturePart:
     """Records of one file that begin in [start, stop); the first of them is number ``first``."""
 
     path: str
@@ -100,6 +110,25 @@ class CapturePart(InputPartition):
     stop: int | None = None
 
 
+@dataclass
+class CaptureParts(InputPartition):
+    parts: list[CapturePart]
+
+
+def packed(parts: list[tuple[CapturePart, int]], split_bytes: int) -> list[CaptureParts]:
+    """Parts with their sizes, small neighbours together."""
+    least, most = PACK_BYTES
+    limit = min(split_bytes, most, max(least, sum(size for _, size in parts) // PACK_TASKS))
+    groups, filled = [], 0
+    for part, size in parts:
+        if not groups or filled + size > limit:
+            groups.append(CaptureParts([]))
+            filled = 0
+        groups[-1].parts.append(part)
+        filled += size
+    return groups
+
+
 def capture_files(path: str) -> list[tuple[str, fs.FileInfo]]:
     """Paths as the caller writes them, with the found files, in order."""
     files, root = _open(path)
@@ -135,14 +164,16 @@ class PacketReader(DataSourceReader):
         with ThreadPoolExecutor(32) as pool:
             indexes = dict(zip((p for p, _ in large), pool.map(lambda x: _index(*x), large)))
         parts = []
-        for path, _ in found:
+        for path, info in found:
             cuts = []
             for offset, number in indexes.get(path, [(0, 0)]):
                 if not cuts or offset - cuts[-1][0] >= self.split_bytes:
                     cuts.append((offset, number))
             stops = [offset for offset, _ in cuts[1:]] + [None]
-            parts += [CapturePart(path, *cut, stop) for cut, stop in zip(cuts, stops)]
-        return parts
+            parts += [
+                (CapturePart(path, *cut, stop), (stop or info.size) - cut[0]) for cut, stop in zip(cuts, stops)
+            ]
+        return packed(parts, self.split_bytes)
 
     def read(self, partition):
         schema, rows, size = to_arrow_schema(PACKET), [], 0
@@ -150,15 +181,16 @@ class PacketReader(DataSourceReader):
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-        files, path = _open(partition.path)
-        with files.open_input_file(path) as stream:
-            records = read_records(stream, self.with_payload, partition.start, partition.stop)
-            for seq, record in enumerate(records, partition.first):
-                rows.append((partition.path, seq, *record))
-                size += len(record[0]) + len(record[1] or b"")
-                if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
-                    yield batch()
-                    rows, size = [], 0
+        for part in partition.parts:
+            files, path = _open(part.path)
+            with files.open_input_file(path) as stream:
+                records = read_records(stream, self.with_payload, part.start, part.stop)
+                for seq, record in enumerate(records, part.first):
+                    rows.append((part.path, seq, *record))
+                    size += len(record[0]) + len(record[1] or b"")
+                    if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield batch()
+                        rows, size = [], 0
         if rows:
             yield batch()
 
@@ -168,7 +200,7 @@ class Written(WriterCommitMessage):
     staged: list[str]
 
 
-class PacketWriter(DataSourceWriter):
+class PacketWriter(DataSourceArrowWriter):
     """Files become visible under their final name only when the whole job commits."""
 
     def __init__(self, path: str, roll_bytes: int):
@@ -180,16 +212,17 @@ class PacketWriter(DataSourceWriter):
         files.create_dir(root, recursive=True)
         staged, stream, size = [], None, 0
         try:
-            for row in iterator:
-                if stream is None:
-                    staged.append(f"{root.rstrip('/')}/part-{uuid.uuid4().hex}{SUFFIX}.staged")
-                    stream, size = files.open_output_stream(staged[-1]), 0
-                record = frame_record(row.metadata, row.payload)
-                stream.write(record)
-                size += len(record)
-                if size >= self.roll_bytes:
-                    stream.close()
-                    stream = None
+            for batch in iterator:
+                for metadata, payload in zip(batch.column("metadata"), batch.column("payload")):
+                    if stream is None:
+                        staged.append(f"{root.rstrip('/')}/part-{uuid.uuid4().hex}{SUFFIX}.staged")
+                        stream, size = files.open_output_stream(staged[-1], buffer_size=1024 * 1024), 0
+                    record = frame_record(metadata.as_py(), payload.as_py())
+                    stream.write(record)
+                    size += len(record)
+                    if size >= self.roll_bytes:
+                        stream.close()
+                        stream = None
             if stream is not None:
                 stream.close()
         except BaseException:
