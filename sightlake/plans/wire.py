@@ -12,6 +12,7 @@ from ..operators.messages import (
     Publisher, casualty_messages, image_messages, publisher_sequence, route, target_box_arrays,
 )
 from ..operators.sampling import interval_sample
+from ..session import materialize
 from ..sources.packets import parse_metadata
 
 MISSING = "metadata=missing"
@@ -49,7 +50,8 @@ def publish_packets(
     partition: Sequence[str] = ("stream_id",),
 ) -> DataFrame:
     """Image messages of the image packets (metadata, payload): stamped once, numbered, with bytes."""
-    numbered = publisher_sequence(received(packets, "image", ingest), [*partition, "topic"], arrival)
+    taken = materialize(received(packets, "image", ingest), "received")  # numbering reads it twice
+    numbered = publisher_sequence(taken, [*partition, "topic"], arrival)
     return image_messages(numbered, "message_ts_ns", F.col("payload"), publisher)
 
 
@@ -63,7 +65,8 @@ def publish_targets(
     partition: Sequence[str] = ("stream_id",),
 ) -> DataFrame:
     """One box array per detect packet, also without boxes: own number, stamp shared with its image."""
-    numbered = publisher_sequence(received(packets, "target_detections", ingest), partition, arrival)
+    taken = materialize(received(packets, "target_detections", ingest), "received")
+    numbered = publisher_sequence(taken, partition, arrival)
     return target_box_arrays(numbered, "message_ts_ns", F.col("payload"), publisher)
 
 
@@ -78,13 +81,14 @@ def publish_log(
     """What publishers log: topic, messages, bytes and the packet's own text, at most every ``interval``.
 
     ``time`` is when a packet came in, in the unit of ``interval``. Only narrow rows are sampled:
-    payloads and objects give their sizes before any shuffle."""
+    payloads and objects give their sizes before any shuffle. They are written once, as sampling reads its rows
+    several times."""
     per_object = F.col("topic") == TOPICS["ASSESS"]
     sent = route(parse_metadata(packets)).select(
         *partition, arrival, time, "topic", "log_text",
         F.when(per_object, F.size("objects")).otherwise(1).cast("bigint").alias("messages"),
         F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint").alias("n_bytes"),
     )
-    logged = interval_sample(sent, interval, [*partition, "topic"], time, arrival)
+    logged = interval_sample(materialize(sent, "sent"), interval, [*partition, "topic"], time, arrival)
     counts = F.format_string("published topic=%s messages=%d bytes=%d", "topic", "messages", "n_bytes")
     return logged.withColumn("text", F.concat(counts, F.lit("\n"), "log_text"))

@@ -50,3 +50,13 @@ def test_parts_fill_up_to_the_limit():
     assert sizes([mib] * 6400, 256 * mib) == [64] * 100
     assert sizes([300 * mib, mib, mib, 300 * mib], 256 * mib) == [1, 2, 1]
     assert sizes([mib] * 4, mib // 2) == [1] * 4 and sizes([], mib) == []
+
+
+@pytest.mark.parametrize("stage,publish", [
+    ("IMAGE", W.publish_packets), ("DETECT", W.publish_targets), ("ASSESS", lambda p: W.publish_log(p, 50, "received"))])
+def test_packets_are_parsed_once(spark, counted, stage, publish):
+    heads = [(i % 2, i, i * 10, json.dumps({"stage": stage, "frame": i, "timestamp_ns": i, "objects": []}), bytes(i)) for i in range(40)]
+    df = spark.createDataFrame(heads, "stream_id int, arrival_seq long, received long, metadata string, payload binary")
+    df, seen = counted(df, "metadata")
+    assert publish(df).count() > 0
+    assert seen.value == 40
