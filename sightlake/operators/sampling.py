@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import FRAME_KEYS
+from ..session import materialize
 from ..skew import HotKeys, bucket_of, find_hot_keys, no_hot_keys
 from .dense_times import emitted_times
 
@@ -186,13 +187,15 @@ def interval_sample_frames(
     time: str = "ts_us",
     arrival: str = "arrival_seq",
 ) -> DataFrame:
-    """Interval sampling of frames: every row of a sampled frame passes."""
+    """Interval sampling of frames: every row of a sampled frame passes.
+
+    One narrow row per frame is written, as sampling reads its rows many times; ``rows`` are read twice."""
     if interval < 0:
         return rows.filter(F.lit(False))
     if interval == 0:
         return rows
     frames = rows.groupBy(*keys).agg(F.min(time).alias(time), F.min(arrival).alias(arrival))
-    sampled = interval_sample(frames, interval, keys[:-1], time, arrival)
+    sampled = interval_sample(materialize(frames, "frame-times"), interval, keys[:-1], time, arrival)
     return rows.join(sampled.select(*keys), list(keys), "left_semi").select(*rows.columns)
 
 

@@ -60,3 +60,10 @@ def test_packets_are_parsed_once(spark, counted, stage, publish):
     df, seen = counted(df, "metadata")
     assert publish(df).count() > 0
     assert seen.value == 40
+
+
+def test_sampled_frames_are_read_twice(spark, counted, rows):
+    data = [(f % 3, f, i, f * 400_000) for f in range(60) for i in range(3)]
+    df, seen = counted(spark.createDataFrame(data, "stream_id int, frame long, arrival_seq long, ts_us long"), "ts_us")
+    assert S.interval_sample_frames(df, 2_000_000).select("frame").distinct().count() == 30
+    assert seen.value <= 2 * len(data)
