@@ -67,3 +67,13 @@ def test_sampled_frames_are_read_twice(spark, counted, rows):
     df, seen = counted(spark.createDataFrame(data, "stream_id int, frame long, arrival_seq long, ts_us long"), "ts_us")
     assert S.interval_sample_frames(df, 2_000_000).select("frame").distinct().count() == 30
     assert seen.value <= 2 * len(data)
+
+
+def test_fork_numbers_boxes_once(spark, counted, monkeypatch, rows):
+    boxes, seen = counted(V.det(spark, SF), "confidence")
+    n = boxes.count()
+    seen.value = 0
+    monkeypatch.setattr(V, "det", lambda *args: boxes)
+    got = dict(r[:2] for r in rows(streams.stream_fork_outputs(spark, SF)))
+    assert got["IMAGE"] == got["DETECT"] == V.frm(spark, SF).count()
+    assert seen.value == n

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from sightlake.operators.records import frame_metadata, image_records
 from sightlake.plans.assess import assess_records
 from sightlake.plans.detect import detect_records
-from sightlake.session import new_path
+from sightlake.session import materialize, new_path
 from sightlake.streaming import operators as S, sinks
 
 from . import views as V
@@ -194,7 +194,8 @@ def stream_fork_outputs(spark, sf):
     """Images, detections and assessments of one stream of frames, a micro-batch per landing."""
     path, landing = new_path(spark, "fork"), new_path(spark, "landing")
     hot = V.hot_frames(spark, sf)
-    boxes, tensors = V.det(spark, sf, hot), V.logit(spark, sf)
+    # every branch of every micro-batch reads them: numbered once, then filtered as they are read
+    boxes, tensors = materialize(V.det(spark, sf, hot), "boxes"), materialize(V.logit(spark, sf), "tensors")
     branches = {
         "IMAGE": image_records,
         "DETECT": lambda df: frame_metadata(detect_records(df, boxes, hot=hot), "DETECT"),
