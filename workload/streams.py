@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sightlake.operators.records import frame_metadata, image_records
 from sightlake.plans.assess import assess_records
@@ -20,6 +20,8 @@ from .views import ARR, FRM, MRK, PAY
 
 KEYS = ["stream_id", "frame"]
 BATCHES = 3
+LANDED_ROWS = 4_000_000  # about as many in a landing by time, and so in a micro-batch, at every table size
+LANDED_FILES = 8  # each of them a range of its own, written by a task
 CLOSING = -1  # stream of the row that moves the watermark past everything else
 
 
@@ -40,11 +42,34 @@ def landings(
         part = df.filter(share == n)
         yield part.repartition(6, F.hash(arrival)) if late else part
     if times:
-        closing = {c: F.lit(bounds[c] + ahead) for c, ahead in times.items()}
-        closing["stream_id"] = F.lit(CLOSING)
-        yield df.sparkSession.range(1).select(*[
-            closing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields
-        ])
+        yield closing_row(df, {c: bounds[c] + ahead for c, ahead in times.items()})
+
+
+def landings_by_time(df: DataFrame, time: str, arrival: str, ahead: int) -> Iterator[DataFrame]:
+    """``df`` in landings of about ``LANDED_ROWS`` rows that follow each other in ``time``, then the closing row.
+
+    No landing has a row older than those before it, so a lateness budget of any size drops none. The
+    rows are dealt by time once; every landing reads its own share.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, "by-time")
+    rows, last = df.agg(F.count("*"), F.max(time)).first()
+    shares = rows // LANDED_ROWS + 1
+    dealt = df.repartitionByRange(shares * LANDED_FILES, time, arrival)
+    share = F.call_function("div", F.spark_partition_id(), F.lit(LANDED_FILES))
+    # ranges beyond those asked for, if a session deals more, belong to the last landing
+    dealt = dealt.withColumn("share", F.least(share, F.lit(shares - 1)).cast("int"))
+    dealt.write.partitionBy("share").parquet(path)
+    written = spark.read.schema(dealt.schema).parquet(path)
+    for n in range(shares):
+        yield written.filter(F.col("share") == n).drop("share")
+    yield closing_row(df, {time: last + ahead})
+
+
+def closing_row(df: DataFrame, values: dict[str, int]) -> DataFrame:
+    values = {**values, "stream_id": CLOSING}
+    return df.sparkSession.range(1).select(*[
+        F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields
+    ])
 
 
 def land(
@@ -66,14 +91,13 @@ def finish(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path).filter(F.col("stream_id") != CLOSING)
 
 
-def staged(df: DataFrame, arrival: str, name: str, transform, times: dict[str, int] | None = None) -> DataFrame:
+def staged(spark: SparkSession, parts: Iterable[DataFrame], name: str, transform) -> DataFrame:
     """Like ``land`` and ``finish``, but each landing is processed before the next one arrives, from
     the same checkpoint: state crosses micro-batches however many files a landing has."""
-    spark = df.sparkSession
     landing, path = new_path(spark, "landing"), new_path(spark, name)
-    for part in landings(df, arrival, times):
+    for part in parts:
         part.write.mode("append").parquet(landing)
-        out = transform(spark.readStream.schema(df.schema).parquet(landing))
+        out = transform(spark.readStream.schema(part.schema).parquet(landing))
         sinks.start_table(out, path, f"{path}-state").awaitTermination()
     return spark.read.schema(out.schema).parquet(path).filter(F.col("stream_id") != CLOSING)
 
@@ -118,7 +142,7 @@ def stream_late_drop(spark, sf):
     def counts(stream):
         return S.output_fps(S.with_event_time(stream, "ts_ns", "0 seconds"), 3600)
 
-    return staged(puts, "arrival_seq", "late-drop", counts, {"ts_ns": 2 * DAY_NS})
+    return staged(spark, landings(puts, "arrival_seq", {"ts_ns": 2 * DAY_NS}), "late-drop", counts)
 
 
 # puts and payloads share buffer keys of eight frames, so a key comes back again and again
@@ -152,9 +176,14 @@ def stream_payload_join(spark, sf):
 @query("stream_stage_latency", MRK, LAT.replace("WHEN frame % 6 = 0 THEN 5000 ELSE 0", "WHEN false THEN 0 ELSE 0"),
        sql="SELECT stream_id, frame, detect_ms, assess_ms FROM lat")
 def stream_stage_latency(spark, sf):
+    """Landings of one size in time order: a task's memory does not grow with the table."""
     marks = V.mrk(spark, sf).withColumn("ts_ns", F.col("t_us") * 1000)
-    stream = S.with_event_time(land(marks, "arrival_seq", {"ts_ns": DAY_NS}), "ts_ns", "10 minutes")
-    return finish(S.stage_latencies(stream, "1 minute"), "latency").select(*KEYS, "detect_ms", "assess_ms")
+
+    def latencies(stream):
+        timed = S.stage_latencies(S.with_event_time(stream, "ts_ns", "10 minutes"), "1 minute")
+        return timed.select(*KEYS, "detect_ms", "assess_ms")  # the stages that they need are state, not all
+
+    return staged(spark, landings_by_time(marks, "ts_ns", "arrival_seq", DAY_NS), "latency", latencies)
 
 
 def _times(spark, sf) -> DataFrame:
