@@ -43,3 +43,18 @@ def test_stage_latency_batches_of_one_size(spark, copies, batches, monkeypatch):
     rows = batches()
     assert sum(rows) == streams.V.mrk(spark, path).count() + 1
     assert len(rows) > 3 and max(rows) < 2 * LANDED
+
+
+def test_windows_in_batches_of_one_size(spark, copies, batches, monkeypatch):
+    monkeypatch.setattr(streams, "LANDED_ROWS", 1000, raising=False)
+    path, frames = copies
+    times = streams._times(spark, path)
+    got = streams.stream_output_fps(spark, path).select("stream_id", "window_us", "frames").collect()
+    hours = times.groupBy("stream_id", F.expr("ts_us - ts_us % 3600000000")).count().collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, hours))
+    got = streams.stream_latest_per_tick(spark, path).select("stream_id", "stage", "tick_us", "ts_us").collect()
+    stage, tick = F.expr("if(frame % 3 = 0, 'IMAGE', 'DETECT')"), F.expr("ts_us - ts_us % 600000000")
+    newest = times.groupBy("stream_id", stage, tick).agg(F.max("ts_us")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, newest))
+    rows = batches()
+    assert sum(rows) == 2 * (frames + 1) and len(rows) > 6 and max(rows) < 2000

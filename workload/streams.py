@@ -204,16 +204,22 @@ def stream_interval_sample(spark, sf):
 @query("stream_output_fps", FRM, sql="""SELECT stream_id, window_us, count(*) AS frames, count(*) / 3600.0::DOUBLE AS fps FROM (
   SELECT stream_id, unix_ns // 1000 - (unix_ns // 1000) % 3600000000 AS window_us FROM frm) GROUP BY stream_id, window_us""")
 def stream_output_fps(spark, sf):
-    stream = S.with_event_time(land(_times(spark, sf), "arrival_seq", {"unix_ns": DAY_NS}), "unix_ns", "1 hour")
-    return finish(S.output_fps(stream, 3600), "fps")
+    def counts(stream):
+        return S.output_fps(S.with_event_time(stream, "unix_ns", "1 hour"), 3600)
+
+    return staged(spark, landings_by_time(_times(spark, sf), "unix_ns", "arrival_seq", DAY_NS), "fps", counts)
 
 
 @query("stream_latest_per_tick", FRM, """t AS (SELECT stream_id, frame, unix_ns // 1000 AS ts_us, CASE WHEN frame % 3 = 0 THEN 'IMAGE' ELSE 'DETECT' END AS stage FROM frm)""",
        sql="""SELECT stream_id, stage, ts_us - ts_us % 600000000 AS tick_us, arg_max(frame, ts_us) AS frame, max(ts_us) AS ts_us FROM t GROUP BY 1, 2, 3""")
 def stream_latest_per_tick(spark, sf):
     rows = _times(spark, sf).withColumn("stage", F.when(F.col("frame") % 3 == 0, "IMAGE").otherwise("DETECT"))
-    stream = S.with_event_time(land(rows, "arrival_seq", {"unix_ns": DAY_NS}), "unix_ns", "1 hour")
-    return finish(S.latest_per_tick(stream, "10 minutes"), "tick").select("stream_id", "stage", "tick_us", "frame", "ts_us")
+
+    def newest(stream):
+        ticks = S.latest_per_tick(S.with_event_time(stream, "unix_ns", "1 hour"), "10 minutes")
+        return ticks.select("stream_id", "stage", "tick_us", "frame", "ts_us")
+
+    return staged(spark, landings_by_time(rows, "unix_ns", "arrival_seq", DAY_NS), "tick", newest)
 
 
 @query("stream_fork_outputs", *FORK, sql="""SELECT 'IMAGE' AS branch, count(*) AS frames, CAST(0 AS BIGINT) AS objects FROM frm
